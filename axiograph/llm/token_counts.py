@@ -40,6 +40,7 @@ def token_counts(docs: DataFrame, sections: DataFrame | None = None, vocabulary:
         """row, number, first byte, byte after the last of each line; every row has one at least."""
         breaks = np.flatnonzero(data == 10) + 1
         starts = np.union1d(breaks[~np.isin(breaks, at)], at[:-1])
+        starts = starts[starts < len(data)]
         rows_of = np.searchsorted(at, starts, "right") - 1
         empty = np.setdiff1d(np.arange(len(at) - 1), rows_of)
         row = np.sort(np.concatenate([rows_of, empty]), kind="stable")
