@@ -34,6 +34,7 @@ def _fixed() -> list[str]:
         (_EX + "nation/1", old, _EX + "nation/2"), (weight, V.TYPE, V.DATA_PROPERTY), (weight, V.LABEL, ("weight", V.XSD_STRING)), (weight, V.SUBPROPERTY, _EX + "measure"), (_EX + "measure", V.TYPE, V.DATA_PROPERTY),
         (V.DEFINITION, V.TYPE, V.ANNOTATION_PROPERTY), (V.LABEL, V.TYPE, V.ANNOTATION_PROPERTY), (V.EXACT, V.TYPE, V.ANNOTATION_PROPERTY), (V.RELATED, V.TYPE, V.ANNOTATION_PROPERTY), (_EX + "said", V.TYPE, V.ANNOTATION_PROPERTY),
         (V.TYPE, V.LABEL, ("type", V.XSD_STRING)),
+        *[(f"{_EX}loop/{i}", V.TYPE, V.CLASS) for i in range(3)], *[(f"{_EX}loop/{i}", V.SUBCLASS, f"{_EX}loop/{(i + 1) % 3}") for i in range(3)],
         *[(f"{_EX}subset/src{i}", V.SUBPROPERTY, V.SUBSET_PROPERTY) for i in range(10)],
     ]
     return [_row(None, f"'{s}'", p, f"'{o}'" if isinstance(o, str) else f"'{o[0]}'", *(("iri",) if isinstance(o, str) else ("lit", o[1]))) for s, p, o in rows]
@@ -64,6 +65,9 @@ def _tables() -> list[str]:
         _row("part", part, V.EQUIVALENT, iri("part", "p_partkey + 1"), where="p_size BETWEEN 6 AND 10"),
         *[_row("part", part, V.EQUIVALENT, blank(f"{t}", "p_partkey"), "bnode", where="p_size BETWEEN 11 AND 15") for t in ("i", "j")],
         *[_row("part", blank(f"{t}", "p_partkey"), V.INTERSECTION, blank(f"l{t}", "p_partkey"), "bnode", where="p_size BETWEEN 11 AND 15", s_kind="bnode") for t in ("i", "j")],
+        *[x for t in ("i", "j") for x in (
+            _row("part", blank(f"l{t}", "p_partkey"), V.RDF + "first", brand if t == "i" else kind, where="p_size BETWEEN 11 AND 15", s_kind="bnode"), _row("part", blank(f"l{t}", "p_partkey"), V.RDF + "rest", blank(f"m{t}", "p_partkey"), "bnode", where="p_size BETWEEN 11 AND 15", s_kind="bnode"),
+            _row("part", blank(f"m{t}", "p_partkey"), V.RDF + "first", iri("part", "p_partkey + 3"), where="p_size BETWEEN 11 AND 15", s_kind="bnode"), _row("part", blank(f"m{t}", "p_partkey"), V.RDF + "rest", f"'{V.RDF}nil'", where="p_size BETWEEN 11 AND 15", s_kind="bnode"))],
         _row("part", part, V.EQUIVALENT, blank("u", "p_partkey"), "bnode", where="p_size BETWEEN 9 AND 11"),
         _row("part", blank("u", "p_partkey"), V.UNION, blank("lu", "p_partkey"), "bnode", where="p_size BETWEEN 9 AND 11", s_kind="bnode"),
         _row("part", part, V.DISJOINT, iri("part", "p_partkey + 2"), where="p_size BETWEEN 16 AND 18"),
