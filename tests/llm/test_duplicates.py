@@ -199,3 +199,14 @@ def test_repeated_passages(spark):
     got = {(r["doc_id"], r["begin_word"], r["end_word"]) for r in passages.repeated_passages(frame).collect()}
     assert got == {(3, 40, 100), (8, 40, 100), (21, 40, 100), (5, 10, 130), (17, 80, 202), (12, 0, 150), (100, 0, 150)}
     assert rows_of(passages.repeated_passages(docs_of(spark, []))) == []
+
+
+def test_matches_of_a_frequent_seed(spark):
+    rng = random.Random(2)
+    rows = [(d, 7, p) for d in range(300) for p in range(rng.randint(1, 3))] + [(d, rng.randrange(50), 100) for d in range(300)]
+    frame = spark.createDataFrame(rows, "doc long, h long, pos int").repartition(5)
+    want = set()
+    for h in {r[1] for r in rows}:
+        own = sorted({(d, p) for d, x, p in rows if x == h})
+        want |= {(b[0], a[0], b[1], a[1]) for a, b in zip(own, own[1:]) if a[0] != b[0]}
+    assert {tuple(r) for r in passages.matches(frame).collect()} == want
