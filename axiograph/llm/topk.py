@@ -8,13 +8,12 @@ fall below the k-th best score so far.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,8 +73,8 @@ def _laid_out(rows: DataFrame, kind: int, size: int) -> DataFrame:
     return dealt.mapInArrow(pack, _LAYOUT)
 
 
-def _table(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(row["n"], row["width"])
+def _vectors(ids: bytes, vectors: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(n, width)
 
 
 def _merged(k: int, who: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +123,17 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], segment: tuple[np.ndarr
     return who, score, found
 
 
+def _few_rows(run: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """run() while a task gets few rows at a time, as each holds a whole segment."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, segment_blocks: int = SEGMENT_BLOCKS, query_rows: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of queries the k rows of vectors with the highest inner product.
 
@@ -137,6 +147,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     searched in the segment that lies at the same place of the id order: its k-th score there is the floor that all
     other segments' blocks have to reach.
     """
+    spark = vectors.sparkSession
     held = settle(_laid_out(vectors, 0, block * segment_blocks), "segments")
     asked = settle(_laid_out(queries.dropDuplicates(["vec_id"]), 1, query_rows), "queries")
     numbered = held.withColumn("number", F.row_number().over(Window.orderBy("part", "seq")) - 1)
@@ -148,45 +159,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     asked = asked.join(q_number, ["part", "seq"]).select("q", F.col("n").alias("qn"), F.col("width").alias("qw"), F.col("ids").alias("qids"), F.col("vectors").alias("qv"))
     held = held.join(number, ["part", "seq"]).select("number", "n", "width", "ids", "vectors")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_dict("records"):
-                q = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["qv"]).reshape(r["qn"], r["qw"])
-                floor = np.frombuffer(r["floor"]) if r["floor"] is not None else np.full(r["qn"], -np.inf)
-                who, score, ids = search_block(q, (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(r["n"], r["width"])), floor, k, block)
-                yield pd.DataFrame({"q": r["q"], "number": r["number"], "who": who, "query_id": q[0][who], "vec_id": ids, "score": [str(max(-_FAR, min(_FAR, int(s)))) for s in score]})
-
-    out = "q int, number int, who int, query_id long, vec_id long, score string"
-    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
-    home = F.floor(F.col("q") * segments / blocks).cast("int")
-    first = asked.withColumn("number", home).join(held, "number").withColumn("floor", F.lit(None).cast("binary"))
-    return _search_all(asked, held, first, search, out, k, segments, home, few)
-
-
-def _search_all(asked: DataFrame, held: DataFrame, first: DataFrame, search, out: str, k: int, segments: int, home, few: dict[str, str]) -> DataFrame:
-    spark = asked.sparkSession
-    before = {c: spark.conf.get(c) for c in few}
-    for c, v in few.items():
-        spark.conf.set(c, v)  # rows are whole segments
-    try:
-        near = settle(first.mapInPandas(search, out), "near")
-
-        def floors(part: pd.DataFrame) -> pd.DataFrame:
-            n = int(part["qn"].iloc[0])
-            floor = np.full(n, -np.inf)
-            for who, own in part.dropna(subset=["who"]).groupby("who")["score"]:
-                if len(own) >= k:
-                    least = min(map(int, own))
-                    floor[int(who)] = least if abs(least) < _EXACT else np.nextafter(float(least), -np.inf)
-            return pd.DataFrame({"q": [int(part["q"].iloc[0])], "floor": [floor.tobytes()]})
-
-        floor = asked.select("q", "qn").join(near.select("q", "who", "score"), "q", "left").groupBy("q").applyInPandas(floors, "q int, floor binary")
-        rest = asked.join(floor, "q").withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(max(0, segments - 1))))).where(F.col("number") != home).join(held, "number")
-        far = settle(rest.mapInPandas(search, out), "far")
-    finally:
-        for c, v in before.items():
-            spark.conf.set(c, v)
+            for r in batch.to_pylist():
+                q = _vectors(r["qids"], r["qv"], r["qn"], r["qw"])
+                floor = np.full(r["qn"], -np.inf)
+                for x in r["floors"] or ():
+                    least = int(x["least"])
+                    floor[x["who"]] = least if abs(least) < _EXACT else np.nextafter(float(least), -np.inf)
+                who, score, ids = search_block(q, _vectors(r["ids"], r["vectors"], r["n"], r["width"]), floor, k, block)
+                same = np.full(len(who), r["q"], np.int32)
+                found = [pa.array(same), pa.array(who.astype(np.int32)), pa.array(q[0][who]), pa.array(ids.astype(np.int64)), pa.array([str(max(-_FAR, min(_FAR, int(s)))) for s in score], pa.string())]
+                yield pa.RecordBatch.from_arrays(found, ["q", "who", "query_id", "vec_id", "score"])
+
+    out = "q int, who int, query_id long, vec_id long, score string"
     exact = F.col("score").cast("decimal(38,0)")
+    home = F.floor(F.col("q") * segments / blocks).cast("int")
+    none = F.lit(None).cast("array<struct<who:int,least:string>>")
+    near = _few_rows(lambda: settle(asked.join(held, held["number"] == home).drop("number").withColumn("floors", none).mapInArrow(search, out), "near"), spark)
+    # a query has a floor once k are found; a block of queries has no more floors than queries
+    least = near.groupBy("q", "who").agg(F.count("*").alias("n"), F.min(exact).cast("string").alias("least")).where(F.col("n") >= k)
+    floors = least.groupBy("q").agg(F.collect_list(F.struct("who", "least")).alias("floors"))
+    rest = asked.join(floors, "q", "left").withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(max(0, segments - 1))))).where(F.col("number") != home)
+    far = _few_rows(lambda: settle(rest.join(held, "number").drop("number").mapInArrow(search, out), "far"), spark)
     order = Window.partitionBy("query_id").orderBy(exact.desc(), "vec_id")
     ranked = near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     score = F.greatest(F.least(exact, F.lit(_LONG).cast("decimal(38,0)")), F.lit(-_LONG - 1).cast("decimal(38,0)")).cast("long")
