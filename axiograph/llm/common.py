@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from axiograph.llm.common import chunks, span_hashes
 
 #: Pieces a Python worker keeps, and the longest that it keeps; longer ones go to the library each time.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 500_000
 KEPT_BYTES = 64
 
 _SPACE, _BREAK, _LETTER, _PUNCT, _DIGIT, _HIGH, _UNSURE = 1, 2, 3, 4, 5, 6, 7

@@ -21,7 +21,7 @@ LANGUAGES = 2_000
 #: Distinct n-grams that a training task holds before it passes its counts on.
 HELD = 400_000
 #: Characters that one vectorised step looks at; a longer document is a step of its own.
-STEP = 1_000_000
+STEP = 250_000
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
