@@ -115,6 +115,13 @@ def flat(table: DataFrame, split: str = "|") -> DataFrame:
     return table.select(*[joined_cell(F.col(f"`{c}`"), split).alias(c) if kind.startswith("array") else F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c, kind in table.dtypes])
 
 
+def json_rows(table: DataFrame) -> DataFrame:
+    """value: a JSON object for each entity: arrays, but IRI, ID and CURIE as single texts; missing cells are empty."""
+    single = ("IRI", "ID", "CURIE")
+    cell = lambda c, kind: F.coalesce(F.col(f"`{c}`"), F.array().cast(kind)) if kind.startswith("array") else F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in single else F.array_compact(F.array(F.col(f"`{c}`")))
+    return table.select(F.to_json(F.struct(*[cell(c, kind).alias(c) for c, kind in table.dtypes])).alias("value"))
+
+
 def sorted_table(table: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in order: the last key counts most, as sorting by one key after the other gives it; ^key: descending.
     Blanks come last, in a descending order first."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from axiograph.functions import terms
 from axiograph.functions import vocab as V
 from axiograph.model import CHARACTERISTICS, GROUPS, Ontology
-from axiograph.operators import axfilter, graph
+from axiograph.operators import axfilter, graph, reason
+from axiograph.sources.store import settle
 
 SINGLE, LIST, MAP = "single_value", "list_value", "map_value"
 
@@ -122,13 +123,31 @@ def most_frequent_class(ont: Ontology) -> DataFrame:
     return _single(uses, most_freq_concept=F.max_by("node", F.struct(F.col("n"), F.col("node"))))
 
 
+def nominals_and_gcis(ont: Ontology) -> DataFrame:
+    """Nominals (one-of and has-value expressions) in the TBox, and subclass axioms with an anonymous left side."""
+    nominal = ont.with_p(V.OWL + "oneOf", V.OWL + "hasValue").select(F.col("s").alias("o")).distinct()
+    left = ont.with_p(V.SUBCLASS, V.EQUIVALENT, V.DISJOINT).where("o_kind = 'bnode'").select("o").distinct()
+    return _single(nominal.join(left, "o", "left_semi"), tbox_nominal_count=F.count("*")).unionByName(_single(ont.with_p(V.SUBCLASS).where("s_kind = 'bnode'"), gci_count=F.count("*")))
+
+
+def reasoner_metrics(ont: Ontology) -> DataFrame:
+    """Unsatisfiable classes, and whether no individual is of one."""
+    bad = settle(reason.unsatisfiable(ont), "unsatisfiable")
+    typed = ont.with_p(V.TYPE).join(bad.select(F.col("iri").alias("o")), "o", "left_semi")
+    return _single(bad, unsatisfiable_class_count=F.count("*")).unionByName(_single(typed, consistent=F.count("*") == 0))
+
+
 def measure(ont: Ontology, kind: str = "essential", prefixes: dict[str, str] | None = None) -> DataFrame:
-    """All metrics of a set: essential, extended or all, each including the one before."""
+    """All metrics of a set: essential, extended or all, each including the one before; with "-reasoner" at the end also those
+    that need reasoning."""
+    kind, _, reasoner = kind.partition("-")
     parts = [entity_counts(ont), axiom_counts(ont), header(ont), rdfs_only(ont), el_profile(ont)]
     if kind in ("extended", "all"):
         parts += [axiom_types(ont), expression_types(ont), namespaces(ont, prefixes or V.PREFIXES), datatypes(ont), constructs(ont)]
     if kind == "all":
-        parts += [hierarchy(ont), structure(ont), most_frequent_class(ont)]
-    if kind not in ("essential", "extended", "all"):
+        parts += [hierarchy(ont), structure(ont), most_frequent_class(ont), nominals_and_gcis(ont)]
+    if reasoner == "reasoner":
+        parts.append(reasoner_metrics(ont))
+    if kind not in ("essential", "extended", "all") or reasoner not in ("", "reasoner"):
         raise ValueError(f"unknown set of metrics {kind}")
     return reduce(DataFrame.unionByName, parts)

@@ -209,3 +209,24 @@ def update(triples: DataFrame, where: Solutions, delete: list[tuple[str, str, st
 def verify(checks: dict[str, DataFrame]) -> DataFrame:
     """rule, violations: how many rows each check has; a check without rows passes."""
     return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations") for name, rows in checks.items()])
+
+
+def expand_macros(graph: Graph, macros: dict[str, tuple[Solutions, list[tuple[str, str, str]]]], include: list[str] | None = None, exclude: list[str] = (), source: str | None = None) -> DataFrame:
+    """s, p, o as terms that macros make: term -> (solutions, template). include and exclude choose among the terms; source: a
+    property by which the made subjects name the term they come from. Triples that the graph has already are left out."""
+    chosen = {k: v for k, v in macros.items() if (include is None or k in include) and k not in exclude}
+    empty = as_terms(graph.rows)
+    made = [where.construct(*template) for where, template in chosen.values()]
+    tags = [where.construct(*[(s, source, term) for s in sorted({t[0] for t in template})]) for term, (where, template) in chosen.items()] if source else []
+    parts = [*made, *tags] or [empty.limit(0)]
+    return reduce(DataFrame.unionByName, parts).distinct().join(empty, ["s", "p", "o"], "left_anti")
+
+
+def write_all(queries: dict[str, DataFrame], folder: str, fmt: str = "csv") -> dict[str, str]:
+    """Each query's rows to a place of its own below folder; name -> place."""
+    from axiograph.sources.files import write_rows
+
+    places = {name: f"{folder}/{name}.{fmt}" for name in queries}
+    for name, rows in queries.items():
+        write_rows(rows, places[name], fmt)
+    return places

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axiograph.functions import vocab as V
 from axiograph.model import Ontology
-from axiograph.operators import graph
+from axiograph.operators import graph, setops
 from axiograph.sources.store import settle
 
 
@@ -142,6 +144,97 @@ def unsatisfiable(ont: Ontology) -> DataFrame:
     return graph.reached(steps, starts, "parent", "child").unionByName(starts).distinct().select(F.col("node").alias("iri"))
 
 
+def incoherent_module(ont: Ontology) -> DataFrame:
+    """Axioms of the bottom module of the unsatisfiable classes: what their clashes follow from."""
+    return graph.module(ont.axioms, unsatisfiable(ont).select(F.col("iri").alias("node")))
+
+
+def reasoned(ont: Ontology, reasoner: str = "el", new_ontology: bool = False, indirect: bool = False) -> DataFrame:
+    """Triples after reasoning: those of the ontology (unless new_ontology) and subclass links between different classes that follow
+    and were not said. reasoner: "el", or "structural": what is told by name. indirect: all links, not direct ones only."""
+    if reasoner not in ("el", "structural"):
+        raise ValueError(f"unknown reasoner {reasoner}")
+    pairs = settle(classify(ont) if reasoner == "el" else graph.closure(told(ont)).where("child <> parent"), "classified")
+    links = pairs if indirect else graph.reduction(pairs)
+    fresh = links.join(ont.edges.where("kind = 'class'").select("child", "parent"), ["child", "parent"], "left_anti")
+    made = setops.generated(F.col("child"), V.SUBCLASS, F.col("parent"), fresh)
+    return made if new_ontology else setops.merge(ont.rows, made)
+
+
+def _above(ont: Ontology) -> DataFrame:
+    """prop, over: properties and all their superproperties, themselves among them."""
+    edges = ont.edges.where("kind = 'property' AND o_kind = 'iri'")
+    own = ont.declared.where("kind IN ('object-property', 'data-property')").select(F.col("iri").alias("prop"), F.col("iri").alias("over"))
+    return settle(own.unionByName(graph.closure(edges).select(F.col("child").alias("prop"), F.col("parent").alias("over"))).distinct(), "properties")
+
+
+def inferred_property_axioms(ont: Ontology) -> DataFrame:
+    """ax_type, subject, object: subproperties by transitivity, inverses both ways, domains and ranges from superproperties."""
+    above = _above(ont)
+    inverse = ont.with_p(V.INVERSE).where("s_kind = 'iri' AND o_kind = 'iri'")
+    kinds = F.when(F.col("p") == V.DOMAIN, "PropertyDomain").otherwise("PropertyRange")
+    bounds = ont.with_p(V.DOMAIN, V.RANGE).where("o_kind = 'iri'").select(kinds.alias("ax_type"), F.col("s").alias("over"), F.col("o").alias("object"))
+    parts = [
+        above.where("prop <> over").select(F.lit("SubPropertyOf").alias("ax_type"), F.col("prop").alias("subject"), F.col("over").alias("object")),
+        inverse.select(F.lit("InverseProperties").alias("ax_type"), F.col("s").alias("subject"), F.col("o").alias("object")),
+        inverse.select(F.lit("InverseProperties").alias("ax_type"), F.col("o").alias("subject"), F.col("s").alias("object")),
+        bounds.join(above, "over").select("ax_type", F.col("prop").alias("subject"), "object"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def property_assertions(ont: Ontology) -> DataFrame:
+    """subject, prop, object: what named things are said to be related to by object properties, and by superproperties and stated
+    inverses of these."""
+    objects = ont.declared.where("kind = 'object-property'").select(F.col("iri").alias("p"))
+    said = ont.rows.where("s_kind = 'iri' AND o_kind = 'iri'").join(objects, "p", "left_semi").select(F.col("s").alias("subject"), F.col("p").alias("prop"), F.col("o").alias("object")).distinct()
+    pairs = ont.with_p(V.INVERSE).where("o_kind = 'iri'").select(F.col("s").alias("prop"), F.col("o").alias("back"))
+    inverse = settle(pairs.unionByName(pairs.select(F.col("back").alias("prop"), F.col("prop").alias("back"))).distinct(), "inverse")
+    above = _above(ont)
+    known = settle(said, "assertions")
+    size = known.count()
+    while True:
+        up = known.join(above, "prop").select("subject", F.col("over").alias("prop"), "object")
+        back = known.join(inverse, "prop").select(F.col("object").alias("subject"), F.col("back").alias("prop"), F.col("subject").alias("object"))
+        known = settle(known.unionByName(up).unionByName(back).distinct(), "assertions")
+        if (now := known.count()) == size:
+            return known
+        size = now
+
+
+def relation_graph(ont: Ontology) -> DataFrame:
+    """cls, prop, filler: existential parents of classes, their own and those that they get."""
+    return restrictions(ont).unionByName(materialized(ont)).distinct()
+
+
+def subset(ont: Ontology, nodes: DataFrame) -> DataFrame:
+    """subject, prop, object between the nodes (column node) only: their hierarchy over what is left out, without links
+    that others imply, and their existential relations."""
+    links = graph.reduction(graph.span_gaps(ont.edges.where("kind = 'class' AND o_kind = 'iri'"), nodes)).select(F.col("child").alias("subject"), F.lit(V.SUBCLASS).alias("prop"), F.col("parent").alias("object"))
+    both = relation_graph(ont).join(nodes.select(F.col("node").alias("cls")).distinct(), "cls", "left_semi").join(nodes.select(F.col("node").alias("filler")).distinct(), "filler", "left_semi")
+    return links.unionByName(both.select(F.col("cls").alias("subject"), "prop", F.col("filler").alias("object"))).distinct()
+
+
+#: axiom types and constructors that each profile leaves out, of those the tables hold
+_OUTSIDE = {
+    "EL": (["InverseProperties", "SymmetricProperty", "AsymmetricProperty", "IrreflexiveProperty", "FunctionalProperty", "InverseFunctionalProperty"], ["all", "or"]),
+    "QL": (["TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "SameIndividual"], ["all", "or"]),
+    "RL": (["ReflexiveProperty"], []),
+}
+
+
+def profile_violations(ont: Ontology, profile: str) -> DataFrame:
+    """ax_type, subject, object of axioms outside the profile EL, QL or RL. RL also leaves out restrictions and
+    unions on the right of a subclass axiom or in an equivalence, except "all" in a subclass axiom."""
+    kinds, ops = _OUTSIDE[profile]
+    op = F.regexp_extract("object", r"^(some|all|and|or)\(", 1)
+    anonymous = F.col("object_kind") == "bnode"
+    outside = F.col("ax_type").isin(kinds) | (anonymous & op.isin(ops))
+    if profile == "RL":
+        outside = outside | (anonymous & ((F.col("ax_type").isin("SubClassOf", "EquivalentClasses") & op.isin("some", "or")) | ((F.col("ax_type") == "EquivalentClasses") & (op == "all"))))
+    return ont.axioms.where(outside).select("ax_type", "subject", "object").distinct()
+
+
 def instances(ont: Ontology, direct: bool = False) -> DataFrame:
     """individual, cls: types of individuals, asserted and (unless direct) by the class hierarchy."""
     own = ont.with_p(V.TYPE).join(ont.declared.where("kind = 'individual'").select(F.col("iri").alias("s")), "s", "left_semi").where(~F.col("o").startswith(V.OWL)).select(F.col("s").alias("individual"), F.col("o").alias("cls"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from axiograph.model import Ontology
+from axiograph.operators import reason, repair, setops
 
 Step = Callable[..., DataFrame]
 _STEPS: dict[str, Step] = {}
@@ -26,6 +27,15 @@ def registered() -> list[str]:
     return sorted(_STEPS)
 
 
+register("merge", lambda ont, others: setops.merge(ont.rows, *others))
+register("unmerge", lambda ont, others: setops.unmerge(ont.rows, *others))
+register("rename", lambda ont, mapping: setops.rename(ont.rows, mapping))
+register("rename-prefixes", lambda ont, prefixes: setops.rename_prefixes(ont.rows, prefixes))
+register("annotate", setops.annotate)
+register("repair", repair.repair_references)
+register("reason", reason.reasoned)
+
+
 class Chain:
     """Chain(triples).then("rename", ...).then(...).triples: each step gets what the one before made."""
 

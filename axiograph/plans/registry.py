@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from axiograph.operators import rules
-from axiograph.plans import derived_queries, graph_queries, oracles  # noqa: F401  derived_queries registers itself
+from axiograph.plans import derived_queries, file_queries, graph_queries, oracles  # noqa: F401  two of them register themselves
 from axiograph.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
