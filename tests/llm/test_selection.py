@@ -177,3 +177,15 @@ def test_mixing(spark):
     assert {r["taken"] for r in mixing.mix(frame.where("doc_id = 1 and text is null")).collect()} == {0}
     turned = mixing.mixed_documents(frame, block_words=16, shard_blocks=50)
     assert turned.columns == frame.columns and 0 < turned.count() <= 3 * len(rows)
+
+
+def test_mixed_documents_meet_targets(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([40, 300, 900, 2500]), "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    want = {r["source"]: r["target"] for r in mixing.mix(frame).select("source", "target").distinct().collect()}
+    got = dict.fromkeys(want, 0)
+    for r in mixing.mixed_documents(frame).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert want["hot"] < 0.3 * sum(len(t.split()) for _, t, s in rows if s == "hot")
+    assert all(abs(got[s] - want[s]) <= 2 * 2500 + 64 for s in want), (got, want)
