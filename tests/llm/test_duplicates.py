@@ -210,3 +210,17 @@ def test_matches_of_a_frequent_seed(spark):
         own = sorted({(d, p) for d, x, p in rows if x == h})
         want |= {(b[0], a[0], b[1], a[1]) for a, b in zip(own, own[1:]) if a[0] != b[0]}
     assert {tuple(r) for r in passages.matches(frame).collect()} == want
+
+
+@pytest.mark.parametrize(("left", "gap", "other_gap", "right"), [(51, 28, 28, 51), (60, 32, 30, 60), (60, 28, 28, 20), (55, 26, 39, 70)])
+def test_passages_around_an_unrelated_gap(left, gap, other_gap, right):
+    rng = np.random.default_rng(left + gap)
+    for _ in range(20):
+        one, two, mine, theirs = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (left, right, gap, other_gap))
+        a, b = np.concatenate([one, mine, two]), np.concatenate([one, theirs, two])
+        cut = int(rng.integers(0, 9))  # winnowed seeds begin and end inside of what is shared
+        runs = np.array([cut, left + gap + 8 - cut]), np.array([cut, left + other_gap + 8 - cut]), np.array([left - 8, right - 8])
+        got = passages.aligned(a, b, *runs)
+        assert all(10 * e >= 8 * c for *_, e, c in got)
+        for lo, hi in ((0, left), (left + gap, left + gap + right)):
+            assert any(x <= lo and hi <= y for x, y, *_ in got), got
