@@ -224,3 +224,16 @@ def test_passages_around_an_unrelated_gap(left, gap, other_gap, right):
         assert all(10 * e >= 8 * c for *_, e, c in got)
         for lo, hi in ((0, left), (left + gap, left + gap + right)):
             assert any(x <= lo and hi <= y for x, y, *_ in got), got
+
+
+def test_exact_passages_among_stock_phrases(spark):
+    rng = random.Random(4)
+    some = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passage, twice = some(60), some(55)
+    docs = [(1, some(30) + passage + some(20)), (1000, some(7) + passage)]
+    docs += [(2 + k, some(20) + passage[k : k + 5] + some(15)) for k in range(56)]  # each seed once in between
+    docs += [(200 + k, some(20) + passage[k : k + 26] + some(15)) for k in range(0, 34, 3)]
+    docs += [(2000, some(10) + twice + some(60) + twice + some(45) + twice), (2001, some(5) + twice + some(5))]
+    frame = docs_of(spark, [(i, " ".join(w)) for i, w in docs])
+    got = {(r["doc_id"], r["begin_word"], r["end_word"]) for r in passages.repeated_passages(frame).collect()}
+    assert got == {(1, 30, 90), (1000, 7, 67), (2000, 10, 65), (2000, 125, 180), (2000, 225, 280), (2001, 5, 60)}
