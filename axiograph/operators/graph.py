@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axiograph.model import Ontology
-from axiograph.sources.store import settle
+from axiograph.sources.shared import settle
 
 
 def reached(edges: DataFrame, starts: DataFrame, source: str = "child", target: str = "parent", within: DataFrame | None = None) -> DataFrame:

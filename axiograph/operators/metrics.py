@@ -11,7 +11,7 @@ from axiograph.functions import terms
 from axiograph.functions import vocab as V
 from axiograph.model import CHARACTERISTICS, GROUPS, Ontology
 from axiograph.operators import axfilter, graph, reason
-from axiograph.sources.store import settle
+from axiograph.sources.shared import settle
 
 SINGLE, LIST, MAP = "single_value", "list_value", "map_value"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from axiograph.functions import vocab as V
 from axiograph.model import Ontology
 from axiograph.operators import graph, setops
-from axiograph.sources.store import settle
+from axiograph.sources.shared import settle
 
 
 def told(ont: Ontology) -> DataFrame:

@@ -13,6 +13,7 @@ from axiograph.operators import axfilter, export, graph, metrics, patterns, reas
 from axiograph.plans.derived_queries import _ABOVE, _LB, _SOME, _g, _table
 from axiograph.plans.graph_queries import _GAPS, _OUT, _PROFILE, _T, EX, _half, _in, _metric, _nodes, _report_sql, _shown, query, starts
 from axiograph.sources import files, store
+from axiograph.sources.shared import settle
 
 # Files --------------------------------------------------------------------------------------------------------------
 
@@ -165,7 +166,7 @@ query("spq_09_many_queries", f"SELECT 'labels' AS rule, CAST(count(*) AS BIGINT)
 
 
 def _failing(ont: Ontology) -> DataFrame:
-    rows = store.settle(report.report(ont.triples, _PROFILE), "report")
+    rows = settle(report.report(ont.triples, _PROFILE), "report")
     return ont.spark.createDataFrame([(level, report.fails(rows, level)) for level in ("none", "error", "warn", "info")], "fail_on string, fails boolean")
 
 

@@ -2,51 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from axiograph.sources import mapping
+from axiograph.sources.shared import new_path
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("graph", "s", "s_kind", "o", "o_kind", "o_dt", "o_lang", "p")])
 _stores: dict[tuple[str, str], str] = {}
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset, the warehouse on a cluster and /tmp/checkpoints in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints" if spark.conf.get("spark.master", "local").startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A place in the shared folder whose files go when the driver's Python ends."""
-    if not _written:
-        atexit.register(cleanup)
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def cleanup() -> None:
-    while _written:
-        spark, path = _written.pop()
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended
-            return
-
-
-def settle(df: DataFrame, what: str = "step") -> DataFrame:
-    """df written to the shared folder and read again: computed once, with no lineage, and safe from lost executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_store(triples: DataFrame, path: str, mode: str = "error") -> None:
