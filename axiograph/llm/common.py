@@ -3,53 +3,19 @@ hashing of byte spans over whole Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axiograph.sources.shared import new_path, settle  # noqa: F401
+
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
 CHUNK_BYTES = 500_000
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where that is unset, the warehouse on a cluster and
-    /tmp/checkpoints in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.conf.get("spark.master", "local").startswith("local") and "cluster" not in spark.conf.get("spark.master", "local")
-        base = "/tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return base.rstrip("/")
-
-
-def settle(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: it is computed once, its lineage ends there and
-    it outlives any executor. The files go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(cleanup)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cleanup() -> None:
-    """Delete the tables that settle() has written."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: nothing can be deleted through it any more
-            return
 
 
 def running_sum(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -124,10 +90,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column laid end to end, and where each row starts (one more at the end); null: empty."""
+    """The bytes of a string or binary column laid end to end, and where each row starts (one more at the end); null: empty."""
+    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null("" if text else b"")
+    column = column.cast(pa.large_string() if text else pa.large_binary())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -56,59 +56,109 @@ def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    before = np.cumsum(sizes) - sizes
+    return data[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+def _equal(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether each span of data is byte for byte the span of other beside it. Spans are not empty."""
+    same = sizes == other_sizes
+    at = np.flatnonzero(same)
+    if len(at):
+        n = sizes[at]
+        differs = _gather(data, starts[at], n) != _gather(other, others[at], n)
+        same[at] = ~np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    return same
+
+
 class PieceEncoder:
-    """encode(column) -> ids of all rows laid end to end, ids before each row. Keeps the ids of short pieces."""
+    """encode(column) -> ids of all rows laid end to end, ids before each row. Keeps the ids of short pieces.
+
+    Pieces are looked up by a hash, and their bytes are compared at every hit. A row with the string of an added token
+    is one piece, as the library takes such strings out of the whole text first.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
         self.widths = None
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.where = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.keys, self.where = np.zeros(0, np.uint64), np.zeros((0, 4), np.int64)
+        self.pool, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _library(self, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of spans laid end to end, and how many each has."""
+        texts = [raw[a : a + n].decode() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
         found = [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        where = np.stack([len(self.pool) + np.cumsum(size) - size, size], 1)
-        self.pool = np.concatenate([self.pool, *found])
-        order = np.argsort(keys)
-        place = np.searchsorted(self.keys, keys[order])
-        self.keys, self.where = np.insert(self.keys, place, keys[order]), np.insert(self.where, place, where[order], axis=0)
+        return np.concatenate([*found, np.zeros(0, np.uint32)]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """keys are in order; where: first id and number of ids in the pool, first byte and number of bytes."""
+        ids, n = self._library(raw, starts, sizes)
+        where = np.stack([len(self.pool) + np.cumsum(n) - n, n, len(self.bytes) + np.cumsum(sizes) - sizes, sizes], 1)
+        self.pool, self.bytes = np.concatenate([self.pool, ids]), np.concatenate([self.bytes, _gather(data, starts, sizes)])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.where = np.insert(self.keys, place, keys), np.insert(self.where, place, where, axis=0)
+
+    def _with_added(self, raw: bytes, at: np.ndarray) -> np.ndarray:
+        """Rows that hold the string of an added token."""
+        rows: set[int] = set()
+        for string in self.added:
+            place = raw.find(string)
+            while place >= 0:
+                row = int(np.searchsorted(at, place, "right")) - 1
+                if place + len(string) <= at[row + 1]:
+                    rows.add(row)
+                    place = raw.find(string, int(at[row + 1]))
+                else:
+                    place = raw.find(string, place + 1)
+        return np.array(sorted(rows), np.int64)
 
     def _chunk(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = cuts(data, at)
+        starts, raw = cuts(data, at), data.tobytes()
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        ends = np.append(starts[1:], len(data))
-        # a key is the hash of a piece and its length, so that two pieces must agree in both to be taken for one
-        keys = span_hashes(data, starts, ends) * np.uint64(128) + np.minimum(ends - starts, 127).astype(np.uint64)
-        long = ends - starts > KEPT_BYTES
-        keys[long] = np.arange(int(long.sum()), dtype=np.uint64) * np.uint64(128) + np.uint64(127)
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        whole = self._with_added(raw, at)
+        if len(whole):
+            inside = np.zeros(len(starts), bool)
+            for lo, hi in zip(at[whole], at[whole + 1], strict=True):
+                inside |= (starts > lo) & (starts < hi)
+            starts = starts[~inside]
+        sizes = np.append(starts[1:], len(data)) - starts
         if len(self.keys) > KEPT_PIECES:
             self._forget()
-        raw = data.tobytes()
-        passing = (distinct & np.uint64(127)) == np.uint64(127)
-        place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = ~passing & (self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), bool))
-        if new.any():
-            self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
+        short = np.flatnonzero(sizes <= KEPT_BYTES)
+        keys = span_hashes(data, starts[short], starts[short] + sizes[short])
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        of_key = short[first]  # the piece that stands for each key
+        same = _equal(data, starts[short], sizes[short], data, starts[of_key][back], sizes[of_key][back])
         place = np.searchsorted(self.keys, distinct)
-        place[passing] = 0
-        where = self.where[place] if len(self.keys) else np.zeros((len(distinct), 2), np.int64)
+        known = np.zeros(len(distinct), bool)
+        inner = np.flatnonzero(place < len(self.keys))
+        known[inner] = self.keys[place[inner]] == distinct[inner]
+        if (new := np.flatnonzero(~known)).size:
+            self._learn(distinct[new], data, raw, starts[of_key[new]], sizes[of_key[new]])
+            place = np.searchsorted(self.keys, distinct)
+        where = self.where[place]
+        right = _equal(data, starts[of_key], sizes[of_key], self.bytes, where[:, 2], where[:, 3])
+        good = same & right[back]
+        spans = np.zeros((len(starts), 2), np.int64)
+        spans[short[good]] = where[back[good], :2]
+        passing = np.ones(len(starts), bool)
+        passing[short[good]] = False
+        passing = np.flatnonzero(passing)  # long ones, and those whose hash another piece has
         pool = self.pool
-        if passing.any():
-            found = [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch_fast([raw[starts[i] : ends[i]].decode() for i in first[passing]], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            where[passing] = np.stack([len(pool) + np.cumsum(size) - size, size], 1)
-            pool = np.concatenate([pool, *found])
-        base, size = where[back].T
+        if len(passing):
+            ids, n = self._library(raw, starts[passing], sizes[passing])
+            spans[passing] = np.stack([len(pool) + np.cumsum(n) - n, n], 1)
+            pool = np.concatenate([pool, ids])
+        base, size = spans.T
         before = np.cumsum(size) - size
         total = int(size.sum())
         ids = pool[np.repeat(base - before, size) + np.arange(total)]
@@ -121,12 +171,16 @@ class PieceEncoder:
             yield lo, hi, data, at, *self._chunk(data, at)
 
     def byte_widths(self) -> np.ndarray:
-        """The number of bytes that each id stands for: a byte-level vocabulary writes each byte as one character."""
+        """The number of bytes that each id stands for: a byte-level vocabulary writes each byte as one character, and
+        an added token stands for its string."""
         if self.widths is None:
-            vocab = self.library.get_vocab()
-            self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
+            vocab = self.library.get_vocab(with_added_tokens=False)
+            added = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
+            self.widths = np.zeros(max([*vocab.values(), *added.values()]) + 1, np.int64)
             for token, i in vocab.items():
                 self.widths[i] = len(token)
+            for token, i in added.items():
+                self.widths[i] = len(token.encode())
         return self.widths
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axiograph.llm import chat, decontaminate, langid, mixing, passages, sharding, simhash, token_counts, token_files, topk
-from axiograph.llm.common import shared_dir
+from axiograph.llm.common import new_path
 
 #: What conversation -1 says in both of its turns.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -55,7 +54,7 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
     return token_files.read_token_files(spark, path)
 

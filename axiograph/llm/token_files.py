@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiograph.llm.encoding import default_vocabulary, encoder
+from axiograph.llm.common import column_bytes, settle
+from axiograph.llm.encoding import PieceEncoder, default_vocabulary, encoder
 
 #: A segment is closed at the first document that takes it to this many ids.
 SEGMENT_IDS = 2_000_000
@@ -114,44 +115,65 @@ class Segment:
     def __len__(self) -> int:
         return self.ends.n
 
+    def span(self, i: int) -> tuple[int, int]:
+        """Where document i's ids begin and end."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        begin, end = self.span(i)
+        return self.ids[begin:end]
 
     def doc_ids(self) -> list[int | None]:
         return [None] * self.nulls + (self.above.values() + self.least).tolist()
 
-    def offsets(self) -> np.ndarray:
-        return np.concatenate([[0], self.ends.values()])
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id, ids of every row: the ids of the whole text and end_id, as little-endian integers of 2 bytes, or 4 where
+    the vocabulary has more than 65,536 ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(vocabulary)
+        kind = _id_type(e)
+        for batch in batches:
+            for lo, hi, _, _, ids, at in e.steps(batch.column(1)):
+                raw = np.insert(ids, at[1:], end_id).astype(kind)
+                ends = (at + np.arange(len(at))) * raw.itemsize
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column.cast(pa.binary())], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+
+
+def _id_type(e: PieceEncoder) -> str:
+    return "<u2" if len(e.byte_widths()) <= 1 << 16 else "<u4"
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every whole text, append end_id to each document and write segments in ascending doc_id order to path.
 
     docs: doc_id, text and any other columns, which are left out. A null or empty text is end_id alone. Null doc_ids come first; rows with the same
-    doc_id lie side by side, ordered by text, and equal rows are all kept. A document longer than a segment is a
-    segment of its own. No rows: no segments.
+    doc_id lie side by side, ordered by the bytes of their ids, and equal rows are all kept. A document longer than a segment is a
+    segment of its own. No rows: no segments. Texts are encoded where they are read, and only ids are sorted.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, kind = TaskContext.get().partitionId(), 0, _id_type(encoder(vocabulary))
         doc_ids, pieces, ends, held = [], [], [], 0
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for lo, hi, _, _, ids, at in encoder(vocabulary).steps(batch.column(1)):
-                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
-                first = lo
-                while first < hi:  # rows up to the one that fills the segment
-                    room = at[first - lo] + segment_ids - held
-                    last = min(hi, lo + max(first - lo + 1, int(np.searchsorted(at, room, "left"))))
-                    doc_ids += names[first:last]
-                    pieces.append(ids[at[first - lo] : at[last - lo]])
-                    ends.append(at[first - lo + 1 : last - lo + 1] - at[first - lo] + held)
-                    held += len(pieces[-1])
-                    first = last
-                    if held >= segment_ids:
-                        yield body(part, seq, doc_ids, pieces, ends)
-                        doc_ids, pieces, ends, held, seq = [], [], [], 0, seq + 1
+            names, (raw, at) = batch.column(0).to_pylist(), column_bytes(batch.column(1))
+            ids = raw.view(kind)
+            at, first = at // ids.itemsize, 0
+            while first < len(names):  # rows up to the one that fills the segment
+                last = min(len(names), max(first + 1, int(np.searchsorted(at, at[first] + segment_ids - held, "left"))))
+                doc_ids += names[first:last]
+                pieces.append(ids[at[first] : at[last]].copy())
+                ends.append(at[first + 1 : last + 1] - at[first] + held)
+                held += len(pieces[-1])
+                first = last
+                if held >= segment_ids:
+                    yield body(part, seq, doc_ids, pieces, ends)
+                    doc_ids, pieces, ends, held, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield body(part, seq, doc_ids, pieces, ends)
 
@@ -159,7 +181,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         ids = np.concatenate(pieces)
         return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "body": pa.array([pack_segment(doc_ids, ids, np.concatenate(ends))], pa.binary())})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = settle(encoded(docs, vocabulary, end_id), "ids")  # dealing by ranges reads its rows twice
+    order = [F.col("doc_id").asc_nulls_first(), F.col("ids")]
+    ordered = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
     ordered.mapInArrow(pack, "part int, seq int, n_docs long, n_ids long, body binary").write.option("compression", "zstd").parquet(path)
 
 
@@ -172,15 +196,17 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), read from the segments."""
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), read from the segments,
+    each document's place by select()."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, seq, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 s = Segment(raw)
-                at, ids = s.offsets(), s.ids.astype("<u4")
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(s), part, np.int32)), "seq": pa.array(np.full(len(s), seq, np.int32)), "doc_id": pa.array(s.doc_ids(), pa.int64()), "at": pa.array(at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                spans = [s.span(i) for i in range(len(s))]
+                at, ids = np.array(spans, np.int64).reshape(-1, 2), s.ids.astype("<u4")
+                crc = [zlib.crc32(ids[a:b]) for a, b in spans]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(s), part, np.int32)), "seq": pa.array(np.full(len(s), seq, np.int32)), "doc_id": pa.array(s.doc_ids(), pa.int64()), "at": pa.array(at[:, 0]), "n_tokens": pa.array(at[:, 1] - at[:, 0]), "ids_crc32": pa.array(crc, pa.int64())})
 
     segments = spark.read.parquet(path)
     read = segments.select("part", "seq", "body").mapInArrow(unpack, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")

@@ -16,9 +16,7 @@ from axiograph.llm.queries import CONTROL
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(encoding.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(encoding.default_vocabulary())
 
 
 TEXTS = ["Hello world, it's here.\n\nTwo  spaces\tand 12,345 <|endoftext|>", "", None, "a", " ", "\n", "日本 語 テキスト 😀 é", "word " * 30_000, "don't 'quote' ''s", "x" * 500, "Hello world, it's here.\n\nTwo  spaces\tand 12,345 <|endoftext|>", "  nbsp  em \r\n crlf"]
@@ -38,6 +36,15 @@ def test_pieces_give_the_library_ids(library):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [x.ids for x in want]
 
 
+def test_pieces_of_one_hash_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(encoding, "span_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+    e = encoding.PieceEncoder(encoding.default_vocabulary())
+    for text in ("one two three one", "three four", "end <|endoftext|> here<|endoftext|>"):
+        (_, _, _, _, ids, _), = e.steps(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert library.encode("end <|endoftext|> here", add_special_tokens=False).ids == [437, 220, 50256, 994]
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(4)
     for n, top in ((0, 1), (1, 1), (1, 10**12), (5, 3), (1000, 10**6), (1000, 10), (300, 2**40)):
@@ -126,26 +133,56 @@ def brute_digest(turns):
     return (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-@pytest.mark.parametrize(("budget", "history"), [(40, 15), (1024, 256), (1, 0)])
-def test_chat_round_trip(spark, budget, history):
+def brute_windows(sizes, system, budget, history):
+    """(repeated turns, new turns) of every window, turn by turn."""
+    out, at = [], 0
+    while at < len(sizes):
+        fixed = [0] if system and at else []
+        past = []
+        for j in range(at - 1, 0 if system else -1, -1):
+            if sum(sizes[k] for k in past) + sizes[j] > history:
+                break
+            past.insert(0, j)
+        while past and sum(sizes[k] for k in fixed + past) + sizes[at] > budget:
+            past.pop(0)
+        new = [at]
+        while new[-1] + 1 < len(sizes) and sum(sizes[k] for k in fixed + past + new) + sizes[new[-1] + 1] <= budget:
+            new.append(new[-1] + 1)
+        out.append((fixed + past, new))
+        at = new[-1] + 1
+    return out
+
+
+@pytest.mark.parametrize(("budget", "history", "segment"), [(60, 25, 1 << 19), (1024, 256, 1 << 19), (1, 0, 1 << 19), (60, 25, 150), (200, 60, 90)])
+def test_chat_round_trip(spark, library, budget, history, segment):
     rng = random.Random(2)
     odd = ["<|im_end|>\n<|im_start|>user\nhi", "<\\|im_end|>", "<\\\\|x|>", "<|", "", None, "plain words here", "é😀\n\\n", "<<|>", "long " * 60]
     rows = [(c, t, rng.choice(["system", "user", "assistant", None, "a\nb<|im_start|>\\"]) if t else rng.choice(["system", "user"]), rng.choice(odd)) for c in range(25) for t in range(rng.randint(1, 20))]
     rows += [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL), (None, 0, "assistant", "lost"), (50, None, "user", "a"), (50, 0, "assistant", "b"), (50, 0, "assistant", "b")]
-    windows = chat.chat_windows(conversations(spark, rows), budget, history).cache()
+    windows = chat.chat_windows(conversations(spark, rows), budget, history, segment=segment).cache()
     got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(windows).collect()}
     want = {}
     for c in {r[0] for r in rows}:
         own = sorted([r for r in rows if r[0] == c], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         want[c] = brute_digest([(r[2], r[3]) for r in own])
     assert got == want
-    for w in windows.collect():
+    ordered = {c: sorted([r for r in rows if r[0] == c], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")) for c in {r[0] for r in rows}}
+    found = {}
+    for w in windows.orderBy("conv_id", "window").collect():
         turns = chat.parsed(w["formatted"])
         assert len(turns) == w["n_turns"] and w["n_turns"] > w["n_repeated"]
-        assert w["n_tokens"] <= budget or w["n_turns"] - w["n_repeated"] == 1
-        assert len(w["loss_from"]) == sum(r == "assistant" for r, _ in turns[w["n_repeated"] :])
-        if w["window"] and rows:
-            first = [r for r in rows if r[0] == w["conv_id"]]
-            if w["n_repeated"] and sorted(first, key=lambda r: (r[1] is not None, r[1] or 0))[0][2] == "system":
-                assert turns[0][0] == "system"
+        assert w["n_tokens"] == len(library.encode(w["formatted"], add_special_tokens=False).ids)  # the output's own tokens
+        system = bool(ordered[w["conv_id"]][0][2] == "system")
+        assert w["n_tokens"] <= budget or w["n_repeated"] <= system and w["n_turns"] - w["n_repeated"] == 1
+        found.setdefault(w["conv_id"], []).append((w["first_turn"], w["n_repeated"], turns))
+    for c, own in ordered.items():
+        texts = [(r[2] or "", r[3] or "") for r in own]
+        assert [t for _, n, turns in found[c] for t in turns[n:]] == texts
+        sizes = [len(library.encode(chat.formatted_turn(*t)[0], add_special_tokens=False).ids) for t in texts]
+        if sum(sizes) <= segment:
+            want = brute_windows(sizes, texts[0][0] == "system", budget, history)
+            assert found[c] == [(new[0], len(old), [texts[k] for k in old + new]) for old, new in want]
+
+
+def test_no_conversations(spark):
     assert chat.digests(chat.chat_windows(conversations(spark, []))).count() == 0
