@@ -34,6 +34,20 @@ def running_sum(rows: DataFrame, group: list[str], order: list[str], value: str,
     return joined.withColumn(out, F.col(out) + F.col("base_")).drop("base_", "part_", "at_")
 
 
+def attached(rows: DataFrame, table: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """rows (all with a key) joined with table, which has one row for each key and in `weight` the key's number of rows.
+
+    Keys with over 1 / share of all rows, of which there are fewer than `share`, are broadcast, so a hot key's rows stay
+    where they are; the rest meet by a shuffle. weight is left out of the result.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * share > total
+    hot = table.where(is_hot).drop(weight)
+    many = rows.join(F.broadcast(hot), key)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot).drop(weight), key)
+    return many.unionByName(few)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root for every node of the links a-b: root is the smallest node that can be reached.
 

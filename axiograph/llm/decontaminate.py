@@ -49,11 +49,25 @@ _ANCHOR = pa.struct([("n", pa.int32()), ("h", pa.int64()), ("pos", pa.int64()),
 _ANCHOR_SQL = "array<struct<n:int,h:long,pos:long,lead:int,words:binary>>"
 
 
-def _anchored(rows: DataFrame, name: str, short: list[int] | None, known: np.ndarray | None) -> DataFrame:
+def _in_filter(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return (known[(hashes >> np.uint64(3)) % np.uint64(FILTER_BITS // 8)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _spanned(words: np.ndarray, first: np.ndarray, places: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether one of the windows of SPAN words around the GRAM words at each place is in the filter of items' windows."""
+    hashes, whole = grams(words, first, SPAN)
+    hit = np.zeros(len(words) + 1, np.int64)
+    hit[1 : len(hashes) + 1] = np.cumsum(whole & _in_filter(known, hashes))
+    hit[len(hashes) + 1 :] = hit[len(hashes)]
+    return hit[places + 1] > hit[np.maximum(places - (SPAN - GRAM), 0)]
+
+
+def _anchored(rows: DataFrame, name: str, short: list[int] | None, known: np.ndarray | None, windows: np.ndarray | None = None) -> DataFrame:
     """name, n_words, anchors for every row of (name, text).
 
     short None: the rows are items: one of fewer than SPAN words has its whole sequence as its only fingerprint.
-    known: bits that fingerprints must have set to be kept.
+    known: bits that fingerprints must have set to be kept; windows: bits of which a window of SPAN words around a
+    fingerprint of GRAM words must have one.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +84,11 @@ def _anchored(rows: DataFrame, name: str, short: list[int] | None, known: np.nda
                         places, hashes, rows_of = places[own], hashes[own], rows_of[own]
                     hashes = hashes ^ np.uint64(n << 32)
                     if known is not None:
-                        own = np.flatnonzero(known[(hashes >> np.uint64(3)) % np.uint64(FILTER_BITS // 8)] >> (hashes & np.uint64(7)).astype(np.uint8) & 1)
+                        own = np.flatnonzero(_in_filter(known, hashes))
                         places, hashes, rows_of = places[own], hashes[own], rows_of[own]
+                        if n == GRAM and len(places):
+                            own = np.flatnonzero(_spanned(words, first, places, windows))
+                            places, hashes, rows_of = places[own], hashes[own], rows_of[own]
                     context, lead = _context(words, first, places, n if n <= SPAN else n - SPAN)
                     for r, h, p, before, text in zip(rows_of.tolist(), signed(hashes).tolist(), (places - first[rows_of]).tolist(), lead.tolist(), context, strict=True):
                         found[r].append({"n": n, "h": h, "pos": p, "lead": before, "words": text})
@@ -82,10 +99,10 @@ def _anchored(rows: DataFrame, name: str, short: list[int] | None, known: np.nda
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, item, begin, end: the words around a meeting that both texts share, if an item's window lies in them."""
+    """The meeting, and where from its place the words that both contexts share begin and end, if an item's window lies in them."""
     for batch in batches:
         out = []
-        for row, item, n, pos, lead, words, item_lead, item_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for n, h, lead, words, item_lead, item_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a, b = np.frombuffer(words, np.uint64), np.frombuffer(item_words, np.uint64)
             size, need = (n, SPAN) if n <= SPAN else (n - SPAN, n - SPAN)
             back = min(lead, item_lead)
@@ -95,26 +112,54 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = bad[bad < back].max() + 1 if (bad < back).any() else 0
             right = bad[bad >= back].min() if (bad >= back).any() else m
             if right - back >= size and right - left >= need:
-                out.append((row, item, pos - back + int(left), pos - back + int(right)))
+                out.append((n, h, lead, words, item_lead, item_words, int(left) - back, int(right) - back))
         if out:
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["row", "item", "begin", "end"])
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*_OURS, *_THEIRS, "from", "to"])
+
+
+_OURS, _THEIRS = ["n", "h", "lead", "words"], ["item_lead", "item_words"]
+
+
+def _filter_of(rows: DataFrame) -> np.ndarray:
+    """Bits of the hashes h: a fixed size, FILTER_BITS, however many rows."""
+    place = F.pmod(F.shiftrightunsigned("h", 3), F.lit(FILTER_BITS // 8))
+    known = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.groupBy(place.alias("place")).agg(F.bit_or(F.expr("shiftleft(1, cast(h & 7L AS int))")).alias("bits")).toLocalIterator():
+        known[r["place"]] = r["bits"]
+    return known
+
+
+def _windows(benchmark: DataFrame) -> DataFrame:
+    """h: the hash of every window of SPAN words of the items."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in chunks(batch.column(0)):
+                hashes, whole = grams(*word_hashes(LOWER[data], at, _WORD), SPAN)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[whole]))], ["h"])
+
+    return benchmark.select("text").mapInArrow(scan, "h long")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_words) for every row of docs, and (row, item, begin, end) for the word spans they share with
-    items; item is the item_id as text."""
+    items; item is the item_id as text.
+
+    Fingerprints meet as distinct contexts of either side, so copies of a passage are compared once, and a document's
+    fingerprint goes on only if a window around it may be an item's. What is really shared is then given to the rows and items.
+    """
     items = settle(_anchored(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), "item", None, None).withColumn("at", F.explode("anchors")).select("item", "at.*"), "items")
     short = sorted(r["n"] - SPAN for r in items.select("n").where(F.col("n") > SPAN).distinct().collect())  # at most SPAN - 1
-    place = F.pmod(F.shiftrightunsigned("h", 3), F.lit(FILTER_BITS // 8))
-    known = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in items.groupBy(place.alias("place")).agg(F.bit_or(F.expr("shiftleft(1, cast(h & 7L AS int))")).alias("bits")).toLocalIterator():
-        known[r["place"]] = r["bits"]  # a fixed size: FILTER_BITS
-    rows = settle(_anchored(docs.select("doc_id", "text"), "doc_id", short, known).withColumn("row", F.monotonically_increasing_id()), "anchored")
+    known, windows = _filter_of(items), _filter_of(_windows(benchmark))
+    rows = settle(_anchored(docs.select("doc_id", "text"), "doc_id", short, known, windows).withColumn("row", F.monotonically_increasing_id()), "anchored")
     ours = rows.select("row", F.explode("anchors").alias("at")).select("row", "at.*")
     theirs = items.select("item", "n", "h", F.col("lead").alias("item_lead"), F.col("words").alias("item_words"))
-    met = ours.join(theirs, ["n", "h"]).select("row", "item", "n", "pos", "lead", "words", "item_lead", "item_words")
-    return rows.select("row", "doc_id", "n_words"), met.mapInArrow(_shared, "row long, item string, begin long, end long").distinct()
+    met = ours.select(_OURS).distinct().join(theirs.drop("item").distinct(), ["n", "h"]).select(*_OURS, *_THEIRS)
+    kinds = "n int, h long, lead int, words binary, item_lead int, item_words binary, `from` long, `to` long"
+    shared = settle(met.mapInArrow(_shared, kinds), "shared")
+    spans = ours.join(shared, _OURS).join(theirs.distinct(), ["n", "h", *_THEIRS])
+    return rows.select("row", "doc_id", "n_words"), spans.select("row", "item", (F.col("pos") + F.col("from")).alias("begin"), (F.col("pos") + F.col("to")).alias("end")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -143,4 +188,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contamination() judges contaminated, all columns kept. Rows that repeat a doc_id go
     together if one of them is contaminated; rows without a doc_id stay."""
     bad = contamination(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti")

@@ -116,26 +116,49 @@ def predict(docs: DataFrame, profiles: DataFrame, keep: list[str]) -> DataFrame:
     Distance to a language: over the text's PROFILE most frequent n-grams, how far each is from its rank in the
     language's profile, PROFILE where it isn't there. The nearest language wins, ties to the first by code point;
     score = 1 - distance / the largest possible. Null texts, texts without a letter, and all texts where nothing was
-    learned: "und" and 0. Profiles are read LANGUAGES at a time, so what a task holds is bounded.
+    learned: "und" and 0. Profiles are read LANGUAGES at a time, PROFILE entries of each, so what the driver and a task hold is bounded.
     """
     langs = [r["lang"] for r in profiles.select("lang").distinct().orderBy("lang").collect()]
     passes = [langs[i : i + LANGUAGES] for i in range(0, max(1, len(langs)), LANGUAGES)]
-    columns, scored = list(keep), docs.select("text", *keep)
+    # own names for all columns meanwhile, so that none can clash
+    own = [f"k{i}" for i in range(len(keep))]
+    columns, scored = list(own), docs.select(F.col("text").alias("t"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)])
     for i, some in enumerate(passes):
         part = profiles.where(F.col("lang").isin(some)).toPandas() if some else pd.DataFrame({"lang": [], "rank": [], "gram": []})
-        scored = _scored(scored, part, some, columns, f"lang_{i}", f"score_{i}", last=i == len(passes) - 1)
+        scored = _scored(scored, part, some, columns, "t", f"lang_{i}", f"score_{i}", last=i == len(passes) - 1)
         columns += [f"lang_{i}", f"score_{i}"]
     score = F.greatest(*[F.col(f"score_{i}") for i in range(len(passes))]) if len(passes) > 1 else F.col("score_0")
     lang = F.coalesce(*[F.when(F.col(f"score_{i}") == score, F.col(f"lang_{i}")) for i in range(len(passes))])
-    return scored.select(*keep, lang.alias("lang_pred"), score.alias("score"))
+    return scored.select(*[F.col(k).alias(c) for c, k in zip(keep, own, strict=True)], lang.alias("lang_pred"), score.alias("score"))
 
 
-def _scored(docs: DataFrame, part: pd.DataFrame, langs: list[str], keep: list[str], lang: str, score_: str, last: bool) -> DataFrame:
-    grams = np.unique(part["gram"].to_numpy(np.int64).view(np.uint64)) if len(part) else np.zeros(1, np.uint64)
-    ranks = np.full((len(grams) + 1, max(1, len(langs))), -1, np.int32)  # the last row: in no profile
-    if len(part):
+class _Postings:
+    """n-gram -> (language, rank) of every profile that has it: as many entries as the profiles have, however many languages."""
+
+    def __init__(self, part: pd.DataFrame, langs: list[str]):
         place = {x: i for i, x in enumerate(langs)}
-        ranks[np.searchsorted(grams, part["gram"].to_numpy(np.int64).view(np.uint64)), part["lang"].map(place).to_numpy(int)] = part["rank"].to_numpy(int)
+        grams = part["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams)).astype(np.int64)
+        self.lang = part["lang"].map(place).to_numpy(np.int64)[order]
+        self.rank = part["rank"].to_numpy(np.int64)[order]
+        self.n_langs = len(langs)
+
+    def distances(self, top: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of a text's most frequent n-grams to every language: PROFILE for each, less what is gained
+        where a profile has it."""
+        place = np.searchsorted(self.grams, top)
+        known = np.flatnonzero(place < len(self.grams))
+        known = known[self.grams[place[known]] == top[known]]
+        begin, size = self.first[place[known]], self.first[place[known] + 1] - self.first[place[known]]
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        gain = PROFILE - np.abs(self.rank[at] - np.repeat(known, size))
+        return PROFILE * len(top) - np.bincount(self.lang[at], gain, self.n_langs)
+
+
+def _scored(docs: DataFrame, part: pd.DataFrame, langs: list[str], keep: list[str], text: str, lang: str, score_: str, last: bool) -> DataFrame:
+    postings = _Postings(part, langs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,25 +167,21 @@ def _scored(docs: DataFrame, part: pd.DataFrame, langs: list[str], keep: list[st
                 codes, places, at = _grams(texts)
                 cut = [np.searchsorted(p, at) for p in places]
                 for i in range(len(texts)):
-                    own = np.concatenate([c[k[i] : k[i + 1]] for c, k in zip(codes, cut, strict=True)])
                     if cut[0][i] == cut[0][i + 1] or not langs:
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         continue
-                    top = _profile(own)
-                    where = np.minimum(np.searchsorted(grams, top), len(grams) - 1)
-                    where[grams[where] != top] = len(grams)
-                    r = ranks[where]
-                    far = np.where(r < 0, PROFILE, np.abs(r - np.arange(len(top))[:, None])).sum(0)
+                    top = _profile(np.concatenate([c[k[i] : k[i + 1]] for c, k in zip(codes, cut, strict=True)]))
+                    far = postings.distances(top)
                     k = int(far.argmin())
                     names.append(langs[k])
                     scores.append(1 - float(far[k]) / (PROFILE * len(top)))
             held = batch.columns[last:]  # the text goes along while another pass follows
             yield pa.RecordBatch.from_arrays([*held, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, lang, score_])
 
-    kept = keep if last else ["text", *keep]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select("text", *keep).mapInArrow(score, f"{fields}, {lang} string, {score_} double")
+    kept = keep if last else [text, *keep]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema)
+    return docs.select(*[F.col(f"`{c}`") for c in [text, *keep]]).mapInArrow(score, f"{fields}, {lang} string, {score_} double")
 
 
 def held_out() -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axiograph.llm.common import running_sum, settle
+from axiograph.llm.common import attached, running_sum, settle
 
 SHARDS = 8
 #: A group with more than 1/(shards * FINE) of all bytes, tokens or rows is placed first; with more than 8 times that it is split.
@@ -33,7 +33,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null) for every row of docs.
 
     docs: doc_id, text and any other columns, which are left out. size: UTF-8 bytes of the text and 1 (null text: 1,
-    crc32 0). Rows with equal texts are a group and go to one shard, except that a group with more than
+    crc32 0). Rows with equal texts are a group (null texts are one, empty texts another) and go to one shard, except that a group with more than
     8 / (n_shards * 256) of all bytes, tokens or rows is split by doc_id into pieces of about that share at most, since no shard
     could hold it evenly. Groups are placed largest first: those above 1 / (n_shards * 256), of which there is a
     bounded number, on the driver; the rest in tasks of some PACKED groups, each with its share of what capacity is
@@ -70,6 +70,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     placed = small.groupBy("task").applyInPandas(place, "key binary, piece int, shard int")
     if len(large):
         placed = placed.unionByName(spark.createDataFrame([(bytes(k), int(p), int(s)) for k, p, s in large[["key", "piece", "shard"]].itertuples(index=False)], "key binary, piece int, shard int"))
-    dealt = pieced.join(placed, ["key", "piece"]).select("doc_id", "size", "text_crc32", "shard", F.lit(1).alias("one"))
+    placed = placed.join(items.select("key", "piece", "rows"), ["key", "piece"]).select(F.struct("key", "piece").alias("item"), "shard", "rows")
+    dealt = attached(pieced.withColumn("item", F.struct("key", "piece")), settle(placed, "placed"), "item", "rows").select("doc_id", "size", "text_crc32", "shard", F.lit(1).alias("one"))
     slots = running_sum(dealt, ["shard"], ["doc_id", "text_crc32"], "one", "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -4,7 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from axiograph.llm import langid, mixing, sharding, topk
 
@@ -94,6 +96,21 @@ def test_language_profiles_and_distance(spark, monkeypatch):
         want = {g for g, _ in sorted(merged.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]}
         got = {r["gram"] for r in profiles.where(profiles.lang == lang).collect()}
         assert got == want
+    ranks = {}
+    for r in langid.learned(docs).collect():
+        ranks.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+    texts = {i: t for i, t, _, _ in rows}
+    for r in langid.identify(docs).collect():
+        own = {}
+        for word in texts[r["doc_id"]].split():
+            w = f" {word} "
+            for g in (w[k : k + n] for n in (1, 2, 3) for k in range(len(w) - n + 1)):
+                if g.strip():
+                    own[code[len(g)](g)] = own.get(code[len(g)](g), 0) + 1
+        top = sorted(own, key=lambda g: (-own[g], g))[: langid.PROFILE]
+        far = {x: sum(abs(i - rank[signed(g)]) if signed(g) in rank else langid.PROFILE for i, g in enumerate(top)) for x, rank in ranks.items()}
+        best = min(sorted(far), key=far.get)
+        assert (r["lang_pred"], round(r["score"], 12)) == (best, round(1 - far[best] / (langid.PROFILE * len(top)), 12))
     one = sorted(map(tuple, langid.identify(docs).collect()))
     monkeypatch.setattr(langid, "LANGUAGES", 2)  # two passes over the languages
     assert sorted(map(tuple, langid.identify(docs).collect())) == one
@@ -101,6 +118,22 @@ def test_language_profiles_and_distance(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def test_many_languages_take_little_memory():
+    rng = np.random.default_rng(3)
+    langs = [f"l{i:04}" for i in range(2000)]
+    part = pd.DataFrame({"lang": np.repeat(langs, langid.PROFILE), "rank": np.tile(np.arange(langid.PROFILE), 2000), "gram": rng.integers(0, 1 << 40, 2000 * langid.PROFILE)})
+    p = langid._Postings(part, langs)
+    assert sum(x.nbytes for x in (p.grams, p.first, p.lang, p.rank)) < 32_000_000
+    assert int(p.distances(part["gram"].to_numpy(np.uint64)[langid.PROFILE * 7 : langid.PROFILE * 8]).argmin()) == 7
+
+
+def test_prediction_keeps_columns_of_any_name(spark):
+    rows, schema = labelled(spark, 20)
+    docs = spark.createDataFrame(rows, schema).withColumnRenamed("gram", "score").withColumn("lang_0", F.lit("x")).withColumn("lang_pred", F.lit("y"))
+    got = langid.predict(docs, langid.learned(docs), ["doc_id", "score", "lang_0"])
+    assert got.columns == ["doc_id", "score", "lang_0", "lang_pred", "score"] and got.count() == 20
+
+
 def test_sharding(spark):
     rng = random.Random(4)
     texts = ["word " * int(rng.paretovariate(1.2) * 5) + str(i) for i in range(1500)]
