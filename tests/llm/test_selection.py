@@ -38,6 +38,29 @@ def test_top_k(spark, scale, block, segment, queries):
     assert got == brute_top(rows, asked, 10)
 
 
+def test_top_k_of_repeated_queries(spark):
+    schema = "vec_id long, embedding array<float>"
+    rows = [(100, None), (100, [1.0, 2.0]), (100, [1.0, float("nan")]), (100, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0])]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, schema)
+        got = [tuple(r) for r in topk.top_k(frame, frame.where("vec_id = 100")).orderBy("rank").collect()]
+        assert got == [(100, 1, 1, 3072 * 1024), (100, 2, 2, 3072 * 1024)]  # of (1, 1), the smallest valid vector
+
+
+def test_few_segments_meet_the_queries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 8))
+    rows = [(i, [float(np.float32(x)) for x in centres[i // 20] * 3 + rng.normal(size=8) * 0.05]) for i in range(1200)]  # ids lie by cluster
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    met = []
+    plain = topk.settle
+    monkeypatch.setattr(topk, "settle", lambda df, what="step": (met.append(s.count()) if what == "pairs" else None, s)[1] if (s := plain(df, what)) is not None else None)
+    asked = [i for i in range(0, 1200, 100)]
+    got = {tuple(r) for r in topk.top_k(frame, frame.where("vec_id % 100 = 0"), 10, 4, 5, 1, 4).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute_top(rows, asked, 10)
+    assert sum(met) < 12 * 60 / 4  # of 60 segments for each of 12 blocks of queries
+
+
 def test_top_k_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(frame, frame.where("vec_id = 0")).select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 1, 1024 * 2048)]
