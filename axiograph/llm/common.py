@@ -48,6 +48,17 @@ def attached(rows: DataFrame, table: DataFrame, key: str, weight: str, share: in
     return many.unionByName(few)
 
 
+#: Keys that without() sends to all tasks, at most: 8 MB of longs.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows without those whose key is in gone (a written table of distinct keys); rows with a null key stay. Up to BROADCAST_KEYS keys go to
+    the rows, so these are not shuffled; more meet them by a shuffle."""
+    few = gone.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root for every node of the links a-b: root is the smallest node that can be reached.
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiograph.llm.common import LOWER, chunks, grams, settle, signed, winnowed, word_hashes
+from axiograph.llm.common import LOWER, chunks, grams, settle, signed, winnowed, without, word_hashes
 
 SPAN = 13
 GRAM = 5
@@ -187,5 +187,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contamination() judges contaminated, all columns kept. Rows that repeat a doc_id go
     together if one of them is contaminated; rows without a doc_id stay."""
-    bad = contamination(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = settle(contamination(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct(), "bad")
+    return without(docs, bad, "doc_id")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +96,9 @@ class PieceEncoder:
     def _library(self, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of spans laid end to end, and how many each has."""
         texts = [raw[a : a + n].decode() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        found = [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([*found, np.zeros(0, np.uint32)]), np.fromiter(map(len, found), np.int64, len(found))
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> None:
         """keys are in order; where: first id and number of ids in the pool, first byte and number of bytes."""

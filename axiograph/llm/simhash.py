@@ -1,9 +1,10 @@
-"""SimHash near-duplicates over a positional-byte inverted index with count filtering.
+"""SimHash near-duplicates over an inverted index of positional bytes with count filtering.
 
-Fingerprints that differ in at most 3 of 64 bits differ in at most 3 of 8 bytes, so they share 5 bytes at the same
-positions at least. A list for each single byte would hold 1/256 of all fingerprints, and tallying it would take time in
-the square of the input; the index therefore posts sets of 5 positional bytes: two fingerprints reach the minimum
-tally of 5 exactly if they meet in one of the 56 sets. Those that meet are verified bit by bit.
+A fingerprint is a row of bytes; the index posts it under sets of positions and the bytes it has there. Two fingerprints meet
+in the sets whose bytes they share; the sets that a pair shares are tallied, pairs below the minimum go, and the
+others are verified by their differing bits. For 64 bits of which at most 3 differ, at most 3 of 8 bytes differ, so of the 70
+sets of 4 bytes a pair shares 5 at least. (Sets of one byte would post 1/256 of all fingerprints each, and tallying
+those takes time in the square of the input.)
 """
 
 from __future__ import annotations
@@ -17,11 +18,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axiograph.llm.common import LOWER, column_bytes, components, settle, signed
+from axiograph.llm.common import LOWER, NOT_SPACE, attached, chunks, column_bytes, components, grams, mixed, settle, signed, span_hashes, without, word_hashes
 
 BITS = 3
 SHINGLE = 3
 SEED = 42
+#: Bytes of a set, and fingerprints of a posting whose pairs are all tallied; those of larger postings are verified in place.
+WIDTH = 4
+DENSE = 32
+#: For documents similar at 0.8 or more: words of a shingle, bits of a fingerprint, bits that may differ (the angle of a cosine of
+#: 0.889, which sets of shingles with a Jaccard similarity of 0.8 have, is 39 of 256 bits; 3 more allow for chance).
+NEAR_SHINGLE = 5
+NEAR_WORDS = 4
+NEAR_BITS = 42
+#: Distances between the three positions of the sets that index those, from each position on (two sets share one at most).
+_STEPS = [(1, 4), (2, 7), (6, 15), (8, 18)]
 
 
 def fingerprint(text: bytes) -> int:
@@ -52,64 +63,208 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
 
 
-def _masks(bits: int) -> list[int]:
-    """One mask for each set of positions that fingerprints at this distance may have in common."""
-    out = []
-    for kept in combinations(range(8), 8 - bits):
-        mask = sum(0xFF << 8 * p for p in kept)
-        out.append(mask - (1 << 64) if mask >> 63 else mask)
+def wide_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id, f0 to f3: the 256 bits of every row's SimHash over shingles of 5 words, as signed longs; a text of fewer words is one shingle,
+    one without words has 0."""
+    salts = np.arange(1, NEAR_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def bits(hashes: np.ndarray) -> np.ndarray:
+        return np.unpackbits(mixed(hashes[:, None] + salts[None]).view(np.uint8), axis=1)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in chunks(batch.column(1)):
+                words, first = word_hashes(LOWER[data], at, NOT_SPACE)
+                hashes, _ = grams(words, first, shingle)
+                out = np.zeros((hi - lo, 8 * NEAR_WORDS), np.uint8)
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    if b > a:
+                        own = hashes[a : b - shingle + 1] if b - a >= shingle else span_hashes(words[a:b], np.zeros(1, np.int64), np.array([b - a]))
+                        total = np.zeros(64 * NEAR_WORDS, np.int64)
+                        for k in range(0, len(own), 255):  # sums of a byte, in steps of bounded memory
+                            total += np.add.reduce(bits(own[k : k + 255]), axis=0, dtype=np.uint8)
+                        out[i] = np.packbits(2 * total > len(own))
+                longs = np.ascontiguousarray(out).view(">u8").astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(signed(np.ascontiguousarray(c))) for c in longs.T)], ["doc_id", *_longs(NEAR_WORDS)])
+
+    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, " + ", ".join(f"{c} long" for c in _longs(NEAR_WORDS)))
+
+
+def _longs(words: int) -> list[str]:
+    return [f"f{i}" for i in range(words)]
+
+
+def _sets(words: int) -> list[tuple[int, ...]]:
+    """The sets of positions that are posted: all of WIDTH of 8 bytes; of longer fingerprints, some of three."""
+    if words == 1:
+        return list(combinations(range(8), WIDTH))
+    n = 8 * words
+    return [(i, (i + a) % n, (i + b) % n) for a, b in _STEPS[:2] for i in range(n)]
+
+
+def _further(s: tuple[int, ...], words: int) -> list[int]:
+    """The positions by which a large posting is divided. Of 8 bytes these are all others, and one more is shared by every pair in
+    reach; of longer ones 8, one of which pairs in reach share but for a few in a thousand."""
+    return [p for p in range(8 * words) if p not in s] if words == 1 else [(s[0] + d) % (8 * words) for d in (3, 9, 12, 14, 19, 22, 25, 28) if (s[0] + d) % (8 * words) not in s]
+
+
+def _bytes_of(columns: list[pa.Array]) -> np.ndarray:
+    longs = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], 1)
+    return np.ascontiguousarray(longs.astype(">i8")).view(np.uint8).reshape(len(longs), -1)
+
+
+def _value(data: np.ndarray, positions: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(len(data), np.int64)
+    for p in positions:
+        out = out << 8 | data[:, p]
     return out
 
 
-def _linked(fps: np.ndarray, groups: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join what is within reach in each group of distinct, sorted fingerprints; groups: where each starts.
+def _components_of(fps: np.ndarray, nodes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join what is within reach among some fingerprints: each is held against those that no link has reached yet, so a
+    dense group costs little more than its size."""
+    left = np.arange(len(nodes))
+    while len(left):
+        front, left = [left[:1]], left[1:]
+        while front and len(left):  # breadth first, one point at a time
+            now = front[0][0]
+            front = ([front[0][1:]] if len(front[0]) > 1 else []) + front[1:]
+            close = np.bitwise_count(fps[left] ^ fps[now]).sum(1) <= bits
+            if close.any():
+                yield np.full(int(close.sum()), nodes[now]), nodes[left[close]]
+                front.append(left[close])
+                left = left[~close]
 
-    Group members differ in the same bytes only. Groups of two are verified at once; larger ones row by row, each row
-    against the rows not yet reached by a link, so that a dense group costs little more than its size.
-    """
-    size = np.diff(groups)
-    two = groups[:-1][size == 2]
-    near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= bits
-    yield fps[two[near]], fps[two[near] + 1]
-    for lo, hi in zip(groups[:-1][size > 2].tolist(), groups[1:][size > 2].tolist(), strict=True):
-        rest = fps[lo:hi]
-        while len(rest):
-            front, rest = rest[:1], rest[1:]
-            while len(front) and len(rest):  # breadth first, a front of one point at a time
-                close = np.bitwise_count(rest ^ front[0]) <= bits
-                yield np.full(int(close.sum()), front[0]), rest[close]
-                front, rest = np.concatenate([front[1:], rest[close]]), rest[~close]
-
-
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """a, b: links between distinct fingerprints at most `bits` apart, enough of them to join every component.
-
-    Each posting holds fingerprints that agree in 8 - bits bytes: at most 2 ** (8 * bits) of them, a bound that does
-    not grow with the input, and in practice few. A posting is read as a stream in order, never as one row.
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b of all pairs of postings of up to DENSE nodes; of larger ones, and of the first and the last of the task, which
+    may go on elsewhere, the nodes (a) with their key k. Rows come in order of k and node; none is held but one posting's."""
+    held_k, held, first, large = None, np.zeros(0, np.int64), True, False
+
+    def out(a: np.ndarray, b: np.ndarray, k: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if k is not None else pa.array(b), none if k is None else pa.array(k)], ["a", "b", "k"])
+
+    def dense(k: int, nodes: np.ndarray) -> pa.RecordBatch:
+        return out(nodes, nodes, np.full(len(nodes), k))
+
+    def pairs(nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for step in range(1, int(sizes.max(initial=1))):  # all nodes with the one `step` places on in their posting
+            n = np.maximum(sizes - step, 0)
+            at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            yield out(nodes[at], nodes[at + step], None)
+
+    for batch in batches:
+        k, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(k):
+            continue
+        if held_k is not None:
+            k, node = np.concatenate([np.full(len(held), held_k), k]), np.concatenate([held, node])
+        starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        sizes = np.diff(np.append(starts, len(k)))
+        last = starts[-1]
+        was_large = large and held_k is not None and k[0] == held_k
+        big = sizes > DENSE
+        big[0] |= first or was_large
+        large = bool(big[-1])  # what follows of the last posting
+        first = first and len(starts) == 1
+        done = np.arange(len(starts)) < len(starts) - 1
+        yield from pairs(node, starts[done & ~big], sizes[done & ~big])
+        for i in np.flatnonzero(done & big):
+            yield dense(int(k[starts[i]]), node[starts[i] : starts[i] + sizes[i]])
+        held_k, held = int(k[last]), node[last:]
+        if large:  # passed on at once
+            yield dense(held_k, held)
+            held = held[:0]
+    if held_k is not None and len(held):
+        yield dense(held_k, held)
+
+
+def links(nodes: DataFrame, bits: int, words: int = 1, minimum: int = 1) -> DataFrame:
+    """a, b: links between nodes (node, f0, ...: distinct fingerprints) at most `bits` apart, enough of them to join every component that
+    the index finds; with one word and 3 bits that is every one.
+
+    Postings are dealt by ranges of (key, node), so a hot one spreads over tasks. A pair is tallied in each posting of up to DENSE nodes. The
+    nodes of a larger one meet again under its key and one more byte, and are verified there; a pair in reach that shares a
+    large posting is joined in this way, every other pair has its whole tally.
     """
-    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("s"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_masks(bits))]))
-    index = fps.select("fp", keys.alias("p")).select("p.s", "p.k", "fp").repartition("s", "k").sortWithinPartitions("s", "k", "fp")
+    longs, sets = _longs(words), _sets(words)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = _bytes_of(batch.columns[1:])
+            for s, positions in enumerate(sets):
+                yield pa.RecordBatch.from_arrays([pa.array(_value(data, positions) | s << 40), batch.column(0)], ["k", "node"])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            last = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(0))
-            if not len(last) and held.shape[1] and (now[:2, 0] == held[:2, -1]).all():
-                held = np.concatenate([held, now], 1)  # one posting goes on
-                continue
-            now = np.concatenate([held, now], 1)
-            starts = np.concatenate([[0], np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(0)) + 1])
-            done, held = now[:, : starts[-1]], now[:, starts[-1] :]
-            yield from found(done[2], starts)
-        yield from found(held[2], np.array([0, held.shape[1]]))
+            k, data = batch.column(0).to_numpy(), _bytes_of(batch.columns[2:])
+            for s in np.unique(k >> 40):
+                own = np.flatnonzero(k >> 40 == s)
+                rows = batch.take(pa.array(own))
+                for p in _further(sets[s], words):
+                    positions = tuple(sorted((*sets[s], p)))
+                    name = 0  # the set's own number: one bit for each position of 8, or (set, position)
+                    name = sum(1 << x for x in positions) if words == 1 else int(s) << 5 | p
+                    yield pa.RecordBatch.from_arrays([pa.array(_value(data[own], positions) | name << 40), *rows.columns[1:]], ["k", "node", *longs])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    def found(values: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = list(_linked(values.view(np.uint64), starts, bits)) if len(starts) > 1 else []
-        if pairs and sum(len(a) for a, _ in pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(np.concatenate(x)))) for x in zip(*pairs, strict=True)], ["a", "b"])
+        def linked(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(parts, 1)
+            starts = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]])
+            found = []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    found += _components_of(np.ascontiguousarray(rows[2:, lo:hi].T).view(np.uint64), rows[1, lo:hi], bits)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return index.mapInArrow(read, "a long, b long").distinct()
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            cut = np.flatnonzero(rows[0, 1:] != rows[0, :-1])
+            fresh = bool(held) and rows.shape[1] > 0 and rows[0, 0] != held[-1][0, -1]
+            at = int(cut[-1]) + 1 if len(cut) else 0
+            if fresh:
+                yield from linked(held)
+                held = []
+            if at:
+                yield from linked([*held, rows[:, :at]])
+                held = []
+            if rows.shape[1] > at:
+                held.append(rows[:, at:])
+        if held:
+            yield from linked(held)
+
+    index = nodes.select("node", *longs).mapInArrow(post, "k long, node long")
+    met = settle(index.repartitionByRange("k", "node").sortWithinPartitions("k", "node").mapInArrow(_met, "a long, b long, k long"), "met")
+    tallied = met.where("k IS NULL").groupBy("a", "b").agg(F.count("*").alias("tally")).where(F.col("tally") >= minimum)
+    of = lambda side: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in longs])
+    if words == 1:  # the node is the fingerprint
+        tallied = tallied.withColumn("a_f0", F.col("a")).withColumn("b_f0", F.col("b"))
+    else:
+        tallied = tallied.join(of("a"), "a").join(of("b"), "b")
+    apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in longs)
+    near = tallied.where(apart <= bits).select("a", "b")
+    large = met.where("k IS NOT NULL").select("k", F.col("a").alias("node"))
+    large = large.select("k", "node", F.col("node").alias("f0")) if words == 1 else large.join(nodes.select("node", *longs), "node").select("k", "node", *longs)
+    kinds = "k long, node long, " + ", ".join(f"{c} long" for c in longs)
+    parted = large.mapInArrow(divide, kinds).distinct().repartition("k").sortWithinPartitions("k", "node").mapInArrow(verify, "a long, b long")
+    return near.unionByName(parted)
+
+
+def _labelled(rows: DataFrame, words: int, bits: int, minimum: int) -> DataFrame:
+    """rows (doc_id, f0, ...) with component_id, the smallest doc_id of what links join."""
+    longs = _longs(words)
+    node = F.col("f0") if words == 1 else F.monotonically_increasing_id()
+    distinct = settle(rows.groupBy(*longs).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("node", node), "distinct")
+    linked = settle(components(links(distinct, bits, words, minimum)), "components")
+    labels = distinct.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(*longs, "n", "first", F.coalesce("root", "node").alias("root"))
+    labels = settle(labels, "labels")
+    smallest = labels.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = settle(labels.join(smallest, "root").select(F.struct(*longs).alias("fp"), "component_id", "n"), "named")
+    return attached(rows.withColumn("fp", F.struct(*longs)), named, "fp", "n").drop("fp")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -119,27 +274,35 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     shingles of 3 words count with repeats; a text of one or two words is one shingle; null and empty texts have
     fingerprint 0 and link like any other. Repeated doc_ids are fingerprinted each for itself. A null doc_id takes no part in the minimum: its component
     is null only if no row of the component has a doc_id. Equal fingerprints are one node of the search, so copies
-    cost a row each and no pair.
+    cost a row each and no pair. bits: 3 at most, for which the index misses no pair.
     """
-    rows = settle(fingerprints(docs), "fingerprints")
-    distinct = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = settle(components(links(distinct.select("fp"), bits)), "components")
-    labels = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    labels = settle(labels, "labels")
-    smallest = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = settle(labels.join(smallest, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    if not 0 <= bits <= BITS:
+        raise ValueError(f"bits must be from 0 to {BITS}")
+    rows = settle(fingerprints(docs).withColumnRenamed("fp", "f0"), "fingerprints")
+    shared = len(list(combinations(range(8 - bits), WIDTH)))  # sets that a pair in reach shares at least
+    return _labelled(rows, 1, bits, shared).select("doc_id", _hex("f0").alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
+    """doc_id, component_id for every row of docs (doc_id, text): texts whose sets of five-word shingles have a similarity of 0.8 or
+    more by their SimHash, at most `bits` of 256 bits apart, are linked. Nulls, empty texts and repeats as in near_duplicates().
+
+    Pairs are found by three equal positional bytes in one of 64 sets. For random edits that finds 71 % of the pairs of Jaccard
+    similarity 0.8, 91 % at 0.85, 99 % at 0.9 and nearly all above; copies always.
+    """
+    rows = settle(wide_fingerprints(docs), "fingerprints")
+    return _labelled(rows, NEAR_WORDS, bits, 1).select("doc_id", "component_id")
 
 
 def _hex(c: str) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, all columns kept; rows without a doc_id go only
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its near_copies(), all columns kept; rows without a doc_id go only
     if their component has one. Rows that repeat a kept doc_id stay together with it."""
-    names = near_duplicates(docs, bits)
-    gone = names.where("doc_id <> component_id").select("doc_id").distinct()
+    names = settle(near_copies(docs), "names")
+    gone = settle(names.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     unnamed = names.where("doc_id is null and component_id is not null").limit(1)
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = without(docs, gone, "doc_id")
     return kept.where("doc_id is not null") if unnamed.count() else kept

@@ -68,8 +68,10 @@ def test_links_of_a_dense_group(spark):
         for b in rng.sample(range(63), rng.randint(0, 6)):
             f ^= 1 << b
         fps.add(f)
-    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    found = {r["node"]: r["root"] for r in components(simhash.links(frame)).collect()}
+    frame = spark.createDataFrame([(f, f) for f in fps], "node long, f0 long")
+    links = simhash.links(frame, 3, 1, 5).cache()
+    assert links.count() < 40 * len(fps)  # not all pairs of a posting, for each posting
+    found = {r["node"]: r["root"] for r in components(links).collect()}
     arr = np.array(sorted(fps), np.int64)
     near = np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 3
     label = arr.copy()
@@ -81,6 +83,44 @@ def test_links_of_a_dense_group(spark):
     assert {int(a): found.get(int(a), int(a)) for a in arr} == {int(a): int(b) for a, b in zip(arr, label)}
 
 
+def test_near_copies(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(4000)]
+    texts, families = [], []
+    for family in range(120):
+        base = rng.choices(words, k=rng.randint(60, 300))
+        members = [len(texts)]
+        texts.append(base)
+        for _ in range(rng.choice([0, 1, 1, 3])):
+            own = list(base)
+            for at in rng.sample(range(len(own)), max(1, int(len(own) * rng.choice([0.005, 0.01, 0.015, 0.2])))):
+                own[at] = rng.choice(words)
+            members.append(len(texts))
+            texts.append(own)
+        families.append(members)
+    for _ in range(150):  # a dense group
+        own = list(texts[0])
+        own[rng.randrange(len(own))] = rng.choice(words)
+        families[0].append(len(texts))
+        texts.append(own)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9000, None), (9001, ""), (9002, "one two"), (9003, "ONE  two")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, rows)).collect()}
+    assert (got[9001], got[9002], got[9003]) == (9000, 9002, 9002) and len(got) == len(rows)
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    near = kept = 0
+    family_of = {i: m[0] for m in families for i in m}
+    for i, c in got.items():
+        if i < 9000:
+            assert family_of[c] == family_of[i]  # unrelated texts stay apart
+    for members in families:
+        for i in members:
+            for j in members:
+                a, b = shingles(texts[i]), shingles(texts[j])
+                if i < j and len(a & b) / len(a | b) >= 0.8:
+                    near, kept = near + 1, kept + (got[i] == got[j])
+    assert kept >= 0.9 * near and near > 300
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 60)]
     star = [(100, i) for i in range(101, 160)]
