@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axiograph.functions import vocab as V
+from axiograph.sources.shared import settle
 
 #: predicate -> axiom type, where the predicate alone decides
 AXIOM_TYPES = {
@@ -36,7 +37,8 @@ def case(column: str, table: dict[str, str], other: Column) -> Column:
 
 
 class Ontology:
-    """Triples with set semantics and their views. Nothing is changed in place; every view is lazy."""
+    """Triples with set semantics and their views. Nothing is changed in place; views are lazy, and what many operators read more than
+    once (expressions, axioms) is written at its first use."""
 
     def __init__(self, triples: DataFrame, imports: bool = True):
         cols = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
@@ -58,14 +60,44 @@ class Ontology:
         kind = F.when(F.col("p") == V.SUBCLASS, "class").otherwise("property")
         return self.with_p(V.SUBCLASS, V.SUBPROPERTY).where("s_kind = 'iri' AND s <> o").select(F.col("s").alias("child"), F.col("o").alias("parent"), "o_kind", kind.alias("kind"))
 
+    @cached_property
+    def members(self) -> DataFrame:
+        """expr, member: what intersections and unions hold, from their RDF lists, which are walked cell by cell."""
+        rest = self.with_p(V.RDF + "rest").where(F.col("o") != V.RDF + "nil").select(F.col("s").alias("node"), F.col("o").alias("next"))
+        first = self.with_p(V.RDF + "first").select(F.col("s").alias("node"), F.col("o").alias("member"))
+        cells = self.with_p(V.INTERSECTION, V.UNION).select(F.col("s").alias("expr"), F.col("o").alias("node"))
+        front, seen = settle(cells, "cells"), None
+        while not front.isEmpty():
+            seen = front if seen is None else seen.unionByName(front)
+            front = settle(front.join(rest, "node").select("expr", F.col("next").alias("node")).join(seen, ["expr", "node"], "left_anti").distinct(), "cells")
+        return settle((front if seen is None else seen).join(first, "node").select("expr", "member").distinct(), "members")
+
     @cached_property
     def expressions(self) -> DataFrame:
-        """expr, op, prop, filler, label: anonymous class expressions, with a canonical text that is alike for like ones."""
+        """expr, op, prop, filler, label: anonymous class expressions, with a canonical text that is alike for like ones.
+
+        Texts are built from the innermost expressions outwards: a text holds those of its parts, in order where their order
+        doesn't count, and no name of a blank node. What refers to itself has no text.
+        """
         part = lambda p, c: self.with_p(p).where("s_kind = 'bnode'").select(F.col("s").alias("expr"), F.col("o").alias(c))
         fillers = self.with_p(V.SOME, V.ALL).select(F.col("s").alias("expr"), case("p", {V.SOME: "some", V.ALL: "all"}, F.lit(None)).alias("op"), F.col("o").alias("filler"))
         restrictions = part(V.ON_PROPERTY, "prop").join(fillers, "expr").select("expr", "op", "prop", "filler")
         lists = self.with_p(V.INTERSECTION, V.UNION).select(F.col("s").alias("expr"), case("p", {V.INTERSECTION: "and", V.UNION: "or"}, F.lit(None)).alias("op"), F.lit(None).cast("string").alias("prop"), F.col("o").alias("filler"))
-        return restrictions.unionByName(lists).withColumn("label", F.concat(F.col("op"), F.lit("("), F.concat_ws(" ", "prop", "filler"), F.lit(")")))
+        whole = settle(restrictions.unionByName(lists), "expressions")
+        parts = settle(restrictions.select("expr", F.col("filler").alias("part")).unionByName(self.members.select("expr", F.col("member").alias("part"))).distinct(), "parts")
+        named = parts.select("part").distinct().join(whole.select(F.col("expr").alias("part")), "part", "left_anti")
+        texts = named.select("part", F.col("part").alias("text"))
+        open_, found = whole, None
+        while True:
+            held = open_.select("expr").distinct().join(parts, "expr", "left").join(texts, "part", "left")
+            ready = held.groupBy("expr").agg(F.count("part").alias("n"), F.count("text").alias("m"), F.array_join(F.array_sort(F.collect_set("text")), " ").alias("inside")).where("n = m")
+            made = open_.join(ready.select("expr", "inside"), "expr").withColumn("label", F.concat("op", F.lit("("), F.concat_ws(" ", "prop", "inside"), F.lit(")"))).drop("inside")
+            made = settle(made, "texts")
+            if made.isEmpty():
+                return open_.withColumn("label", F.lit(None).cast("string")) if found is None else found
+            found = made if found is None else found.unionByName(made)
+            open_ = settle(open_.join(made.select("expr").distinct(), "expr", "left_anti"), "expressions")
+            texts = texts.unionByName(made.select(F.col("expr").alias("part"), F.col("label").alias("text")).distinct())
 
     @cached_property
     def notes(self) -> DataFrame:
@@ -79,8 +111,9 @@ class Ontology:
     def axioms(self) -> DataFrame:
         """ax_type, subject, property, object, object_kind, sig, notes, core_id, ax_id.
 
-        core_id is a hash without annotations, ax_id with them; sets of axioms are sets of ax_id. Reified annotations
-        become notes of their axiom; an anonymous object is its expression's canonical text where it has one.
+        core_id is a hash of 16 bytes without annotations, ax_id with them; sets of axioms are sets of ax_id. Reified annotations
+        become notes of their axiom; an anonymous object is its expression's canonical text where it has one. The table is
+        written once for each ontology.
         """
         rows = self.rows.where("s_kind = 'iri'").distinct()
         objects = self.declared.where("kind = 'object-property'").select(F.col("iri").alias("p"), F.lit(True).alias("is_object"))
@@ -95,4 +128,9 @@ class Ontology:
         sig = F.array_distinct(F.filter(F.array(F.col("s"), F.when(F.col("ax_type").endswith("Assertion") & (F.col("p") != V.TYPE), F.col("p")), F.when(entity_object, F.col("o"))), lambda x: x.isNotNull()))
         out = rows.select("ax_type", F.col("s").alias("subject"), F.col("p").alias("property"), F.coalesce("label", "o").alias("object"), F.col("o_kind").alias("object_kind"), F.coalesce("o_dt", F.lit("")).alias("dt"), F.coalesce("o_lang", F.lit("")).alias("lang"), sig.alias("sig"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"))
         core = F.concat_ws("\u0001", "ax_type", "subject", "property", "object", "object_kind", "dt", "lang")
-        return out.withColumn("core_id", F.sha2(core, 256)).withColumn("ax_id", F.sha2(F.concat_ws("\u0002", core, F.array_join("notes", "\u0003")), 256)).dropDuplicates(["ax_id"])
+        return settle(out.withColumn("core_id", F.unhex(F.md5(core))).withColumn("ax_id", axiom_id()).dropDuplicates(["ax_id"]), "axioms")
+
+
+def axiom_id() -> Column:
+    """16 bytes of an axiom with its annotations, from core_id and notes."""
+    return F.unhex(F.md5(F.concat("core_id", F.array_join("notes", "\u0003").cast("binary"))))

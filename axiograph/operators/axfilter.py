@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axiograph.functions import vocab as V
-from axiograph.model import CHARACTERISTICS, GROUPS, Ontology
+from axiograph.model import CHARACTERISTICS, GROUPS, Ontology, axiom_id
 from axiograph.operators import graph
 
 ALL_TYPES = sorted({"Declaration", "AnnotationAssertion", *GROUPS["logical"]})
@@ -50,16 +50,19 @@ def names(axioms: DataFrame, named_only: bool = True) -> DataFrame:
     return own if named_only else own.unionByName(axioms.where("object_kind = 'bnode'").select("ax_id", F.col("object").alias("node"))).distinct()
 
 
+def _ids(axioms: DataFrame, objects: DataFrame, named_only: bool, how: str) -> DataFrame:
+    """ax_id of axioms with a name among the objects (left_semi) or a name not among them (left_anti)."""
+    return names(axioms, named_only).join(objects.select("node").distinct(), "node", how).select("ax_id").distinct()
+
+
 def partial(axioms: DataFrame, objects: DataFrame, named_only: bool = True) -> DataFrame:
     """Axioms with any of the objects."""
-    hit = names(axioms, named_only).join(objects.select("node").distinct(), "node", "left_semi").select("ax_id").distinct()
-    return axioms.join(hit, "ax_id", "left_semi")
+    return axioms.join(_ids(axioms, objects, named_only, "left_semi"), "ax_id", "left_semi")
 
 
 def complete(axioms: DataFrame, objects: DataFrame, named_only: bool = True) -> DataFrame:
     """Axioms whose objects are all among the objects."""
-    missing = names(axioms, named_only).join(objects.select("node").distinct(), "node", "left_anti").select("ax_id").distinct()
-    return axioms.join(missing, "ax_id", "left_anti")
+    return axioms.join(_ids(axioms, objects, named_only, "left_anti"), "ax_id", "left_anti")
 
 
 def without_notes(axioms: DataFrame, prop: str | None = None, value: str | None = None, regex: str | None = None) -> DataFrame:
@@ -68,7 +71,7 @@ def without_notes(axioms: DataFrame, prop: str | None = None, value: str | None
     part = lambda n: F.split_part(n, F.lit("="), F.lit(1))
     goes = lambda n: F.lit(True) if prop is None else (part(n) == prop) & (F.lit(True) if value is None else n == f"{prop}={value}") & (F.lit(True) if regex is None else F.substr(n, F.lit(len(prop) + 2)).rlike(f"^(?:{regex})$"))
     kept = axioms.withColumn("notes", F.filter("notes", lambda n: ~goes(n)))
-    return kept.withColumn("ax_id", F.sha2(F.concat_ws("\u0002", "core_id", F.array_join("notes", "\u0003")), 256)).dropDuplicates(["ax_id"])
+    return kept.withColumn("ax_id", axiom_id()).dropDuplicates(["ax_id"])
 
 
 def about(axioms: DataFrame, objects: DataFrame) -> DataFrame:
@@ -96,9 +99,12 @@ def spanned(ont: Ontology, kept: DataFrame) -> DataFrame:
 def remove(ont: Ontology, objects: DataFrame, selectors: list[str] = ("all",), bases: list[str] = (), trim: bool = True, signature: bool = False, preserve_structure: bool = True) -> DataFrame:
     """ax_type, subject, property, object of the ontology after axioms with any (trim) or only removed objects went; the
     hierarchy is linked over what went if preserve_structure."""
-    match = partial if trim else complete
-    gone = match(of_type(ont.axioms, list(selectors), list(bases)), objects, named_only=signature)
-    left = ont.axioms.join(gone.select("ax_id"), "ax_id", "left_anti").select("ax_type", "subject", "property", "object")
+    some = of_type(ont.axioms, list(selectors), list(bases))
+    if trim:  # the ids alone decide
+        left = ont.axioms.join(_ids(some, objects, signature, "left_semi"), "ax_id", "left_anti")
+    else:
+        left = ont.axioms.join(complete(some, objects, signature).select("ax_id"), "ax_id", "left_anti")
+    left = left.select("ax_type", "subject", "property", "object")
     return _with_gaps(ont, left, objects, preserve_structure)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from axiograph.functions import vocab as V
 from axiograph.model import Ontology
 from axiograph.operators import graph, setops
-from axiograph.sources.shared import settle
+from axiograph.sources.shared import settle, written
 
 
 def told(ont: Ontology) -> DataFrame:
@@ -26,37 +26,98 @@ def restrictions(ont: Ontology) -> DataFrame:
     return ont.with_p(V.SUBCLASS, V.EQUIVALENT).where("s_kind = 'iri' AND o_kind = 'bnode'").select(F.col("s").alias("cls"), F.col("o").alias("expr")).join(some, "expr").select("cls", "prop", "filler").distinct()
 
 
-def defined(ont: Ontology) -> DataFrame:
-    """prop, filler, cls: whatever is under some prop filler is under cls."""
-    some = ont.expressions.where("op = 'some'").select("expr", "prop", "filler")
-    return ont.with_p(V.EQUIVALENT).where("s_kind = 'iri' AND o_kind = 'bnode'").select(F.col("s").alias("cls"), F.col("o").alias("expr")).join(some, "expr").select("prop", "filler", "cls").distinct()
+class _Fixpoint:
+    """Relations that only grow: what a round derives is kept apart from what was known, so each is joined on once as new. What is
+    known of a relation is one read of all that rounds have written, however many these are."""
 
+    def __init__(self, **columns: list[str]):
+        self.columns, self.paths, self.known, self.fresh = columns, {c: [] for c in columns}, {}, {}
+
+    def add(self, **derived: list[DataFrame]) -> bool:
+        """Take in what was derived; true if some of it is new."""
+        for name, columns in self.columns.items():
+            rows = reduce(DataFrame.unionByName, [d.select(columns) for d in derived[name]]).distinct()
+            if name in self.known:
+                rows = rows.join(self.known[name], columns, "left_anti")
+            path = written(rows, name)
+            read = rows.sparkSession.read.schema(rows.schema)
+            self.fresh[name] = read.parquet(path)
+            if not self.fresh[name].isEmpty() or not self.paths[name]:
+                self.paths[name].append(path)
+            self.known[name] = read.parquet(*self.paths[name])
+        return any(not f.isEmpty() for f in self.fresh.values())
+
+    def both(self, left: str, right: str, join) -> list[DataFrame]:
+        """join(l, r) where one of the two is new."""
+        return [join(self.fresh[left], self.known[right]), join(self.known[left], self.fresh[right])]
 
-def classify(ont: Ontology) -> DataFrame:
-    """child, parent: all named subsumptions that follow, but for a class and itself.
 
-    Saturation by the completion rules for subclasses and existential restrictions, property hierarchy included: each
-    round derives existential edges of classes from what they are under, then subsumptions from those, until a round
-    adds nothing.
+def saturated(ont: Ontology) -> DataFrame:
+    """x, y: every named class or expression x (by its text) and what it is under, itself and Nothing among these.
+
+    The completion rules of EL: told subclasses, equivalences both ways, intersections both ways, existential restrictions both ways with
+    the hierarchy of properties, transitive properties, domains, disjoint classes, and Nothing along existential
+    edges. Every round joins what is new only. Expressions are nodes by their canonical texts.
     """
-    up_props = graph.closure(ont.edges.where("kind = 'property' AND o_kind = 'iri'")).select(F.col("child").alias("prop"), F.col("parent").alias("above"))
-    props = settle(up_props.unionByName(ont.expressions.where("prop IS NOT NULL").select("prop", F.col("prop").alias("above"))).distinct(), "props")
-    base, some, names = settle(told(ont), "told"), settle(restrictions(ont), "some"), settle(defined(ont), "defined")
-    known = settle(graph.closure(base), "sub")
-    size = known.count()
-    while True:
-        self_too = known.unionByName(ont.declared.where("kind = 'class'").select(F.col("iri").alias("child"), F.col("iri").alias("parent"))).distinct()
-        edges = self_too.join(some.select(F.col("cls").alias("parent"), "prop", "filler"), "parent").select("child", "prop", "filler").distinct()
-        raised = edges.join(props, "prop").select("child", F.col("above").alias("prop"), "filler").distinct()
-        wide = raised.join(self_too.select(F.col("child").alias("filler"), F.col("parent").alias("over")), "filler").select("child", "prop", F.col("over").alias("filler")).distinct()
-        derived = wide.join(names, ["prop", "filler"]).select("child", F.col("cls").alias("parent")).where("child <> parent").distinct()
-        fresh = settle(derived.join(known, ["child", "parent"], "left_anti"), "derived")
-        if fresh.isEmpty():
-            return known.where("child <> parent")
-        known = settle(graph.closure(known.unionByName(fresh)), "sub")
-        if (now := known.count()) == size:
-            return known.where("child <> parent")
-        size = now
+    if "_saturated" in ont.__dict__:
+        return ont.__dict__["_saturated"]
+    texts = settle(ont.expressions.where("label IS NOT NULL").select("expr", "op", "prop", "filler", "label").distinct(), "labels")
+    by_name = texts.select(F.col("expr").alias("name"), "label").distinct()
+    text_of = lambda rows, c: rows.join(by_name.withColumnRenamed("name", c), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
+    said = text_of(ont.with_p(V.SUBCLASS, V.EQUIVALENT).where("s_kind = 'iri' AND s <> o").select("s", "p", "o"), "o")
+    inside = text_of(ont.members.join(texts.where("op = 'and'").select("expr", F.col("label").alias("whole")), "expr").select("whole", F.col("member").alias("m")), "m").distinct()
+    same = said.where(F.col("p") == V.EQUIVALENT)
+    told_ = settle(said.select(F.col("s").alias("y"), F.col("o").alias("z")).unionByName(same.select(F.col("o").alias("y"), F.col("s").alias("z"))).unionByName(inside.select(F.col("whole").alias("y"), F.col("m").alias("z"))).distinct(), "told")
+    parts = settle(inside.withColumnRenamed("m", "y"), "parts")
+    sizes = parts.groupBy("whole").agg(F.count("*").alias("n"))
+    above = settle(_above(ont).select(F.col("prop").alias("p"), F.col("over").alias("q")), "above")
+    some = text_of(texts.where("op = 'some'").select(F.col("label").alias("e"), F.col("prop").alias("p"), F.col("filler").alias("f")), "f").distinct()
+    some = settle(some, "some")
+    raised = settle(some.join(above, "p", "left").select(F.col("e").alias("y"), F.coalesce("q", "p").alias("q"), "f").distinct(), "raised")
+    chained = ont.with_p(V.TYPE).where(F.col("o") == V.OWL + "TransitiveProperty").select(F.col("s").alias("p"))
+    chained_above = settle(chained.join(above, "p").select("p", "q").distinct(), "chained")
+    domains = ont.with_p(V.DOMAIN).where("o_kind = 'iri'").select(F.col("s").alias("p"), F.col("o").alias("y"))
+    apart = ont.with_p(V.DISJOINT).where("s_kind = 'iri' AND o_kind = 'iri'").select(F.col("s").alias("y"), F.col("o").alias("other"))
+    domains, apart = settle(domains, "domains"), settle(apart, "apart")
+    nodes = ont.declared.where("kind = 'class'").select(F.col("iri").alias("x")).unionByName(told_.select(F.col("y").alias("x"))).unionByName(told_.select(F.col("z").alias("x"))).unionByName(some.select(F.col("f").alias("x"))).unionByName(some.select(F.col("e").alias("x"))).distinct()
+    none = F.lit(V.NOTHING).alias("y")
+
+    def through(edges: DataFrame, under: DataFrame) -> DataFrame:  # an edge to what is under a filler, and to Nothing
+        ends = under.select(F.col("x").alias("f"), "y")
+        bottom = edges.join(ends.where(F.col("y") == V.NOTHING), "f").select("x", none)
+        return edges.select("x", "p", "f").join(ends.join(some.select("e", F.col("p"), F.col("f").alias("y")), "y"), ["p", "f"]).select("x", F.col("e").alias("y")).unionByName(bottom)
+
+    def onward(left: DataFrame, right: DataFrame) -> DataFrame:  # along one transitive property, then up
+        ahead = right.select(F.col("x").alias("f"), "p", F.col("f").alias("g"))
+        return left.join(chained.distinct(), "p", "left_semi").join(ahead, ["p", "f"]).join(chained_above, "p").select("x", F.col("q").alias("p"), F.col("g").alias("f"))
+
+    def clash(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(apart, "y").select("x", F.col("other").alias("y")).join(right, ["x", "y"]).select("x", none)
+
+    state = _Fixpoint(sub=["x", "y"], edge=["x", "p", "f"])
+    more = state.add(sub=[nodes.select("x", F.col("x").alias("y"))], edge=[nodes.limit(0).select("x", F.col("x").alias("p"), F.col("x").alias("f"))])
+    while more:
+        sub, edge = state.fresh["sub"], state.fresh["edge"]
+        touched = sub.join(parts, "y").select("x", "whole").distinct()
+        held = touched.join(parts, "whole").join(state.known["sub"], ["x", "y"]).groupBy("x", "whole").agg(F.count("*").alias("m")).join(sizes, "whole").where("m = n")
+        derived = [sub.join(told_, "y").select("x", F.col("z").alias("y")), held.select("x", F.col("whole").alias("y")), edge.join(domains, "p").select("x", "y")]
+        derived += state.both("edge", "sub", through) + state.both("sub", "sub", clash)
+        steps = [sub.join(raised, "y").select("x", F.col("q").alias("p"), "f")] + state.both("edge", "edge", onward)
+        more = state.add(sub=derived, edge=steps)
+    ont.__dict__["_saturated"] = settle(state.known["sub"], "saturated")
+    return ont.__dict__["_saturated"]
+
+
+def _named(ont: Ontology, pairs: DataFrame) -> DataFrame:
+    names = settle(ont.declared.where("kind = 'class'").select("iri").unionByName(told(ont).select(F.col("child").alias("iri"))).unionByName(told(ont).select(F.col("parent").alias("iri"))).distinct(), "names")
+    return pairs.join(names.select(F.col("iri").alias("child")), "child", "left_semi").join(names.select(F.col("iri").alias("parent")), "parent", "left_semi")
+
+
+def classify(ont: Ontology) -> DataFrame:
+    """child, parent: all named subsumptions that follow by saturated(), but for a class and itself. What an unsatisfiable class is under besides
+    (everything) is left out; unsatisfiable() names these."""
+    pairs = saturated(ont).select(F.col("x").alias("child"), F.col("y").alias("parent")).where("child <> parent")
+    return _named(ont, pairs.where(F.col("parent") != V.NOTHING))
 
 
 def inferred(ont: Ontology, indirect: bool = False, keep_redundant: bool = False) -> DataFrame:
@@ -90,21 +151,12 @@ def relaxed(ont: Ontology) -> DataFrame:
     pairs = named.select(F.col("s").alias("subject"), F.col("o").alias("object")).unionByName(named.select(F.col("o").alias("subject"), F.col("s").alias("object")))
     texts = ont.expressions.where("op IN ('some', 'all')").select(F.col("expr").alias("o"), "label").distinct()
     into = eq.where("o_kind = 'bnode'").join(texts, "o").select(F.col("s").alias("subject"), F.col("label").alias("object"))
-    parts = list_members(ont).join(ont.with_p(V.INTERSECTION).select(F.col("s").alias("expr"), F.col("o").alias("head")), "head")
+    parts = ont.members.join(ont.with_p(V.INTERSECTION).select(F.col("s").alias("expr")), "expr", "left_semi")
     members = eq.where("o_kind = 'bnode'").select(F.col("s").alias("subject"), F.col("o").alias("expr")).join(parts, "expr").select("subject", F.col("member").alias("object"))
     asserted = ont.axioms.where("ax_type = 'SubClassOf'").select("subject", "object")
     return pairs.unionByName(into).unionByName(members).distinct().join(asserted, ["subject", "object"], "left_anti")
 
 
-def list_members(ont: Ontology) -> DataFrame:
-    """head, member: the members of RDF lists."""
-    rest = ont.with_p(V.RDF + "rest").where(F.col("o") != V.RDF + "nil").select(F.col("s").alias("child"), F.col("o").alias("parent"))
-    first = ont.with_p(V.RDF + "first").select(F.col("s").alias("node"), F.col("o").alias("member"))
-    heads = ont.with_p(V.INTERSECTION, V.UNION).select(F.col("o").alias("head"))
-    cells = graph.closure(rest).select(F.col("child").alias("head"), F.col("parent").alias("node")).join(heads, "head", "left_semi").unionByName(heads.select("head", F.col("head").alias("node")))
-    return cells.join(first, "node").select("head", "member").distinct()
-
-
 def materialized(ont: Ontology, properties: list[str] | None = None) -> DataFrame:
     """cls, prop, filler: existential parents that classes get from their superclasses and by the property hierarchy, but for
     what they have themselves, Thing, and a class of itself."""
@@ -133,15 +185,9 @@ def equivalences(ont: Ontology, policy: str = "all") -> DataFrame:
 
 
 def unsatisfiable(ont: Ontology) -> DataFrame:
-    """iri: classes under both sides of a disjointness, under Nothing, or under a restriction to such a class."""
-    pairs = settle(classify(ont), "classified")
-    all_pairs = settle(pairs.unionByName(ont.declared.where("kind = 'class'").select(F.col("iri").alias("child"), F.col("iri").alias("parent"))).distinct(), "pairs")
-    apart = ont.with_p(V.DISJOINT).where("o_kind = 'iri'").select(F.col("s").alias("x"), F.col("o").alias("y"))
-    both = apart.join(all_pairs.select(F.col("parent").alias("x"), F.col("child").alias("iri")), "x").join(all_pairs.select(F.col("parent").alias("y"), F.col("child").alias("iri")), ["y", "iri"]).select("iri")
-    start = both.unionByName(all_pairs.where(F.col("parent") == V.NOTHING).select(F.col("child").alias("iri"))).distinct()
-    steps = all_pairs.unionByName(restrictions(ont).select(F.col("cls").alias("child"), F.col("filler").alias("parent")))
-    starts = settle(start.select(F.col("iri").alias("node")), "unsat")
-    return graph.reached(steps, starts, "parent", "child").unionByName(starts).distinct().select(F.col("node").alias("iri"))
+    """iri: named classes that come out under Nothing: under both sides of a disjointness, or with an existential edge to such a class."""
+    pairs = saturated(ont).where((F.col("y") == V.NOTHING) & (F.col("x") != V.NOTHING)).select(F.col("x").alias("iri"))
+    return pairs.join(ont.declared.where("kind = 'class'").select("iri"), "iri", "left_semi").distinct()
 
 
 def incoherent_module(ont: Ontology) -> DataFrame:

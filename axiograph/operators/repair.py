@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from axiograph.functions import vocab as V
-from axiograph.model import Ontology
+from axiograph.model import Ontology, axiom_id
 from axiograph.operators import axfilter, graph, setops
 
 
@@ -46,7 +46,7 @@ def repair_references(ont: Ontology, migrate: list[str] = ()) -> DataFrame:
 def merged_notes(axioms: DataFrame) -> DataFrame:
     """Axioms that differ in annotations only become one with all of them."""
     by = axioms.groupBy("core_id", "ax_type", "subject", "property", "object").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("notes")))).alias("notes"))
-    return by.withColumn("ax_id", F.sha2(F.concat_ws("\u0002", "core_id", F.array_join("notes", "\u0003")), 256))
+    return by.withColumn("ax_id", axiom_id())
 
 
 def one_annotation(ont: Ontology, properties: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axiograph.functions import vocab as V
-from axiograph.model import Ontology
+from axiograph.model import Ontology, axiom_id
 
 TRIPLE = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
 #: Columns that may hold an IRI.
@@ -32,7 +32,7 @@ def defined_by(ont: Ontology, ontology_iri: str) -> DataFrame:
 def derived_from(axioms: DataFrame, ontology_iri: str) -> DataFrame:
     """Axioms with prov:wasDerivedFrom added to their notes; ids change with the notes."""
     noted = axioms.withColumn("notes", F.array_sort(F.array_union("notes", F.array(F.lit(f"{V.PROV}wasDerivedFrom={ontology_iri}")))))
-    return noted.withColumn("ax_id", F.sha2(F.concat_ws("\u0002", "core_id", F.array_join("notes", "\u0003")), 256))
+    return noted.withColumn("ax_id", axiom_id())
 
 
 def unmerge(left: DataFrame, *others: DataFrame) -> DataFrame:

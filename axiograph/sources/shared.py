@@ -42,8 +42,13 @@ def cleanup() -> None:
             return
 
 
-def settle(df: DataFrame, what: str = "step") -> DataFrame:
-    """df written to the shared folder and read again: computed once, with no lineage, and safe from lost executors."""
+def written(df: DataFrame, what: str = "step") -> str:
+    """The place in the shared folder where df has been written."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame, what: str = "step") -> DataFrame:
+    """df written to the shared folder and read again: computed once, with no lineage, and safe from lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, what))
