@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiograph.functions import vocab as V
 from axiograph.model import Ontology
 from axiograph.sources.shared import settle
 
@@ -123,34 +124,111 @@ def branch(edges: DataFrame, roots: DataFrame, intermediates: str = "all") -> Da
     return collapse(own, 2, roots) if intermediates == "minimal" else own
 
 
-def module(axioms: DataFrame, signature: DataFrame, kind: str = "BOT") -> DataFrame:
-    """Axioms of a syntactic locality module: the smallest set closed under "a non-local axiom's names join the
-    signature". BOT: an axiom is non-local once its left side's names are in the signature; TOP: once its right side's
-    are; STAR: TOP and BOT by turns until nothing goes."""
+_ASSERTIONS = ["ClassAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion", "SameIndividual", "DifferentIndividuals"]
+
+
+def module(ont: Ontology, signature: DataFrame, kind: str = "BOT", individuals: str = "include") -> DataFrame:
+    """The axioms of the syntactic locality module of a signature (column node), with the declarations and annotations of the names they have.
+
+    Names that are not in the signature count as empty (BOT) or full (TOP); an axiom that isn't a tautology by that is in the module and its
+    names, those inside of expressions too, join the signature, until nothing more does. STAR: BOT and TOP by turns
+    until nothing goes. individuals: "include"; "exclude": no assertions; "minimal": those about individuals that other axioms name.
+    """
+    if individuals not in ("include", "exclude", "minimal"):
+        raise ValueError(f"unknown option for individuals {individuals}")
+    logical = settle(ont.axioms.where(~F.col("ax_type").isin("Declaration", "AnnotationAssertion")).select("ax_id", "ax_type", "subject", "property", "object", "object_kind"), "logical")
+    local = logical if individuals == "include" else settle(logical.where(~F.col("ax_type").isin(_ASSERTIONS)), "logical")
+    texts = ont.expressions.where("label IS NOT NULL").select("expr", "op", "prop", "filler", "label").distinct()
+    names = texts.select(F.col("expr").alias("part"), F.col("label").alias("text")).distinct()
+    pairs = texts.where("prop IS NOT NULL").select("label", "op", "prop", F.col("filler").alias("part")).unionByName(ont.members.join(texts.where("prop IS NULL").select("expr", "label", "op", "prop"), "expr").select("label", "op", "prop", F.col("member").alias("part")))
+    parts = settle(pairs.join(names, "part", "left").select("label", "op", "prop", F.coalesce("text", "part").alias("part")).distinct(), "parts")
+    held = parts.select("label", F.col("part").alias("node")).unionByName(parts.where("prop IS NOT NULL").select("label", F.col("prop").alias("node"))).distinct()
+    held = settle(held, "held")
+    inner = held.unionByName(closure(held.select(F.col("label").alias("child"), F.col("node").alias("parent"))).select(F.col("child").alias("label"), F.col("parent").alias("node"))).distinct()
+    ends = logical.select("ax_id", F.col("subject").alias("node")).unionByName(logical.where(F.col("ax_type").isin("ObjectPropertyAssertion", "DataPropertyAssertion")).select("ax_id", F.col("property").alias("node")))
+    objects = logical.where("object_kind <> 'lit'").select("ax_id", F.col("object").alias("node"), "ax_type")
+    objects = objects.where(~F.col("ax_type").endswith("Property") | (F.col("ax_type") == "ClassAssertion")).drop("ax_type")
+    inside = objects.join(inner.withColumnRenamed("node", "part"), F.col("node") == F.col("label")).select("ax_id", F.col("part").alias("node"))
+    of_axiom = settle(ends.unionByName(objects).unionByName(inside).distinct(), "names")
+    found = local
     if kind == "STAR":
-        now, size = axioms, None
+        size = None
         while True:
-            now = settle(module(module(now, signature, "BOT"), signature, "TOP"), "module")
-            if (n := now.count()) == size:
-                return now
+            for turn in ("BOT", "TOP"):
+                found = _non_local(found, parts, of_axiom, signature, turn)
+            if (n := found.count()) == size:
+                break
             size = n
-    logical = settle(axioms.where(F.col("ax_type").isin("SubClassOf", "EquivalentClasses", "ClassAssertion", "SubPropertyOf", "DisjointClasses")).select("ax_id", "ax_type", "subject", "object", "object_kind", "sig"), "logical")
-    both = F.col("ax_type").isin("EquivalentClasses", "DisjointClasses")
-    left = logical.select("ax_id", F.col("subject").alias("node"))
-    right = logical.where("object_kind = 'iri'").select("ax_id", F.col("object").alias("node"))
-    trigger = left.unionByName(right.join(logical.where(both).select("ax_id"), "ax_id", "left_semi")) if kind == "BOT" else right.unionByName(left.join(logical.where(both).select("ax_id"), "ax_id", "left_semi"))
-    trigger, names = settle(trigger, "trigger"), settle(logical.select("ax_id", F.explode("sig").alias("node")), "names")
-    known = settle(signature.select("node").distinct(), "signature")
-    frontier, found = known, None
+    else:
+        found = _non_local(local, parts, of_axiom, signature, kind)
+    used = settle(of_axiom.join(found.select("ax_id"), "ax_id", "left_semi").select("node").distinct().unionByName(signature.select("node")).distinct(), "used")
+    about = ont.axioms.where(F.col("ax_type").isin("Declaration", "AnnotationAssertion")).join(used.select(F.col("node").alias("subject")), "subject", "left_semi").select("ax_id")
+    ids = found.select("ax_id").unionByName(about)
+    if individuals == "minimal":
+        ids = ids.unionByName(logical.where(F.col("ax_type").isin(_ASSERTIONS)).join(used.select(F.col("node").alias("subject")), "subject", "left_semi").select("ax_id"))
+    return ont.axioms.join(ids.distinct(), "ax_id", "left_semi")
+
+
+def _non_local(axioms: DataFrame, parts: DataFrame, of_axiom: DataFrame, signature: DataFrame, kind: str) -> DataFrame:
+    """The axioms that join, round by round. solid: expressions that are not empty, open: those that are not full, when names outside of
+    the signature are empty (BOT) or full (TOP)."""
+    bottom = kind == "BOT"
+    known, found = settle(signature.select("node").distinct(), "signature"), None
+    sizes = parts.groupBy("label").agg(F.count("*").alias("n"))
+    classes = parts.select(F.col("part").alias("node")).unionByName(axioms.where("object_kind <> 'lit'").select(F.col("object").alias("node"))).unionByName(axioms.select(F.col("subject").alias("node"))).distinct()
+    classes = settle(classes.join(parts.select(F.col("label").alias("node")), "node", "left_anti"), "classes")
     while True:
-        hit = trigger.join(frontier, "node", "left_semi").select("ax_id").distinct()
-        hit = settle(hit if found is None else hit.join(found, "ax_id", "left_anti"), "hit")
-        if hit.isEmpty():
-            break
-        found = hit if found is None else found.unionByName(hit)
-        frontier = settle(names.join(hit, "ax_id", "left_semi").select("node").distinct().join(known, "node", "left_anti"), "frontier")
-        known = known.unionByName(frontier)
-    return axioms.join(found, "ax_id", "left_semi") if found is not None else axioms.limit(0)
+        inside = known.select(F.col("node").alias("prop"), F.lit(True).alias("in_"))
+        rows = settle(parts.join(inside, "prop", "left").withColumn("in_", F.col("in_").isNotNull()), "parts")
+        mine = known.join(classes, "node", "left_semi")
+        solid = (mine if bottom else classes).where(F.col("node") != V.NOTHING).unionByName(classes.where(F.col("node") == V.THING)).distinct()
+        opened = (classes if bottom else mine).where(F.col("node") != V.THING).unionByName(classes.where(F.col("node") == V.NOTHING)).distinct()
+        solid = _grown(solid, rows, sizes, some=F.col("in_") if bottom else F.lit(True), always=["all"], every="and", any_="or")
+        opened = _grown(opened, rows, sizes, some=None, always=["some"] if bottom else [], every="or", any_="and", bottom=bottom)
+        flags = lambda c, side: (solid if c[0] == "s" else opened).select(F.col("node").alias(side), F.lit(True).alias(c))
+        marked = axioms.join(flags("s1", "subject"), "subject", "left").join(flags("o1", "subject"), "subject", "left").join(flags("s2", "object"), "object", "left").join(flags("o2", "object"), "object", "left")
+        marked = marked.join(known.select(F.col("node").alias("subject"), F.lit(True).alias("k1")), "subject", "left").join(known.select(F.col("node").alias("object"), F.lit(True).alias("k2")), "object", "left").join(known.select(F.col("node").alias("property"), F.lit(True).alias("k3")), "property", "left")
+        s1, s2, o1, o2, k1, k2, k3 = (F.col(c).isNotNull() for c in ("s1", "s2", "o1", "o2", "k1", "k2", "k3"))
+        is_ = lambda *names: F.col("ax_type").isin(*names)
+        yes = F.lit(True)
+        fires = (
+            F.when(is_("SubClassOf"), s1 & o2).when(is_("EquivalentClasses"), (s1 | s2) & (o1 | o2)).when(is_("DisjointClasses"), s1 & s2)
+            .when(is_("PropertyDomain", "PropertyRange"), (k1 & o2) if bottom else o2).when(is_("SubPropertyOf"), k1 if bottom else k2)
+            .when(is_("EquivalentProperties", "InverseProperties"), k1 | k2).when(is_("ClassAssertion"), o2)
+            .when(is_("ObjectPropertyAssertion", "DataPropertyAssertion"), yes if bottom else k3)
+            .when(is_("ReflexiveProperty"), yes if bottom else k1).when(is_("TransitiveProperty", "SymmetricProperty"), k1)
+            .when(F.col("ax_type").endswith("Property"), k1 if bottom else yes).otherwise(yes)
+        )
+        hit = marked.where(fires).select(*axioms.columns).distinct()
+        fresh = settle(hit if found is None else hit.join(found.select("ax_id"), "ax_id", "left_anti"), "hit")
+        if fresh.isEmpty():
+            return found if found is not None else fresh
+        found = fresh if found is None else found.unionByName(fresh)
+        more = settle(of_axiom.join(fresh.select("ax_id"), "ax_id", "left_semi").select("node").distinct().join(known, "node", "left_anti"), "more")
+        if more.isEmpty():
+            return found
+        known = settle(known.unionByName(more), "signature")
+
+
+def _grown(start: DataFrame, parts: DataFrame, sizes: DataFrame, some, always: list[str], every: str, any_: str, bottom: bool = True) -> DataFrame:
+    """node: start and the expressions that come to it from their parts: those of an operator in always; "some" (and for open ones "all")
+    by property and part; `every` by all parts, `any_` by one."""
+    own = start.unionByName(parts.where(F.col("op").isin(always)).select(F.col("label").alias("node"))).distinct() if always else start
+    own = settle(own, "grown")
+    while True:
+        by_part = parts.join(own.select(F.col("node").alias("part")), "part", "left_semi")
+        if some is not None:  # what is not empty
+            restricted = by_part.where((F.col("op") == "some") & some).select("label")
+        elif bottom:  # what is not full where outside properties are empty
+            restricted = by_part.where((F.col("op") == "all") & F.col("in_")).select("label")
+        else:
+            restricted = by_part.where("op = 'all' OR op = 'some'").select("label").unionByName(parts.where((F.col("op") == "some") & F.col("in_")).select("label"))
+        whole = by_part.where(F.col("op") == every).groupBy("label").agg(F.count("*").alias("m")).join(sizes, "label").where("m = n").select("label")
+        made = restricted.unionByName(whole).unionByName(by_part.where(F.col("op") == any_).select("label")).distinct()
+        fresh = settle(made.select(F.col("label").alias("node")).join(own, "node", "left_anti"), "grown")
+        if fresh.isEmpty():
+            return own
+        own = settle(own.unionByName(fresh), "grown")
 
 
 def dangling(ont: Ontology) -> DataFrame:

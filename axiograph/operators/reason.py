@@ -192,7 +192,7 @@ def unsatisfiable(ont: Ontology) -> DataFrame:
 
 def incoherent_module(ont: Ontology) -> DataFrame:
     """Axioms of the bottom module of the unsatisfiable classes: what their clashes follow from."""
-    return graph.module(ont.axioms, unsatisfiable(ont).select(F.col("iri").alias("node")))
+    return graph.module(ont, unsatisfiable(ont).select(F.col("iri").alias("node")))
 
 
 def reasoned(ont: Ontology, reasoner: str = "el", new_ontology: bool = False, indirect: bool = False) -> DataFrame:

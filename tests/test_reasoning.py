@@ -6,7 +6,7 @@ import pytest
 
 from axiograph.functions import vocab as V
 from axiograph.model import Ontology
-from axiograph.operators import reason
+from axiograph.operators import graph, reason
 
 COLUMNS = "s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
 
@@ -137,3 +137,76 @@ def test_expressions_that_hold_themselves_end(spark):
     b.add("A", V.SUBCLASS, "_:r")
     ont = b.ontology(spark, "A")
     assert ont.expressions.where("label IS NOT NULL").count() == 0 and reason.classify(ont).count() == 0
+
+
+def brute_module(axioms, signature, bottom):
+    """Axioms (kind, left, right) that are not local, and all that follow; names outside of the signature are empty or full."""
+    sigma, found = set(signature), set()
+
+    def names(e):
+        return {e} if isinstance(e, str) else set().union(*(names(x) for x in e[1:]))
+
+    def empty(e):
+        if isinstance(e, str):
+            return bottom and e not in sigma
+        if e[0] == "some":
+            return (bottom and e[1] not in sigma) or empty(e[2])
+        return False if e[0] == "all" else any(map(empty, e[1:])) if e[0] == "and" else all(map(empty, e[1:]))
+
+    def full(e):
+        if isinstance(e, str):
+            return not bottom and e not in sigma
+        if e[0] == "some":
+            return not bottom and e[1] not in sigma and full(e[2])
+        if e[0] == "all":
+            return (bottom and e[1] not in sigma) or full(e[2])
+        return all(map(full, e[1:])) if e[0] == "and" else any(map(full, e[1:]))
+
+    while True:
+        size = len(found)
+        for a in axioms:
+            kind, x, y = a
+            local = {
+                "sub": lambda: empty(x) or full(y), "eq": lambda: (empty(x) and empty(y)) or (full(x) and full(y)), "dis": lambda: empty(x) or empty(y),
+                "domain": lambda: full(y) or (bottom and x not in sigma), "subprop": lambda: (x if bottom else y) not in sigma,
+            }[kind]()
+            if a not in found and not local:
+                found.add(a)
+                sigma |= names(x) | names(y)
+        if len(found) == size:
+            return found
+
+
+def test_modules_against_plain_locality(spark):
+    predicates = {"sub": V.SUBCLASS, "eq": V.EQUIVALENT, "dis": V.DISJOINT, "domain": V.DOMAIN, "subprop": V.SUBPROPERTY}
+    rng = random.Random(5)
+    classes, properties = [f"C{i}" for i in range(12)], ["p", "q", "r"]
+    cls = lambda: rng.choice(classes)
+    expression = lambda: rng.choice([cls(), cls(), ("some", rng.choice(properties), cls()), ("all", rng.choice(properties), cls()), ("and", "C0", ("some", "p", cls())), ("or", "C1", ("all", "q", cls()))])
+    axioms = [(rng.choice(["sub", "sub", "eq"]), cls(), expression()) for _ in range(16)] + [("dis", "C2", "C3"), ("domain", "p", "C4"), ("subprop", "q", "r")]
+    axioms = [("sub", "C0", ("some", "p", "C5")), ("sub", "C5", "C6"), *axioms]
+    axioms = list(dict.fromkeys(a for a in axioms if a[1] != a[2]))
+    b = Builder()
+    for kind, x, y in axioms:
+        b.axiom(x, predicates[kind], y)
+    ont = b.ontology(spark, classes, properties)
+
+    def text(e):
+        if isinstance(e, str):
+            return e
+        inside = sorted(map(text, e[1:])) if e[0] in ("and", "or") else [e[1], text(e[2])]
+        return f"{e[0]}({' '.join(inside)})"
+
+    for kind in ("BOT", "TOP", "STAR"):
+        signature = ["C0", "q"]
+        want = set(axioms)
+        if kind == "STAR":
+            size = -1
+            while len(want) != size:
+                size = len(want)
+                want = brute_module(sorted(want, key=str), signature, True)
+                want = brute_module(sorted(want, key=str), signature, False)
+        else:
+            want = brute_module(axioms, signature, kind == "BOT")
+        got = {(r["property"], r["subject"], r["object"]) for r in graph.module(ont, spark.createDataFrame([(x,) for x in signature], "node string"), kind).collect() if r["ax_type"] != "Declaration"}
+        assert got == {(predicates[k], x, text(y)) for k, x, y in want}, kind
