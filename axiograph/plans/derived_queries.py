@@ -128,5 +128,5 @@ def _mirrored(ont: Ontology) -> DataFrame:
 
 
 query("snk_12_mirror", "SELECT graph, CAST(count(*) AS BIGINT) AS n FROM triples GROUP BY graph")(_mirrored)
-query("snk_03_node_documents")(lambda o: files.node_documents(o.rows.where(F.col("s").startswith(f"{EX}nation/"))))
+query("snk_03_statement_documents", "SELECT DISTINCT CAST(to_json({'id': s, 'p': p, 'value': o}) AS VARCHAR) AS value FROM t WHERE s_kind = 'iri'")(lambda o: files.statement_documents(o.rows))
 query("snk_07_html_rows", f", {_LB} SELECT '<tr><td>' || n.iri || '</td><td>' || replace(replace(replace(coalesce(lb.label, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>' AS value FROM (SELECT iri FROM decl WHERE kind = 'class') n LEFT JOIN lb ON lb.iri = n.iri")(lambda o: files.html_rows(_table(o, ["IRI", "LABEL"], ["classes"])))

@@ -19,16 +19,25 @@ FOUND: dict[str, tuple[Query, str | None]] = {}
 EX = V.EX
 
 
+_ontologies: dict[tuple[str, str], Ontology] = {}
+
+
+def _testbed(spark: SparkSession, sf_dir: str) -> Ontology:
+    """The test bed's ontology, whose written views serve all queries of a Spark application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ontologies:
+        _ontologies[key] = Ontology(store.testbed(spark, sf_dir))
+    return _ontologies[key]
+
+
 def query(name: str, sql: str | None = None, recursive: bool = False) -> Callable[[Callable[[Ontology], DataFrame]], Query]:
     """Register a function of the test bed's ontology; sql follows the common tables of PRELUDE."""
 
     def add(f: Callable[[Ontology], DataFrame]) -> Query:
-        run = lambda spark, sf_dir: f(Ontology(store.testbed(spark, sf_dir)))
+        run = lambda spark, sf_dir: f(_testbed(spark, sf_dir))
         text = None
         if sql is not None:
-            text = PRELUDE + sql
-            if recursive:
-                text = text.replace("WITH ", "WITH RECURSIVE ", 1)
+            text = (PRELUDE + sql).replace("WITH ", "WITH RECURSIVE ", 1)
         FOUND[name] = (run, text)
         return run
 
@@ -51,9 +60,14 @@ decl AS (SELECT DISTINCT s AS iri, {_case("o", DECLARED, "NULL")} AS kind FROM t
 e AS (SELECT DISTINCT s AS child, o AS parent, o_kind, CASE WHEN p = '{V.SUBCLASS}' THEN 'class' ELSE 'property' END AS kind FROM t WHERE p IN {_in([V.SUBCLASS, V.SUBPROPERTY])} AND s_kind = 'iri' AND s <> o),
 ce AS (SELECT child, parent FROM e WHERE kind = 'class'),
 ind AS (SELECT iri FROM decl WHERE kind = 'individual'),
-ex AS (SELECT r.s AS expr, CASE WHEN f.p = '{V.SOME}' THEN 'some' ELSE 'all' END AS op, CASE WHEN f.p = '{V.SOME}' THEN 'some(' ELSE 'all(' END || r.o || ' ' || f.o || ')' AS label
-       FROM t r JOIN t f ON r.s = f.s WHERE r.p = '{V.ON_PROPERTY}' AND f.p IN {_in([V.SOME, V.ALL])}
-       UNION ALL SELECT s, CASE WHEN p = '{V.INTERSECTION}' THEN 'and' ELSE 'or' END, CASE WHEN p = '{V.INTERSECTION}' THEN 'and(' ELSE 'or(' END || o || ')' FROM t WHERE p IN {_in([V.INTERSECTION, V.UNION])}),
+cell AS (SELECT s AS expr, o AS node FROM t WHERE p IN {_in([V.INTERSECTION, V.UNION])} UNION SELECT cell.expr, r.o FROM cell JOIN t r ON r.s = cell.node AND r.p = '{V.RDF}rest' WHERE r.o <> '{V.RDF}nil'),
+held AS (SELECT DISTINCT expr, f.o AS member FROM cell JOIN t f ON f.s = node AND f.p = '{V.RDF}first'),
+ex0 AS (SELECT r.s AS expr, CASE WHEN f.p = '{V.SOME}' THEN 'some' ELSE 'all' END AS op, CASE WHEN f.p = '{V.SOME}' THEN 'some(' ELSE 'all(' END || r.o || ' ' || f.o || ')' AS label
+       FROM t r JOIN t f ON r.s = f.s WHERE r.p = '{V.ON_PROPERTY}' AND f.p IN {_in([V.SOME, V.ALL])}),
+ex AS (SELECT * FROM ex0
+       UNION ALL SELECT t.s, CASE WHEN t.p = '{V.INTERSECTION}' THEN 'and' ELSE 'or' END, CASE WHEN t.p = '{V.INTERSECTION}' THEN 'and(' ELSE 'or(' END || coalesce(q.inside, '') || ')'
+       FROM t LEFT JOIN (SELECT expr, string_agg(text, ' ' ORDER BY text) AS inside FROM (SELECT DISTINCT h.expr, coalesce(ex0.label, h.member) AS text FROM held h LEFT JOIN ex0 ON ex0.expr = h.member) z GROUP BY expr) q ON q.expr = t.s
+       WHERE t.p IN {_in([V.INTERSECTION, V.UNION])}),
 note AS (SELECT DISTINCT a.o AS s, b.o AS p, c.o AS o, n.p || '=' || n.o AS note FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s JOIN t n ON a.s = n.s
          WHERE a.p = '{V.ANN_SOURCE}' AND b.p = '{V.ANN_PROPERTY}' AND c.p = '{V.ANN_TARGET}' AND n.s_kind = 'bnode' AND n.p NOT IN {_in([V.TYPE, V.ANN_SOURCE, V.ANN_PROPERTY, V.ANN_TARGET])}),
 notes AS (SELECT s, p, o, string_agg(note, '|' ORDER BY note) AS notes FROM note GROUP BY s, p, o),
@@ -117,9 +131,9 @@ def _(ont):
     return terms.labels(ont.rows)
 
 
-@query("scl_07_literal_values", "SELECT DISTINCT s, p, o AS value, o_dt AS datatype, o_lang AS lang FROM t WHERE o_kind = 'lit' AND p IN " + _in([EX + "size", V.DEFINITION]))
+@query("scl_07_literal_values", "SELECT DISTINCT s, p, o AS value, o_dt AS datatype, o_lang AS lang FROM t WHERE o_kind = 'lit'")
 def _(ont):
-    return ont.with_p(EX + "size", V.DEFINITION).where("o_kind = 'lit'").select("s", "p", F.col("o").alias("value"), F.coalesce("o_dt", F.lit("")).alias("datatype"), F.coalesce("o_lang", F.lit("")).alias("lang"))
+    return ont.rows.where("o_kind = 'lit'").select("s", "p", F.col("o").alias("value"), F.coalesce("o_dt", F.lit("")).alias("datatype"), F.coalesce("o_lang", F.lit("")).alias("lang")).distinct()
 
 
 @query("scl_08_expression_text", "SELECT DISTINCT expr, op, label FROM ex")
@@ -233,16 +247,12 @@ _CLASS_KEPT = ", kept AS (SELECT iri AS node FROM decl WHERE kind = 'class' AND
 query("grf_03_remove", _CLASS_KEPT.format(c=f"NOT {starts('nation', 'iri')}") + _GAPS + f"{_OUT} x WHERE NOT EXISTS (SELECT 1 FROM sig g WHERE g.ax_type = x.ax_type AND g.subject = x.subject AND g.property = x.property AND g.object = x.object AND {starts('nation', 'g.node')}) UNION {_LINKS}", True)(lambda o: axfilter.remove(o, _nodes(o, "nation"), signature=True))
 query("grf_04_filter", _CLASS_KEPT.format(c=f"({starts('supplier', 'iri')} OR {starts('region', 'iri')})") + _GAPS + _COMPLETE.format(f"{starts('supplier', 'g.node')} OR {starts('region', 'g.node')}") + f" UNION {_LINKS}", True)(lambda o: axfilter.keep(o, _nodes(o, "supplier").unionByName(_nodes(o, "region"))))
 query("grf_05_collapse", ", gone AS (SELECT parent AS node FROM ce WHERE parent IN (SELECT child FROM ce) GROUP BY parent HAVING count(*) < 150), kept AS (SELECT child AS node FROM ce WHERE child NOT IN (SELECT node FROM gone) UNION SELECT parent FROM ce WHERE parent NOT IN (SELECT node FROM gone))" + _GAPS + _SPAN, True)(lambda o: graph.collapse(o.edges.where("kind = 'class'"), 150, repeat=False))
-_MIREOT = f", up AS (SELECT child, parent FROM ce WHERE {starts('supplier', 'child')} UNION SELECT ce.child, ce.parent FROM up JOIN ce ON ce.child = up.parent WHERE NOT {starts('nation', 'up.parent')})"
-query("grf_06_ancestors_to_upper_terms", _MIREOT + " SELECT child, parent FROM up", True)(lambda o: graph.bounded_ancestors(o.edges.where("kind = 'class'"), _nodes(o, "supplier"), _nodes(o, "nation")))
+_MIREOT = f", up AS (SELECT child, parent FROM ce WHERE {starts('supplier', 'child')} UNION SELECT ce.child, ce.parent FROM up JOIN ce ON ce.child = up.parent WHERE NOT {starts('nation', 'up.parent')}) , up2 AS (SELECT * FROM up WHERE NOT starts_with(parent, '_:'))"
+query("grf_06_ancestors_to_upper_terms", _MIREOT + " SELECT child, parent FROM up2", True)(lambda o: graph.bounded_ancestors(o.edges.where("kind = 'class'"), _nodes(o, "supplier"), _nodes(o, "nation")))
 query("grf_07_ancestors_without_intermediates", f", kept AS (SELECT iri AS node FROM decl WHERE {starts('supplier', 'iri')} OR {starts('region', 'iri')})" + _GAPS + _SPAN, True)(lambda o: graph.bounded_ancestors(o.edges.where("kind = 'class'"), _nodes(o, "supplier"), _nodes(o, "region"), "none"))
 query("grf_08_descendants_of_branch", f", dn AS (SELECT child, parent FROM ce WHERE {starts('region', 'parent')} UNION SELECT ce.child, ce.parent FROM dn JOIN ce ON ce.parent = dn.child) SELECT child, parent FROM dn", True)(lambda o: graph.branch(o.edges.where("kind = 'class'"), _nodes(o, "region")))
-_BOT = f"""la AS (SELECT * FROM ax WHERE ax_type IN ('SubClassOf', 'EquivalentClasses', 'ClassAssertion', 'SubPropertyOf', 'DisjointClasses')),
-trg AS (SELECT DISTINCT ax_type, subject, property, object, subject AS node FROM la UNION SELECT ax_type, subject, property, object, object FROM la WHERE object_kind = 'iri' AND ax_type IN ('EquivalentClasses', 'DisjointClasses')),
-edge AS (SELECT DISTINCT trg.node AS a, sig.node AS b FROM trg JOIN sig USING (ax_type, subject, property, object)),
-m AS (SELECT iri AS node FROM decl WHERE {starts('supplier', 'iri')} UNION SELECT edge.b FROM m JOIN edge ON edge.a = m.node)
-SELECT DISTINCT ax_type, subject, property, object FROM trg WHERE node IN (SELECT node FROM m)"""
-query("grf_09_bottom_module", ", " + _BOT, True)(lambda o: graph.module(o.axioms, _nodes(o, "supplier")).select(*_AX).distinct())
+for _kind, _name in (("BOT", "bottom"), ("TOP", "top"), ("STAR", "star")):
+    query(f"grf_09_{_name}_module")(lambda o, k=_kind: graph.module(o, _nodes(o, "supplier"), k, "exclude").select(*_AX).distinct())
 query("grf_12_source_annotations", f"SELECT DISTINCT iri AS s, '{V.DEFINED_BY}' AS p, regexp_extract(iri, '^(.*[/#])[^/#]*$', 1) AS o FROM decl")(lambda o: o.declared.select(F.col("iri").alias("s"), F.lit(V.DEFINED_BY).alias("p"), F.regexp_extract("iri", "^(.*[/#])[^/#]*$", 1).alias("o")).distinct())
 _EQ_EDGES = f"ee AS (SELECT DISTINCT s AS child, o AS parent FROM t WHERE p IN {_in([V.EQUIVALENT, V.SUBCLASS])} AND s_kind = 'iri' AND o_kind = 'iri' AND s <> o)"
 query("grf_13_cycles", f", {_EQ_EDGES}, cl AS (SELECT child, parent FROM ee UNION SELECT cl.child, x.parent FROM cl JOIN ee x ON cl.parent = x.child) SELECT child AS node FROM cl WHERE child = parent", True)(lambda o: graph.cycles(o.with_p(V.EQUIVALENT, V.SUBCLASS).where("s_kind = 'iri' AND o_kind = 'iri' AND s <> o").select(F.col("s").alias("child"), F.col("o").alias("parent"))))
@@ -263,7 +273,7 @@ def _half(ont: Ontology, kind: str) -> DataFrame:
 
 
 _A, _B = (f"starts_with(s, '{EX}{k}')" for k in ("supplier", "customer"))
-query("set_01_merge", f"{_T} WHERE {_A} OR {_B}")(lambda o: _shown(setops.merge(_half(o, "supplier"), _half(o, "customer"), _half(o, "supplier"))))
+query("set_01_merge", _T)(lambda o: _shown(setops.merge(o.rows.where(~F.col("s").startswith(EX + "supplier")), o.rows.where(~F.col("s").startswith(EX + "customer")), _half(o, "supplier"))))
 query("set_02_defined_by", f"SELECT DISTINCT iri AS s, '{V.DEFINED_BY}' AS p, '{EX}onto' AS o FROM decl")(lambda o: setops.defined_by(o, EX + "onto").select("s", "p", "o"))
 query("set_03_derived_from", f"SELECT DISTINCT ax_type, subject, property, object, dt, lang, CASE WHEN notes = '' THEN '' ELSE notes || '|' END || '{V.PROV}wasDerivedFrom={EX}onto/1' AS notes FROM ax WHERE ax_type = 'SubClassOf'")(lambda o: setops.derived_from(o.axioms.where("ax_type = 'SubClassOf'"), EX + "onto/1").select(*_AX, "dt", "lang", F.array_join("notes", "|").alias("notes")))
 query("set_04_unmerge", f"{_T} WHERE NOT ({_A}) AND NOT ({_B})")(lambda o: _shown(setops.unmerge(o.rows, _half(o, "supplier"), _half(o, "customer"))))
@@ -272,16 +282,16 @@ _LABELS = f"(SELECT s AS iri, arg_min(o, (o_lang, o)) AS label FROM t WHERE p =
 query("set_07_labelled_diff", f"SELECT CASE WHEN a.label IS NULL THEN child ELSE '<' || child || '>[' || a.label || ']' END AS child, CASE WHEN b.label IS NULL THEN parent ELSE '<' || parent || '>[' || b.label || ']' END AS parent FROM (SELECT DISTINCT child, parent FROM ce) x LEFT JOIN {_LABELS} a ON a.iri = child LEFT JOIN {_LABELS} b ON b.iri = parent")(lambda o: setops.labelled(o.edges.where("kind = 'class'").select("child", "parent").distinct(), terms.labels(o.rows), ["child", "parent"]))
 
 
-@query("set_08_rename", f"SELECT DISTINCT CASE WHEN {starts('nation', 's')} THEN replace(s, '/nation/', '/country/') ELSE s END AS s, p, CASE WHEN o_kind = 'iri' AND {starts('nation', 'o')} THEN replace(o, '/nation/', '/country/') ELSE o END AS o FROM t WHERE p = '{V.SUBCLASS}'")
+@query("set_08_rename", f"SELECT DISTINCT CASE WHEN {starts('nation', 's')} THEN replace(s, '/nation/', '/country/') ELSE s END AS s, p, CASE WHEN o_kind = 'iri' AND {starts('nation', 'o')} THEN replace(o, '/nation/', '/country/') ELSE o END AS o FROM t")
 def _(ont):
     mapping = _nodes(ont, "nation").select(F.col("node").alias("old"), F.replace(F.col("node"), F.lit("/nation/"), F.lit("/country/")).alias("new"))
     setops.check_mapping(mapping)
-    return setops.rename(ont.with_p(V.SUBCLASS), mapping).select("s", "p", "o")
+    return setops.rename(ont.rows, mapping).select("s", "p", "o").distinct()
 
 
-query("set_09_rename_prefixes", f"SELECT DISTINCT CASE WHEN starts_with(s, '{EX}') THEN 'urn:x:' || substr(s, {len(EX) + 1}) ELSE s END AS s, p, CASE WHEN o_kind = 'iri' AND starts_with(o, '{EX}') THEN 'urn:x:' || substr(o, {len(EX) + 1}) ELSE o END AS o FROM t WHERE p = '{V.SUBCLASS}'")(lambda o: setops.rename_prefixes(o.with_p(V.SUBCLASS), {EX: "urn:x:"}).select("s", "p", "o"))
+query("set_09_rename_prefixes", f"SELECT DISTINCT CASE WHEN starts_with(s, '{EX}') THEN 'urn:x:' || substr(s, {len(EX) + 1}) ELSE s END AS s, CASE WHEN starts_with(p, '{EX}') THEN 'urn:x:' || substr(p, {len(EX) + 1}) ELSE p END AS p, CASE WHEN o_kind = 'iri' AND starts_with(o, '{EX}') THEN 'urn:x:' || substr(o, {len(EX) + 1}) ELSE o END AS o FROM t")(lambda o: setops.rename_prefixes(o.rows, {EX: "urn:x:"}).select("s", "p", "o").distinct())
 query("set_10_annotate", f"SELECT s, p, o FROM t WHERE s = '{EX}onto' UNION ALL SELECT '{EX}onto', '{V.COMMENT}', 'A comment' UNION ALL SELECT '{EX}onto', '{V.DCTERMS}license', '{EX}license'")(lambda o: setops.annotate(o, EX + "onto", {V.COMMENT: "A comment"}, {V.DCTERMS + "license": EX + "license"}).where(F.col("s") == EX + "onto").select("s", "p", "o"))
-query("set_12_copy_entities", f"SELECT s, p, o FROM t WHERE {starts('nation', 's')} AND ((p = '{V.TYPE}' AND o IN {_in(V.KINDS.values())}) OR p = '{V.LABEL}')")(lambda o: setops.copied(o, _nodes(o, "nation"), [V.LABEL]).select("s", "p", "o"))
+query("set_12_copy_entities", f"SELECT DISTINCT s, p, o FROM t WHERE s IN (SELECT iri FROM decl) AND ((p = '{V.TYPE}' AND o IN {_in(V.KINDS.values())}) OR p = '{V.LABEL}')")(lambda o: setops.copied(o, o.declared.select(F.col("iri").alias("node")).distinct(), [V.LABEL]).select("s", "p", "o").distinct())
 
 # Checks and repair --------------------------------------------------------------------------------------------------
 query("chk_01_dangling", f", {_DANGLING} SELECT iri FROM dangle")(lambda o: graph.dangling(o))

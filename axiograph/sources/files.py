@@ -14,8 +14,10 @@ from axiograph.functions import vocab as V
 from axiograph.model import Ontology
 from axiograph.operators.setops import TRIPLE
 
+#: The inside of a quoted text; possessive, so that no long text is matched by recursion.
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 _SUBJECT, _IRI = r"(<[^<>\s]*>|_:\S+)", r"<([^<>\s]*)>"
-_OBJECT = r'(<[^<>\s]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?)'
+_OBJECT = r'(<[^<>\s]*>|_:\S+|"' + _INSIDE + r'"(?:@[A-Za-z0-9-]+|\^\^<[^<>\s]*>)?)'
 _LINE = rf"^\s*{_SUBJECT}\s+{_IRI}\s+{_OBJECT}(?:\s+{_IRI})?\s*\.\s*(?:#.*)?$"
 #: Escapes of N-Triples texts.
 _ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
@@ -51,11 +53,11 @@ def read_ntriples(spark: SparkSession, path: str, strict: bool = False) -> DataF
             raise ParseError(f"no triple: {wrong[0]['value']!r}")
     part = lambda i: F.regexp_extract("value", _LINE, i)
     rows = lines.where(F.col("value").rlike(_LINE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), part(4).alias("g"))
-    tail = F.regexp_extract("o", r'^"(?:[^"\\]|\\.)*"(.*)$', 1)
+    tail = F.regexp_extract("o", rf'^"{_INSIDE}"(.*)$', 1)
     literal = F.col("o").startswith('"')
     return rows.select(
         F.when(F.col("g") == "", "root").otherwise(F.col("g")).alias("graph"), _bare(F.col("s")).alias("s"), _kind(F.col("s")).alias("s_kind"), "p",
-        F.when(literal, _unescaped(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1))).otherwise(_bare(F.col("o"))).alias("o"), _kind(F.col("o")).alias("o_kind"),
+        F.when(literal, _unescaped(F.regexp_extract("o", rf'^"({_INSIDE})"', 1))).otherwise(_bare(F.col("o"))).alias("o"), _kind(F.col("o")).alias("o_kind"),
         F.when(literal, F.when(tail.startswith("^^"), F.substr(tail, F.lit(4), F.length(tail) - 4)).when(tail.startswith("@"), V.LANG_STRING).otherwise(V.XSD_STRING)).alias("o_dt"),
         F.when(tail.startswith("@"), F.substr(tail, F.lit(2))).alias("o_lang"),
     )
@@ -133,7 +135,7 @@ def read_obo(spark: SparkSession, path: str) -> DataFrame:
     iri = lambda c: F.when(c.contains("://"), c).when(c.contains(":"), F.concat(F.lit(V.OBO), F.replace(c, F.lit(":"), F.lit("_")))).otherwise(F.concat(F.lit(V.OBO), c))
     rows = stanza.select(iri(F.col("id")).alias("s"), "kind", F.explode("lines").alias("line")).withColumn("tag", F.regexp_extract("line", r"^([\w-]+):", 1)).withColumn("body", F.trim(F.regexp_replace(F.regexp_extract("line", r"(?s)^[\w-]+:\s*(.*)$", 1), r"(?s)\s+! .*$", "")))
     first, second = F.split_part("body", F.lit(" "), F.lit(1)), F.split_part("body", F.lit(" "), F.lit(2))
-    quoted = F.regexp_extract("body", r'(?s)^"((?:[^"\\]|\\.)*)"', 1)
+    quoted = F.regexp_extract("body", rf'(?s)^"({_INSIDE})"', 1)
 
     def made(where: Column, p: Column, o: Column, kind: str, dt: str | None = None) -> DataFrame:
         return rows.where(where).select("s", F.lit("iri").alias("s_kind"), p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
@@ -237,12 +239,14 @@ def save(triples: DataFrame, path: str, fmt: str | None = None) -> None:
 
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, list[str]]:
-    """(data rows, template strings) of a template file: a header, a row of template strings, data. All cells are texts."""
+    """(data rows, template strings) of a template, one file: a header, a row of template strings, data. All cells are texts."""
     sep = sep or ("\t" if path.endswith((".tsv", ".tab", ".txt")) else ",")
     rows = spark.read.csv(path, sep=sep, header=True, multiLine=True, escape='"', inferSchema=False)
-    strings = [x or "" for x in rows.limit(1).collect()[0]]
-    key = F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in rows.columns])
-    return rows.where(key != "\u0001".join(strings)), strings
+    if len(rows.inputFiles()) != 1:
+        raise ParseError("a template is one file")
+    numbered = rows.withColumn("n_", F.monotonically_increasing_id())  # a file with multiLine is one task, its first row is 0
+    first = numbered.where("n_ = 0").drop("n_").first()
+    return numbered.where("n_ > 0").drop("n_"), [x or "" for x in first or ()]
 
 
 def read_terms(spark: SparkSession, path: str, prefixes: dict[str, str] | None = None) -> DataFrame:
@@ -267,11 +271,11 @@ def read_prefixes(text: str) -> dict[str, str]:
     return {k: v if isinstance(v, str) else v["@id"] for k, v in json.loads(text)["@context"].items() if not k.startswith("@")}
 
 
-def node_documents(triples: DataFrame) -> DataFrame:
-    """value: one JSON text for each named subject, with its statements by predicate."""
-    rows = triples.where("s_kind = 'iri'").select(*TRIPLE).distinct()
-    by = rows.groupBy("s", "p").agg(F.array_sort(F.collect_list("o")).alias("values"))
-    return by.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "values"))).alias("statements")).select(F.to_json(F.struct(F.col("s").alias("id"), "statements")).alias("value"))
+def statement_documents(triples: DataFrame) -> DataFrame:
+    """value: one JSON text for each statement of a named subject. Rows are dealt by ranges of (subject, predicate), so those of a subject lie
+    together, and one with very many spreads over tasks."""
+    rows = triples.where("s_kind = 'iri'").select("s", "p", "o").distinct().repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o")
+    return rows.select(F.to_json(F.struct(F.col("s").alias("id"), "p", F.col("o").alias("value"))).alias("value"))
 
 
 def write_if_any(rows: DataFrame, path: str, fmt: str = "csv") -> bool:

@@ -35,6 +35,7 @@ def _fixed() -> list[str]:
         (V.DEFINITION, V.TYPE, V.ANNOTATION_PROPERTY), (V.LABEL, V.TYPE, V.ANNOTATION_PROPERTY), (V.EXACT, V.TYPE, V.ANNOTATION_PROPERTY), (V.RELATED, V.TYPE, V.ANNOTATION_PROPERTY), (_EX + "said", V.TYPE, V.ANNOTATION_PROPERTY),
         (V.TYPE, V.LABEL, ("type", V.XSD_STRING)),
         *[(f"{_EX}loop/{i}", V.TYPE, V.CLASS) for i in range(3)], *[(f"{_EX}loop/{i}", V.SUBCLASS, f"{_EX}loop/{(i + 1) % 3}") for i in range(3)],
+        (_EX + "product", V.SUBCLASS, V.THING),
         *[(f"{_EX}subset/src{i}", V.SUBPROPERTY, V.SUBSET_PROPERTY) for i in range(10)],
     ]
     return [_row(None, f"'{s}'", p, f"'{o}'" if isinstance(o, str) else f"'{o[0]}'", *(("iri",) if isinstance(o, str) else ("lit", o[1]))) for s, p, o in rows]
@@ -45,11 +46,21 @@ def _tables() -> list[str]:
     supplier, customer, order = iri("supplier", "s_suppkey"), iri("customer", "c_custkey"), iri("order", "o_orderkey")
     brand, kind = f"'{_EX}brand/' || replace(p_brand, '#', '')", f"'{_EX}type/' || replace(p_type, ' ', '_')"
     blank = lambda tag, key: f"'_:{tag}' || CAST({key} AS STRING)"
-    head, start = "substr(text, 1, 40)", "substr(text, 1, 80)"
+    name = "coalesce(source, 'none') || ' ' || CAST(doc_id AS STRING)"
+    group, chain, next_nation = iri("group", "n_nationkey"), iri("chain", "n_nationkey"), iri("nation", "(n_nationkey + 1) % 25")
     cls = lambda table, s, where=None: _row(table, s, V.TYPE, f"'{V.CLASS}'", where=where)
     return [
         cls("region", region), _row("region", region, V.LABEL, "r_name", "lit"),
         cls("nation", nation), _row("nation", nation, V.LABEL, "n_name", "lit"), _row("nation", nation, V.SUBCLASS, iri("region", "n_regionkey")),
+        # definitions by an intersection, by an edge and along a transitive property, and classes that can have no member
+        cls("nation", group), _row("nation", group, V.EQUIVALENT, blank("g", "n_nationkey"), "bnode"), _row("nation", blank("g", "n_nationkey"), V.INTERSECTION, blank("lg", "n_nationkey"), "bnode", s_kind="bnode"),
+        _row("nation", blank("lg", "n_nationkey"), V.RDF + "first", nation, s_kind="bnode"), _row("nation", blank("lg", "n_nationkey"), V.RDF + "rest", blank("mg", "n_nationkey"), "bnode", s_kind="bnode"),
+        _row("nation", blank("mg", "n_nationkey"), V.RDF + "first", blank("rg", "n_nationkey"), "bnode", s_kind="bnode"), _row("nation", blank("mg", "n_nationkey"), V.RDF + "rest", f"'{V.RDF}nil'", s_kind="bnode"),
+        _row("nation", blank("rg", "n_nationkey"), V.ON_PROPERTY, f"'{_EX}part_of'", s_kind="bnode"), _row("nation", blank("rg", "n_nationkey"), V.SOME, next_nation, s_kind="bnode"),
+        cls("nation", chain), _row("nation", chain, V.EQUIVALENT, blank("c", "n_nationkey"), "bnode"), _row("nation", blank("c", "n_nationkey"), V.ON_PROPERTY, f"'{_EX}part_of'", s_kind="bnode"), _row("nation", blank("c", "n_nationkey"), V.SOME, nation, s_kind="bnode"),
+        _row("nation", nation, V.SUBCLASS, blank("h", "n_nationkey"), "bnode", where="n_nationkey % 2 = 0"), _row("nation", blank("h", "n_nationkey"), V.ON_PROPERTY, f"'{_EX}part_of'", where="n_nationkey % 2 = 0", s_kind="bnode"), _row("nation", blank("h", "n_nationkey"), V.SOME, next_nation, where="n_nationkey % 2 = 0", s_kind="bnode"),
+        _row("nation", nation, V.DISJOINT, next_nation, where="n_nationkey % 5 = 1"),
+        _row("supplier", supplier, V.SUBCLASS, blank("q", "s_suppkey"), "bnode", where="s_suppkey % 3 = 0"), _row("supplier", blank("q", "s_suppkey"), V.ON_PROPERTY, f"'{_EX}part_of'", where="s_suppkey % 3 = 0", s_kind="bnode"), _row("supplier", blank("q", "s_suppkey"), V.SOME, iri("nation", "(s_nationkey + 1) % 25"), where="s_suppkey % 3 = 0", s_kind="bnode"),
         cls("supplier", supplier), _row("supplier", supplier, V.LABEL, "s_name", "lit"), _row("supplier", supplier, V.SUBCLASS, iri("nation", "s_nationkey")),
         _row("supplier", supplier, V.SUBCLASS, iri("nation", "(s_nationkey + 1) % 25"), where="s_suppkey % 7 = 0"),
         cls("customer", customer), _row("customer", customer, V.LABEL, "c_name", "lit"), _row("customer", customer, V.SUBCLASS, iri("nation", "c_nationkey")),
@@ -77,14 +88,15 @@ def _tables() -> list[str]:
         "SELECT DISTINCT * FROM (" + _row("part", kind, V.SUBCLASS, f"'{_EX}product'") + ") x5",
         _row("orders", order, V.TYPE, f"'{V.INDIVIDUAL}'"), _row("orders", order, V.TYPE, iri("customer", "o_custkey")),
         _row("orders", order, _EX + "priority", "o_orderpriority", "lit"),
-        cls("documents", doc), _row("documents", doc, V.LABEL, head, "lit", where="doc_id % 97 <> 0 AND text IS NOT NULL"),
+        cls("documents", doc), _row("documents", doc, V.LABEL, name, "lit", where="doc_id % 97 <> 0"),
+        _row("documents", doc, V.LABEL, "text", "lit", where="doc_id % 31 = 7 AND text IS NOT NULL"),
         _row("documents", doc, V.LABEL, "'obsolete item ' || CAST(doc_id AS STRING)", "lit", where="doc_id % 97 = 0"),
         _row("documents", doc, V.LABEL, "upper(source)", "lit", where="doc_id % 31 = 0"),
-        _row("documents", doc, V.DEFINITION, start, "lit", "lang", "lang", where="doc_id % 4 <> 0 AND text IS NOT NULL"),
-        _row("documents", doc, V.DEFINITION, head, "lit", where="doc_id % 11 = 0 AND text IS NOT NULL"),
+        _row("documents", doc, V.DEFINITION, "text", "lit", "lang", "lang", where="text IS NOT NULL"),
+        _row("documents", doc, V.DEFINITION, "text", "lit", where="doc_id % 11 = 0 AND text IS NOT NULL"),
         _row("documents", doc, V.REPLACED_BY, iri("doc", "doc_id + 1"), where="doc_id % 5 = 1"),
         _row("documents", doc, V.EXACT, "source", "lit", where="doc_id % 3 = 0"), _row("documents", doc, V.RELATED, "source", "lit", where="doc_id % 6 = 0"),
-        _row("documents", doc, V.EXACT, head, "lit", where="doc_id % 13 = 0 AND text IS NOT NULL"),
+        _row("documents", doc, V.EXACT, name, "lit", where="doc_id % 13 = 0"),
         _row("documents", doc, V.SUBSET, f"'{_EX}subset/' || source", where="doc_id % 2 = 0"),
         _row("documents", blank("a", "doc_id"), V.TYPE, f"'{V.AXIOM}'", where="doc_id % 9 = 0", s_kind="bnode"),
         _row("documents", blank("a", "doc_id"), V.ANN_SOURCE, doc, where="doc_id % 9 = 0", s_kind="bnode"),
@@ -103,7 +115,7 @@ def _tables() -> list[str]:
         _row("pages", iri("doc", "page_id"), V.XREF, "url", "lit"), _row("pages", iri("doc", "page_id"), V.XREF, "'page ' || CAST(page_id AS STRING)", "lit", where="page_id % 3 = 0"), _row("pages", iri("doc", "page_id"), V.XREF, "'PAGE:' || CAST(page_id AS STRING)", "lit"),
         cls("pages", "'http://purl.org/obo/X_' || CAST(page_id AS STRING)", where="page_id % 25 = 0"),
         "SELECT DISTINCT * FROM (" + _row("conversations", iri("conv", "conv_id"), V.TYPE, f"'{V.INDIVIDUAL}'") + ") x6",
-        _row("conversations", iri("conv", "conv_id"), _EX + "said", "substr(text, 1, 30)", "lit", where="text IS NOT NULL"),
+        _row("conversations", iri("conv", "conv_id"), _EX + "said", "text", "lit", where="text IS NOT NULL"),
         _row("events", iri("user", "user_id"), f"'{_EX}event/' || event_type", "CAST(event_id AS STRING)", "lit", V.XSD_INTEGER, graph=f"'{_EX}graph/' || event_type"),
     ]
 
