@@ -281,12 +281,13 @@ def profile_violations(ont: Ontology, profile: str) -> DataFrame:
     return ont.axioms.where(outside).select("ax_type", "subject", "object").distinct()
 
 
-def instances(ont: Ontology, direct: bool = False) -> DataFrame:
-    """individual, cls: types of individuals, asserted and (unless direct) by the class hierarchy."""
+def instances(ont: Ontology, direct: bool = False, reasoner: str = "el") -> DataFrame:
+    """individual, cls: types of individuals, asserted and (unless direct) by the class hierarchy, as classified or ("structural") told."""
     own = ont.with_p(V.TYPE).join(ont.declared.where("kind = 'individual'").select(F.col("iri").alias("s")), "s", "left_semi").where(~F.col("o").startswith(V.OWL)).select(F.col("s").alias("individual"), F.col("o").alias("cls"))
     if direct:
         return own.distinct()
-    above = classify(ont).select(F.col("child").alias("cls"), F.col("parent").alias("over"))
+    pairs = classify(ont) if reasoner == "el" else graph.closure(told(ont)).where("child <> parent")
+    above = pairs.select(F.col("child").alias("cls"), F.col("parent").alias("over"))
     return own.unionByName(own.join(above, "cls").select("individual", F.col("over").alias("cls"))).distinct()
 
 

@@ -64,8 +64,11 @@ _CE_NAMED = "cn AS (SELECT DISTINCT child, parent FROM e WHERE kind = 'class' AN
 query("rsn_09_reduce_named", f""", {_CE_NAMED}, cl AS (SELECT child, parent FROM cn UNION SELECT cl.child, x.parent FROM cl JOIN cn x ON x.child = cl.parent)
     SELECT child, parent FROM cn WHERE NOT EXISTS (SELECT 1 FROM cn v JOIN cl ON cl.child = v.parent AND cl.parent = cn.parent WHERE v.child = cn.child AND v.parent <> cn.parent
       AND NOT EXISTS (SELECT 1 FROM cl z WHERE z.child = cn.parent AND z.parent = v.parent) AND NOT EXISTS (SELECT 1 FROM cl z WHERE z.child = v.parent AND z.parent = cn.child))""", True)(reason.reduced)
-query("rsn_04_instances", f", {_TOLD}, up AS (SELECT child, parent FROM told UNION SELECT up.child, x.parent FROM up JOIN told x ON x.child = up.parent), own AS (SELECT DISTINCT s AS individual, o AS cls FROM t WHERE p = '{V.TYPE}' AND s IN (SELECT iri FROM ind) AND NOT starts_with(o, '{V.OWL}')) SELECT individual, cls FROM own UNION SELECT individual, parent FROM own JOIN up ON up.child = own.cls AND up.parent <> up.child", True)(reason.instances)
-_RSN = {"rsn_01_classify": reason.classify, "rsn_07_inferred": reason.inferred, "rsn_12_unsatisfiable": reason.unsatisfiable, "rsn_14_equivalence_policy": lambda o: reason.equivalences(o, "asserted-only"), "rsn_15_explain": lambda o: reason.explanations(o, f"{EX}customer/1", f"{EX}region/0", 3)}
+query("rsn_04_instances", f", {_TOLD}, up AS (SELECT child, parent FROM told UNION SELECT up.child, x.parent FROM up JOIN told x ON x.child = up.parent), own AS (SELECT DISTINCT s AS individual, o AS cls FROM t WHERE p = '{V.TYPE}' AND s IN (SELECT iri FROM ind) AND NOT starts_with(o, '{V.OWL}')) SELECT individual, cls FROM own UNION SELECT individual, parent FROM own JOIN up ON up.child = own.cls AND up.parent <> up.child", True)(lambda o: reason.instances(o, reasoner="structural"))
+query("rsn_15_explain", f""", {_TOLD}, pt AS (SELECT [child, parent] AS path, parent AS node FROM told WHERE child = '{EX}part/1' UNION ALL SELECT list_append(path, x.parent), x.parent FROM pt JOIN told x ON x.child = pt.node WHERE pt.node <> '{EX}product' AND NOT list_contains(path, x.parent)),
+    best AS (SELECT path, CAST(row_number() OVER (ORDER BY len(path), path) AS INTEGER) AS rank FROM pt WHERE node = '{EX}product' ORDER BY len(path), path LIMIT 3), link AS (SELECT path, rank, unnest(range(1, len(path))) AS i FROM best)
+    SELECT rank, CAST(i - 1 AS INTEGER) AS step, path[i] AS subject, path[i + 1] AS object FROM link""", True)(lambda o: reason.explanations(o, f"{EX}part/1", f"{EX}product", 3))
+_RSN = {"rsn_01_classify": reason.classify, "rsn_07_inferred": reason.inferred, "rsn_12_unsatisfiable": reason.unsatisfiable, "rsn_14_equivalence_policy": lambda o: reason.equivalences(o, "asserted-only")}
 for _name, _f in _RSN.items():
     query(_name)(_f)
 
@@ -81,7 +84,7 @@ def _g(ont: Ontology, name: str | None = None) -> patterns.Graph:
 
 query("spq_01_select_join", f"SELECT DISTINCT {_I('x.s')} AS supplier, {_I('x.o')} AS nation, {_VAL} AS name FROM t x JOIN t v ON v.s = x.o WHERE x.p = '{V.SUBCLASS}' AND v.p = '{V.LABEL}' AND {starts('supplier', 'x.s')}")(lambda o: _g(o).match(("?supplier", "rdfs:subClassOf", "?nation"), ("?nation", "rdfs:label", "?name")).filter(F.col("supplier").startswith(f"<{EX}supplier/")).select("?supplier", "?nation", "?name", distinct=True))
 query("spq_02_ask", f"SELECT count(*) > 0 AS answer FROM t WHERE p = '{V.LABEL}' AND o = 'EUROPE'")(lambda o: o.spark.createDataFrame([(_g(o).match(("?x", "rdfs:label", "'EUROPE'")).ask(),)], "answer boolean"))
-query("spq_03_construct", f"SELECT DISTINCT {_I('x.o')} AS s, '<{EX}has_child>' AS p, {_I('x.s')} AS o FROM t x WHERE x.p = '{V.SUBCLASS}' AND x.s_kind = 'iri' AND x.o_kind = 'iri'")(lambda o: _g(o).match(("?c", "rdfs:subClassOf", "?p")).construct(("?p", "ex:has_child", "?c")))
+query("spq_03_construct", f"SELECT DISTINCT CASE WHEN x.o_kind = 'bnode' THEN x.o ELSE {_I('x.o')} END AS s, '<{EX}has_child>' AS p, {_I('x.s')} AS o FROM t x WHERE x.p = '{V.SUBCLASS}' AND x.s_kind = 'iri'")(lambda o: _g(o).match(("?c", "rdfs:subClassOf", "?p")).construct(("?p", "ex:has_child", "?c")))
 query("spq_04_describe", f"SELECT DISTINCT {_I('v.s')} AS s, {_I('v.p')} AS p, {_VAL} AS o FROM t v WHERE v.s = '{EX}nation/1'")(lambda o: patterns.describe(o.triples, "ex:nation/1"))
 query("spq_05_update", f"SELECT DISTINCT {_I('v.s')} AS s, {_I('v.p')} AS p, {_VAL} AS o FROM t v WHERE v.s_kind = 'iri' AND v.p = '{V.LABEL}' AND NOT {starts('nation', 'v.s')} UNION SELECT {_I('v.s')}, '<{V.COMMENT}>', {_VAL} FROM t v WHERE v.p = '{V.LABEL}' AND {starts('nation', 'v.s')}")(lambda o: (lambda w: patterns.update(o.with_p(V.LABEL), w, [("?s", "rdfs:label", "?v")], [("?s", "rdfs:comment", "?v")]))(_g(o).match(("?s", "rdfs:label", "?v")).filter(F.col("s").startswith(f"<{EX}nation/"))))
 query("spq_06_named_graph", f"SELECT DISTINCT '<' || s || '>' AS who, '<' || p || '>' AS what FROM triples WHERE graph = '{EX}graph/click'")(lambda o: _g(o, f"{EX}graph/click").match(("?who", "?what", "?n")).select("?who", "?what", distinct=True))
@@ -106,7 +109,7 @@ def _parts(ont: Ontology) -> DataFrame:
 _MADE = f"SELECT s, '{V.TYPE}' AS p, '{V.CLASS}' AS o FROM pt UNION SELECT s, '{V.LABEL}', l || ' copy' FROM pt UNION SELECT s, '{V.SUBCLASS}', parent FROM pt JOIN e ON e.child = pt.s UNION SELECT s, '{V.COMMENT}', l FROM pt"
 query("tpl_04_class_rows", f", pt AS (SELECT s, o AS l FROM t WHERE p = '{V.LABEL}' AND {starts('part', 's')}) {_MADE}")(lambda o: template.template(_parts(o), ["ID", "LABEL", "SC % SPLIT=|", "A rdfs:comment"])[0].select("s", "p", "o"))
 query("tpl_12_errors", f"SELECT DISTINCT 'Parent' AS column, l AS value, 'names no entity' AS message FROM (SELECT o AS l FROM t WHERE p = '{V.LABEL}' AND {starts('part', 's')}) q")(lambda o: template.template(_parts(o).select("ID", "Label", F.col("Note").alias("Parent")), ["ID", "LABEL", "SC %"])[1])
-query("tpl_04_restrictions", f"SELECT DISTINCT '{EX}part_of' AS prop, e.parent AS filler FROM e WHERE {starts('nation', 'e.child')}")(lambda o: (lambda made: Ontology(made).expressions.select("prop", "filler").distinct())(template.template(o.edges.where(F.col("child").startswith(f"{EX}nation/")).select(F.col("child").alias("ID"), F.col("parent").alias("Whole")), ["ID", "SC ex:part_of some %"])[0]))
+query("tpl_04_restrictions", f"SELECT DISTINCT '{EX}part_of' AS prop, e.parent AS filler FROM e WHERE e.kind = 'class' AND e.o_kind = 'iri'")(lambda o: (lambda made: Ontology(made).expressions.select("prop", "filler").distinct())(template.template(o.edges.where("kind = 'class' AND o_kind = 'iri'").select(F.col("child").alias("ID"), F.col("parent").alias("Whole")), ["ID", "SC ex:part_of some %"])[0]))
 
 
 def _round_trip(ont: Ontology) -> DataFrame:

@@ -226,7 +226,7 @@ def _two_tables(ont: Ontology) -> DataFrame:
     return template.chain([(first, ["ID", "LABEL"]), (second, ["ID", "SC %"])])[0].select(*_SPO)
 
 
-query("tpl_03_chain_of_tables", f"SELECT replace(s, '/nation/', '/copy/') AS s, '{V.TYPE}' AS p, '{V.CLASS}' AS o FROM t WHERE p = '{V.LABEL}' AND {starts('nation', 's')} UNION SELECT replace(s, '/nation/', '/copy/'), p, o FROM t WHERE p = '{V.LABEL}' AND {starts('nation', 's')} UNION SELECT child, '{V.TYPE}', '{V.CLASS}' FROM e WHERE {starts('supplier', 'child')} UNION SELECT child, '{V.SUBCLASS}', replace(parent, '/nation/', '/copy/') FROM e WHERE {starts('supplier', 'child')}")(_two_tables)
+query("tpl_03_chain_of_tables", f"SELECT replace(s, '/nation/', '/copy/') AS s, '{V.TYPE}' AS p, '{V.CLASS}' AS o FROM t WHERE p = '{V.LABEL}' AND {starts('nation', 's')} UNION SELECT replace(s, '/nation/', '/copy/'), p, o FROM t WHERE p = '{V.LABEL}' AND {starts('nation', 's')} UNION SELECT child, '{V.TYPE}', '{V.CLASS}' FROM e WHERE o_kind = 'iri' AND {starts('supplier', 'child')} UNION SELECT child, '{V.SUBCLASS}', replace(parent, '/nation/', '/copy/') FROM e WHERE o_kind = 'iri' AND {starts('supplier', 'child')}")(_two_tables)
 query("tpl_13_merged_with_input", f"SELECT s, p, o FROM t WHERE {starts('part', 's')} AND p = '{V.LABEL}' UNION SELECT s, '{V.COMMENT}', o FROM t WHERE {starts('part', 's')} AND p = '{V.LABEL}' UNION SELECT s, '{V.TYPE}', '{V.CLASS}' FROM t WHERE {starts('part', 's')} AND p = '{V.LABEL}'")(
     lambda o: setops.merge(o.with_p(V.LABEL).where(F.col("s").startswith(f"{EX}part/")), template.template(_labels_of(o, "part"), ["ID", "A rdfs:comment"])[0]).select(*_SPO).distinct()
 )

@@ -257,7 +257,7 @@ query("grf_12_source_annotations", f"SELECT DISTINCT iri AS s, '{V.DEFINED_BY}'
 _EQ_EDGES = f"ee AS (SELECT DISTINCT s AS child, o AS parent FROM t WHERE p IN {_in([V.EQUIVALENT, V.SUBCLASS])} AND s_kind = 'iri' AND o_kind = 'iri' AND s <> o)"
 query("grf_13_cycles", f", {_EQ_EDGES}, cl AS (SELECT child, parent FROM ee UNION SELECT cl.child, x.parent FROM cl JOIN ee x ON cl.parent = x.child) SELECT child AS node FROM cl WHERE child = parent", True)(lambda o: graph.cycles(o.with_p(V.EQUIVALENT, V.SUBCLASS).where("s_kind = 'iri' AND o_kind = 'iri' AND s <> o").select(F.col("s").alias("child"), F.col("o").alias("parent"))))
 query("grf_14_anonymous_equivalents", "SELECT DISTINCT subject AS entity, object AS expression FROM ax WHERE object_kind = 'bnode' AND ax_type IN ('EquivalentClasses', 'SubClassOf')")(lambda o: o.axioms.where("object_kind = 'bnode' AND ax_type IN ('EquivalentClasses', 'SubClassOf')").select(F.col("subject").alias("entity"), F.col("object").alias("expression")).distinct())
-_DANGLING = f"dangle AS (SELECT child AS iri FROM e UNION SELECT parent FROM e WHERE o_kind = 'iri' EXCEPT SELECT iri FROM decl)"
+_DANGLING = f"dangle AS (SELECT child AS iri FROM e UNION SELECT parent FROM e WHERE o_kind = 'iri' EXCEPT SELECT iri FROM decl EXCEPT SELECT o FROM t WHERE starts_with(o, '{V.OWL}') OR starts_with(o, '{V.RDFS}'))"
 query("grf_15_trim_dangling", f", {_DANGLING} SELECT DISTINCT child, parent FROM e WHERE child NOT IN (SELECT iri FROM dangle) AND parent NOT IN (SELECT iri FROM dangle)")(lambda o: o.edges.select("child", "parent").distinct().join(graph.dangling(o).select(F.col("iri").alias("child")), "child", "left_anti").join(graph.dangling(o).select(F.col("iri").alias("parent")), "parent", "left_anti"))
 
 # Sets ---------------------------------------------------------------------------------------------------------------
@@ -328,7 +328,7 @@ _EACH = f"""each AS (SELECT c.iri AS node, (SELECT count(*) FROM ce WHERE ce.chi
     (SELECT count(*) FROM ce WHERE ce.parent = c.iri) AS children, (SELECT count(*) FROM t WHERE t.p = '{V.TYPE}' AND NOT starts_with(t.o, '{V.OWL}') AND t.o = c.iri) AS instances FROM decl c WHERE c.kind = 'class')"""
 _RATIO = lambda c: f"SELECT CAST(round(sum({c})::DOUBLE / count(*), 6) AS DECIMAL(20,6)) FROM each"
 query("agg_16_hierarchy", f", {_EACH} " + " UNION ALL ".join([_metric("avg_asserted_subclass_axioms_per_class", _RATIO("children")), _metric("avg_asserted_superclass_axioms_per_class", _RATIO("parents")), _metric("avg_instance_per_class", _RATIO("instances")), _metric("class_sgl_subcl_count", "SELECT count(*) FROM each WHERE children = 1"), _metric("max_num_named_superclasses", "SELECT max(named) FROM each"), _metric("multi_inheritance_count", "SELECT count(*) FROM each WHERE named > 1")]))(metrics.hierarchy)
-query("agg_18_structure", ", cl AS (SELECT child, parent FROM ce UNION SELECT cl.child, x.parent FROM cl JOIN ce x ON cl.parent = x.child) " + " UNION ALL ".join([_metric("axiom_complexrhs_count", "SELECT count(*) FROM ax WHERE object_kind = 'bnode' AND ax_type IN ('SubClassOf', 'EquivalentClasses')"), _metric("gci_hidden_count", "SELECT count(DISTINCT subject) FROM ax WHERE ax_type = 'EquivalentClasses' AND subject IN (SELECT subject FROM ax WHERE ax_type = 'SubClassOf')"), _metric("undeclared_entity_count", "SELECT count(DISTINCT node) FROM sig WHERE node NOT IN (SELECT iri FROM decl)"), _metric("tautology_count", "SELECT count(*) FROM ax WHERE ax_type IN ('SubClassOf', 'EquivalentClasses', 'SubPropertyOf', 'EquivalentProperties') AND subject = object"), _metric("longest_axiom_length", "SELECT max(n) FROM (SELECT count(DISTINCT node) AS n FROM sig GROUP BY ax_type, subject, property, object, dt, lang, notes)"), _metric("cyclic_class_count", "SELECT count(*) FROM cl WHERE child = parent")]), True)(metrics.structure)
+query("agg_18_structure", ", cl AS (SELECT child, parent FROM ce UNION SELECT cl.child, x.parent FROM cl JOIN ce x ON cl.parent = x.child) " + " UNION ALL ".join([_metric("axiom_complexrhs_count", "SELECT count(*) FROM ax WHERE object_kind = 'bnode' AND ax_type IN ('SubClassOf', 'EquivalentClasses')"), _metric("gci_hidden_count", "SELECT count(DISTINCT subject) FROM ax WHERE ax_type = 'EquivalentClasses' AND subject IN (SELECT subject FROM ax WHERE ax_type = 'SubClassOf')"), _metric("undeclared_entity_count", "SELECT count(DISTINCT node) FROM sig WHERE node NOT IN (SELECT iri FROM decl)"), _metric("tautology_count", "SELECT count(*) FROM ax WHERE ax_type IN ('SubClassOf', 'EquivalentClasses', 'SubPropertyOf', 'EquivalentProperties') AND subject = object OR ax_type IN ('SubClassOf', 'ClassAssertion', 'PropertyDomain', 'PropertyRange') AND object = '" + V.THING + "'"), _metric("longest_axiom_length", "SELECT max(n) FROM (SELECT count(DISTINCT node) AS n FROM sig GROUP BY ax_type, subject, property, object, dt, lang, notes)"), _metric("cyclic_class_count", "SELECT count(*) FROM cl WHERE child = parent")]), True)(metrics.structure)
 query("agg_05_el_profile", _metric("el_violation_count", "SELECT count(*) FROM ax WHERE ax_type IN ('InverseProperties', 'SymmetricProperty', 'AsymmetricProperty', 'IrreflexiveProperty', 'FunctionalProperty', 'InverseFunctionalProperty') OR starts_with(object, 'all(') OR starts_with(object, 'or(')") + " UNION ALL " + _metric("owl2_el", "SELECT count(*) = 0 FROM ax WHERE ax_type IN ('InverseProperties', 'SymmetricProperty', 'AsymmetricProperty', 'IrreflexiveProperty', 'FunctionalProperty', 'InverseFunctionalProperty') OR starts_with(object, 'all(') OR starts_with(object, 'or(')"))(metrics.el_profile)
 query("agg_10_constructs", f"SELECT 'constructs' AS metric, op AS metric_value, 'list_value' AS metric_type FROM (SELECT DISTINCT op FROM ex UNION SELECT DISTINCT ax_type FROM ax WHERE ax_type IN {_in(['SubPropertyOf', 'InverseProperties', *CHARACTERISTICS.values()])}) x")(metrics.constructs)
 query("agg_23_most_frequent_class", _metric("most_freq_concept", "SELECT arg_max(node, (n, node)) FROM (SELECT node, count(*) AS n FROM sig WHERE node IN (SELECT iri FROM decl WHERE kind = 'class') GROUP BY node)"))(metrics.most_frequent_class)

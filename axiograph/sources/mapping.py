@@ -114,6 +114,7 @@ def _tables() -> list[str]:
         _row("labels", doc, _EX + "quality", "CAST(quality AS STRING)", "lit", V.XSD_INTEGER),
         _row("pages", iri("doc", "page_id"), V.XREF, "url", "lit"), _row("pages", iri("doc", "page_id"), V.XREF, "'page ' || CAST(page_id AS STRING)", "lit", where="page_id % 3 = 0"), _row("pages", iri("doc", "page_id"), V.XREF, "'PAGE:' || CAST(page_id AS STRING)", "lit"),
         cls("pages", "'http://purl.org/obo/X_' || CAST(page_id AS STRING)", where="page_id % 25 = 0"),
+        _row("pages", "'http://purl.org/obo/X_' || CAST(page_id AS STRING)", V.LABEL, "' page ' || CAST(page_id AS STRING)", "lit", where="page_id % 25 = 0"),
         "SELECT DISTINCT * FROM (" + _row("conversations", iri("conv", "conv_id"), V.TYPE, f"'{V.INDIVIDUAL}'") + ") x6",
         _row("conversations", iri("conv", "conv_id"), _EX + "said", "text", "lit", where="text IS NOT NULL"),
         _row("events", iri("user", "user_id"), f"'{_EX}event/' || event_type", "CAST(event_id AS STRING)", "lit", V.XSD_INTEGER, graph=f"'{_EX}graph/' || event_type"),
