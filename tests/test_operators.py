@@ -172,10 +172,14 @@ def test_small_readers(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    triples_of(spark, [(C("A"), V.LABEL, S(" a"))]).write.parquet(f"{tmp_path}/in")
-    schema = spark.read.parquet(f"{tmp_path}/in").schema
-    check_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check", {"label_whitespace": "ERROR"}, once=True).awaitTermination()
-    assert [r["entity"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [C("A")]
+    for k, row in enumerate([(C("A"), V.TYPE, V.CLASS), (C("A"), V.LABEL, S(" a")), (C("B"), V.COMMENT, S("b"))]):
+        triples_of(spark, [row]).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    schema = spark.read.parquet(f"{tmp_path}/in/part=0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    check_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check", {"label_whitespace": "ERROR", "missing_label": "ERROR"}, once=True).awaitTermination()
+    reports = spark.read.parquet(f"{tmp_path}/out/report")
+    last = reports.where("batch = 2").collect()  # on all that has come, however it was cut
+    assert sorted((r["rule"], r["entity"]) for r in last) == [("label_whitespace", C("A")), ("missing_label", C("B"))]
 
 
 def test_chain(spark):
