@@ -115,7 +115,7 @@ class Ontology:
         become notes of their axiom; an anonymous object is its expression's canonical text where it has one. The table is
         written once for each ontology.
         """
-        rows = self.rows.where("s_kind = 'iri'").distinct()
+        rows = self.rows.where("s_kind = 'iri'")  # repeats go with the ids at the end
         objects = self.declared.where("kind = 'object-property'").select(F.col("iri").alias("p"), F.lit(True).alias("is_object"))
         data = self.declared.where("kind = 'data-property'").select(F.col("iri").alias("p"), F.lit(True).alias("is_data"))
         rows = rows.join(objects, "p", "left").join(data, "p", "left")
