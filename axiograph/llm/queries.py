@@ -19,47 +19,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors of highest inner product for every vec_id divisible by 100, over all embeddings. Nulls, repeats and empty tables as in topk.top_k()."""
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that documents repeat. Null, empty and repeated rows as in passages.repeated_passages()."""
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark in every document. Null, empty and repeated rows as in decontaminate.contamination()."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out. Null texts and texts without a letter: und; repeats are judged each for itself."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes. A null text has size 1; repeats and ties as in sharding.shards()."""
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every line of every document. A null or empty text has one line of none; repeats are counted each for itself."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have fingerprint 0 and link; repeats as in simhash.near_duplicates()."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations and of conversation -1. Null roles and texts are empty; ties in turn as in chat.chat_windows()."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], turns.schema)
     return chat.digests(chat.chat_windows(turns.unionByName(control)))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in the token files. Null and empty texts are the end id alone; repeats lie side by side."""
     path = new_path(spark, "tokens")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), path)
     return token_files.read_token_files(spark, path)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document. Null texts have size 0, a null source is the last; repeats and ties as in mixing.mix()."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", F.col("source_size"), "target", "taken")
 
 
