@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiograph.llm import chat, decontaminate, langid, mixing, passages, sharding, simhash, token_counts, token_files, topk
+from axiograph.llm import chat, decontaminate, langid, mixing, passages, repeats, sharding, simhash, token_counts, token_files, topk
 from axiograph.llm.common import new_path
 
 #: What conversation -1 says in both of its turns.
@@ -73,9 +73,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", F.col("source_size"), "target", "taken")
 
 
+def op11_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 400 bytes that are found again. Null and short texts stay whole; repeated rows as in repeats.without_repeats()."""
+    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_topk, op2_substring_dedup, op3_decontamination, op4_language_id, op5_vector_sharding, op6_token_counts, op7_simhash_dedup, op8_chat_windows, op9_token_files, op10_source_mixing)
+    for f in (op1_exact_topk, op2_substring_dedup, op3_decontamination, op4_language_id, op5_vector_sharding, op6_token_counts, op7_simhash_dedup, op8_chat_windows, op9_token_files, op10_source_mixing, op11_prefix_free_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {
