@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiograph.llm import chat, decontaminate, langid, mixing, passages, repeats, sharding, simhash, token_counts, token_files, topk
+from axiograph.llm import chat, decontaminate, langid, mixing, passages, periodic, repeats, sharding, simhash, token_counts, token_files, topk
 from axiograph.llm.common import new_path
 
 #: What conversation -1 says in both of its turns.
@@ -78,9 +78,14 @@ def op11_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, some of them planted by the rule of with_planted_runs(), and the text without repeats. A null text has no words; a null doc_id plants nothing."""
+    return periodic.digests(periodic.periodic_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_topk, op2_substring_dedup, op3_decontamination, op4_language_id, op5_vector_sharding, op6_token_counts, op7_simhash_dedup, op8_chat_windows, op9_token_files, op10_source_mixing, op11_prefix_free_repeats)
+    for f in (op1_exact_topk, op2_substring_dedup, op3_decontamination, op4_language_id, op5_vector_sharding, op6_token_counts, op7_simhash_dedup, op8_chat_windows, op9_token_files, op10_source_mixing, op11_prefix_free_repeats, op13_lyndon_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
