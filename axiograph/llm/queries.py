@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axiograph.llm import chat, decontaminate, langid, mixing, passages, periodic, repeats, sharding, simhash, token_counts, token_files, topk
+from axiograph.llm import chat, decontaminate, langid, mixing, passages, periodic, repeats, sharding, simhash, token_counts, token_files, topk, tries
 from axiograph.llm.common import new_path
 
 #: What conversation -1 says in both of its turns.
@@ -78,6 +78,11 @@ def op11_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations. Null roles and texts are empty, rows without a conv_id take no part; ties and repeats as in tries.rebuilt()."""
+    return tries.trie_nodes(*tries.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words in every document, some of them planted by the rule of with_planted_runs(), and the text without repeats. A null text has no words; a null doc_id plants nothing."""
     return periodic.digests(periodic.periodic_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
@@ -85,7 +90,7 @@ def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_topk, op2_substring_dedup, op3_decontamination, op4_language_id, op5_vector_sharding, op6_token_counts, op7_simhash_dedup, op8_chat_windows, op9_token_files, op10_source_mixing, op11_prefix_free_repeats, op13_lyndon_runs)
+    for f in (op1_exact_topk, op2_substring_dedup, op3_decontamination, op4_language_id, op5_vector_sharding, op6_token_counts, op7_simhash_dedup, op8_chat_windows, op9_token_files, op10_source_mixing, op11_prefix_free_repeats, op12_prefix_trie, op13_lyndon_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,4 +136,40 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, CAST((list_reduce(list_transform(range(0, length(CAST(conv_id AS VARCHAR)) + 1),
+                                    lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS INTEGER), 1)) END),
+                                lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) & 3) AS BIGINT) AS low
+            FROM (SELECT DISTINCT conv_id FROM t)
+        ), h AS (SELECT conv_id, 3 - low AS h FROM c),
+        early AS (SELECT conv_id AS lender, place, role, text FROM t WHERE place < 3),
+        k AS (SELECT h.conv_id, h, least(h, count(e.place)) AS k FROM h LEFT JOIN early e ON e.lender = h.conv_id - h.conv_id % 20 GROUP BY ALL),
+        b AS (
+            SELECT h.conv_id, place, role, text FROM h JOIN early e ON e.lender = h.conv_id - h.conv_id % 20 AND place < h
+            UNION ALL
+            SELECT t.conv_id, place - h + k, role, text FROM t JOIN k ON t.conv_id = k.conv_id AND place >= h
+        ), s AS (
+            SELECT h.conv_id, coalesce(q, []) AS q FROM h LEFT JOIN (SELECT conv_id, list({'r': role, 't': text} ORDER BY place) AS q FROM b GROUP BY conv_id) USING (conv_id)
+        ), m AS (
+            SELECT conv_id, d, q[1 : d] AS p, len(q) = d AS is_end FROM (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS d FROM s)
+        ), n AS (
+            SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN is_end THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+                   CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')) END AS words
+            FROM m GROUP BY d, p
+        ), f AS (
+            SELECT n.*, up.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children
+            FROM n LEFT JOIN n up ON up.d = n.d - 1 AND up.p = n.p[1 : n.d - 1]
+            LEFT JOIN (SELECT d - 1 AS d, p[1 : d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL) ch ON ch.d = n.d AND ch.p = n.p
+        ), r AS (
+            SELECT a AS d, p[1 : a] AS p, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+            FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL
+        )
+        SELECT f.conv_id, f.d AS depth, parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+        FROM f JOIN r ON f.d = r.d AND f.p = r.p
+    """,
 }
