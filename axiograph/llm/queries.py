@@ -148,7 +148,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT DISTINCT conv_id FROM t)
         ), h AS (SELECT conv_id, 3 - low AS h FROM c),
         early AS (SELECT conv_id AS lender, place, role, text FROM t WHERE place < 3),
-        k AS (SELECT h.conv_id, h, least(h, count(e.place)) AS k FROM h LEFT JOIN early e ON e.lender = h.conv_id - h.conv_id % 20 GROUP BY ALL),
+        k AS (SELECT h.conv_id, h, least(h, count(e.place)) AS k FROM h LEFT JOIN early e ON e.lender = h.conv_id - h.conv_id % 20 GROUP BY h.conv_id, h),
         b AS (
             SELECT h.conv_id, place, role, text FROM h JOIN early e ON e.lender = h.conv_id - h.conv_id % 20 AND place < h
             UNION ALL
@@ -156,9 +156,9 @@ ORACLE_SQL: dict[str, str] = {
         ), s AS (
             SELECT h.conv_id, coalesce(q, []) AS q FROM h LEFT JOIN (SELECT conv_id, list({'r': role, 't': text} ORDER BY place) AS q FROM b GROUP BY conv_id) USING (conv_id)
         ), m AS (
-            SELECT conv_id, d, q[1 : d] AS p, len(q) = d AS is_end FROM (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS d FROM s)
+            SELECT conv_id AS member, d, q[1 : d] AS p, len(q) = d AS is_end FROM (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS d FROM s)
         ), n AS (
-            SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN is_end THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+            SELECT d, p, min(member) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN is_end THEN CAST(member AS VARCHAR) END, ',' ORDER BY member), '')) AS ends_sha256,
                    CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')) END AS words
             FROM m GROUP BY d, p
         ), f AS (
