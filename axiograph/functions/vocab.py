@@ -23,7 +23,13 @@ ONTOLOGY, RESTRICTION, AXIOM, THING, NOTHING = (OWL + x for x in ("Ontology", "R
 EQUIVALENT, DISJOINT, EQUIVALENT_PROPERTY, INVERSE = (OWL + x for x in ("equivalentClass", "disjointWith", "equivalentProperty", "inverseOf"))
 SAME_AS, DIFFERENT, IMPORTS, VERSION = (OWL + x for x in ("sameAs", "differentFrom", "imports", "versionIRI"))
 SOME, ALL, ON_PROPERTY = OWL + "someValuesFrom", OWL + "allValuesFrom", OWL + "onProperty"
-INTERSECTION, UNION = OWL + "intersectionOf", OWL + "unionOf"
+INTERSECTION, UNION, COMPLEMENT, ONE_OF = (OWL + x for x in ("intersectionOf", "unionOf", "complementOf", "oneOf"))
+VALUE, SELF, ON_CLASS, ON_RANGE = (OWL + x for x in ("hasValue", "hasSelf", "onClass", "onDataRange"))
+CARDINALITIES = {OWL + k: v for k, v in {"minCardinality": "min", "maxCardinality": "max", "cardinality": "exact", "minQualifiedCardinality": "min", "maxQualifiedCardinality": "max", "qualifiedCardinality": "exact"}.items()}
+CHAIN, DISJOINT_UNION, KEY, MEMBERS, DISTINCT_MEMBERS = (OWL + x for x in ("propertyChainAxiom", "disjointUnionOf", "hasKey", "members", "distinctMembers"))
+ALL_DISJOINT, ALL_DISJOINT_PROPERTIES, ALL_DIFFERENT, NEGATIVE = (OWL + x for x in ("AllDisjointClasses", "AllDisjointProperties", "AllDifferent", "NegativePropertyAssertion"))
+NEG_SOURCE, NEG_PROPERTY, NEG_TARGET, NEG_VALUE = (OWL + x for x in ("sourceIndividual", "assertionProperty", "targetIndividual", "targetValue"))
+FIRST, REST, NIL = (RDF + x for x in ("first", "rest", "nil"))
 DEPRECATED = OWL + "deprecated"
 ANN_SOURCE, ANN_PROPERTY, ANN_TARGET = (OWL + x for x in ("annotatedSource", "annotatedProperty", "annotatedTarget"))
 DEFINITION, ELUCIDATION, EDITOR_SYNONYM, REPLACED_BY = (OBO + x for x in ("IAO_0000115", "IAO_0000600", "IAO_0000118", "IAO_0100001"))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axiograph import expressions
 from axiograph.functions import vocab as V
 from axiograph.sources.shared import settle
 
@@ -20,10 +21,10 @@ CHARACTERISTICS = {V.OWL + f"{k}Property": f"{k}Property" for k in ("Transitive"
 DECLARED = {v: k for k, v in V.KINDS.items()}
 #: axiom types of each group that a filter may name
 GROUPS = {
-    "declaration": ["Declaration"], "annotation": ["AnnotationAssertion"], "subclass": ["SubClassOf"], "subproperty": ["SubPropertyOf"], "equivalent": ["EquivalentClasses", "EquivalentProperties"],
-    "disjoint": ["DisjointClasses"], "type": ["ClassAssertion"], "abox": ["ClassAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion", "SameIndividual", "DifferentIndividuals"],
-    "tbox": ["SubClassOf", "EquivalentClasses", "DisjointClasses", "PropertyDomain", "PropertyRange"],
-    "rbox": ["SubPropertyOf", "EquivalentProperties", "InverseProperties", *CHARACTERISTICS.values()],
+    "declaration": ["Declaration"], "annotation": ["AnnotationAssertion"], "subclass": ["SubClassOf"], "subproperty": ["SubPropertyOf", "SubPropertyChainOf"], "equivalent": ["EquivalentClasses", "EquivalentProperties"],
+    "disjoint": ["DisjointClasses", "DisjointProperties", "DisjointUnion"], "type": ["ClassAssertion"], "abox": ["ClassAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion", "NegativePropertyAssertion", "SameIndividual", "DifferentIndividuals"],
+    "tbox": ["SubClassOf", "EquivalentClasses", "DisjointClasses", "DisjointUnion", "HasKey", "PropertyDomain", "PropertyRange"],
+    "rbox": ["SubPropertyOf", "EquivalentProperties", "InverseProperties", "SubPropertyChainOf", "DisjointProperties", *CHARACTERISTICS.values()],
 }
 GROUPS["logical"] = sorted({*GROUPS["abox"], *GROUPS["tbox"], *GROUPS["rbox"]})
 _REIFICATION = [V.ANN_SOURCE, V.ANN_PROPERTY, V.ANN_TARGET]
@@ -60,44 +61,75 @@ class Ontology:
         kind = F.when(F.col("p") == V.SUBCLASS, "class").otherwise("property")
         return self.with_p(V.SUBCLASS, V.SUBPROPERTY).where("s_kind = 'iri' AND s <> o").select(F.col("s").alias("child"), F.col("o").alias("parent"), "o_kind", kind.alias("kind"))
 
+    @cached_property
+    def lists(self) -> DataFrame:
+        """owner, p, head, cell, at, member, member_kind: every list that an expression or an axiom has."""
+        return expressions.members(self.with_p)
+
     @cached_property
     def members(self) -> DataFrame:
-        """expr, member: what intersections and unions hold, from their RDF lists, which are walked cell by cell."""
-        rest = self.with_p(V.RDF + "rest").where(F.col("o") != V.RDF + "nil").select(F.col("s").alias("node"), F.col("o").alias("next"))
-        first = self.with_p(V.RDF + "first").select(F.col("s").alias("node"), F.col("o").alias("member"))
-        cells = self.with_p(V.INTERSECTION, V.UNION).select(F.col("s").alias("expr"), F.col("o").alias("node"))
-        front, seen = settle(cells, "cells"), None
-        while not front.isEmpty():
-            seen = front if seen is None else seen.unionByName(front)
-            front = settle(front.join(rest, "node").select("expr", F.col("next").alias("node")).join(seen, ["expr", "node"], "left_anti").distinct(), "cells")
-        return settle((front if seen is None else seen).join(first, "node").select("expr", "member").distinct(), "members")
+        """expr, member: what intersections, unions and enumerations hold."""
+        return self.lists.where(~F.col("p").isin(expressions.AXIOM_LISTS)).select(F.col("owner").alias("expr"), "member").distinct()
+
+    @cached_property
+    def _described(self) -> tuple[DataFrame, DataFrame]:
+        return expressions.described(self.with_p, self.lists)
 
     @cached_property
     def expressions(self) -> DataFrame:
-        """expr, op, prop, filler, label: anonymous class expressions, with a canonical text that is alike for like ones.
+        """expr, op, prop, filler, n, label: anonymous expressions (and, or, not, one, some, all, value, self, min, max, exact, inverse), with a canonical
+        text that is alike for like ones; null for what refers to itself."""
+        return expressions.texts(*self._described)
 
-        Texts are built from the innermost expressions outwards: a text holds those of its parts, in order where their order
-        doesn't count, and no name of a blank node. What refers to itself has no text.
-        """
-        part = lambda p, c: self.with_p(p).where("s_kind = 'bnode'").select(F.col("s").alias("expr"), F.col("o").alias(c))
-        fillers = self.with_p(V.SOME, V.ALL).select(F.col("s").alias("expr"), case("p", {V.SOME: "some", V.ALL: "all"}, F.lit(None)).alias("op"), F.col("o").alias("filler"))
-        restrictions = part(V.ON_PROPERTY, "prop").join(fillers, "expr").select("expr", "op", "prop", "filler")
-        lists = self.with_p(V.INTERSECTION, V.UNION).select(F.col("s").alias("expr"), case("p", {V.INTERSECTION: "and", V.UNION: "or"}, F.lit(None)).alias("op"), F.lit(None).cast("string").alias("prop"), F.col("o").alias("filler"))
-        whole = settle(restrictions.unionByName(lists), "expressions")
-        parts = settle(restrictions.select("expr", F.col("filler").alias("part")).unionByName(self.members.select("expr", F.col("member").alias("part"))).distinct(), "parts")
-        named = parts.select("part").distinct().join(whole.select(F.col("expr").alias("part")), "part", "left_anti")
-        texts = named.select("part", F.col("part").alias("text"))
-        open_, found = whole, None
-        while True:
-            held = open_.select("expr").distinct().join(parts, "expr", "left").join(texts, "part", "left")
-            ready = held.groupBy("expr").agg(F.count("part").alias("n"), F.count("text").alias("m"), F.array_join(F.array_sort(F.collect_set("text")), " ").alias("inside")).where("n = m")
-            made = open_.join(ready.select("expr", "inside"), "expr").withColumn("label", F.concat("op", F.lit("("), F.concat_ws(" ", "prop", "inside"), F.lit(")"))).drop("inside")
-            made = settle(made, "texts")
-            if made.isEmpty():
-                return open_.withColumn("label", F.lit(None).cast("string")) if found is None else found
-            found = made if found is None else found.unionByName(made)
-            open_ = settle(open_.join(made.select("expr").distinct(), "expr", "left_anti"), "expressions")
-            texts = texts.unionByName(made.select(F.col("expr").alias("part"), F.col("label").alias("text")).distinct())
+    @cached_property
+    def parts(self) -> DataFrame:
+        """expr, role, at, part, part_kind: what each expression consists of."""
+        return self._described[1]
+
+    @cached_property
+    def inside(self) -> DataFrame:
+        """expr, node, node_kind, depth: the signature index, all names and expressions inside of each expression."""
+        return expressions.inside(*self._described)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """node, text: the expressions that have a canonical text."""
+        return settle(self.expressions.where("label IS NOT NULL").select(F.col("expr").alias("node"), F.col("label").alias("text")).distinct(), "labels")
+
+    @cached_property
+    def blanks(self) -> DataFrame:
+        """node, text: a name for every blank node that isn't a list's cell, which depends on what is said of it alone: an expression's text, or a hash."""
+        cells = self.lists.select(F.col("cell").alias("node")).distinct()
+        rows = self.rows.join(self.labels.select(F.col("node").alias("s")), "s", "left_anti").join(self.consumed_cells.select(F.col("cell").alias("s")), "s", "left_anti")
+        held = self.operands.select(F.col("owner").alias("s"), "p", F.col("head").alias("o"), F.array_join("texts", " ").alias("whole"))
+        whole = F.col("whole").isNotNull()  # a list's members stand in place of its head
+        rows = rows.join(held, ["s", "p", "o"], "left").withColumn("o_kind", F.when(whole, "iri").otherwise(F.col("o_kind"))).withColumn("o", F.coalesce("whole", "o")).drop("whole")
+        found = expressions.coloured(rows, self.labels)
+        return settle(self.labels.unionByName(found.join(cells, "node", "left_anti")), "blanks")
+
+    @cached_property
+    def consumed_cells(self) -> DataFrame:
+        """cell: those of lists whose owner is known: a named node, an expression with a text, or an axiom of operands."""
+        named = self.with_p(*expressions.LISTS).where("s_kind = 'iri'").select(F.col("s").alias("owner"))
+        axiom = self.lists.where(F.col("p").isin(expressions.AXIOM_LISTS)).select("owner")
+        owners = named.unionByName(axiom).unionByName(self.labels.select(F.col("node").alias("owner"))).distinct()
+        return settle(self.lists.join(owners, "owner", "left_semi").select("cell").distinct(), "consumed")
+
+    @cached_property
+    def _inner(self) -> DataFrame:
+        """expr, names, exprs: the names inside of each expression, and the texts of the expressions, its own among them."""
+        rows = self.inside.join(self.labels, "node", "left")
+        return settle(rows.groupBy("expr").agg(F.collect_set(F.when(F.col("node_kind") == "iri", F.col("node"))).alias("names"), F.collect_set("text").alias("exprs")), "inner")
+
+    @cached_property
+    def operands(self) -> DataFrame:
+        """owner, p, head, texts, names, exprs: the members' texts of each list (in order for property chains, else sorted and each once), and the names and expressions inside."""
+        items = self.lists.join(self.labels.select(F.col("node").alias("member"), "text"), "member", "left").withColumn("text", F.coalesce("text", expressions.shown("member", "member_kind")))
+        items = items.join(self._inner.withColumnRenamed("expr", "member"), "member", "left")
+        nothing, own = F.array().cast("array<string>"), F.when(F.col("member_kind") == "iri", F.array("member"))
+        each = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+        ordered = F.when(F.col("p") == V.CHAIN, F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])).otherwise(F.array_sort(F.collect_set("text")))
+        return settle(items.groupBy("owner", "p", "head").agg(ordered.alias("texts"), each(F.coalesce("names", own, nothing)).alias("names"), each(F.coalesce("exprs", nothing)).alias("exprs")), "operands")
 
     @cached_property
     def notes(self) -> DataFrame:
@@ -107,29 +139,86 @@ class Ontology:
         own = self.rows.where("s_kind = 'bnode'").where(~F.col("p").isin(V.TYPE, *_REIFICATION)).select(F.col("s").alias("a"), F.concat_ws("=", "p", "o").alias("note")).distinct()
         return about.join(own, "a").groupBy("s", "p", "o").agg(F.array_sort(F.collect_set("note")).alias("notes"))
 
+    def _operand_axioms(self) -> DataFrame:
+        """Axioms over lists: disjoint classes and properties, different individuals, disjoint unions, property chains and keys."""
+        kind = {V.ALL_DISJOINT: "DisjointClasses", V.ALL_DISJOINT_PROPERTIES: "DisjointProperties", V.ALL_DIFFERENT: "DifferentIndividuals"}
+        typed = self.with_p(V.TYPE).where(F.col("o").isin(*kind)).select(F.col("s").alias("owner"), case("o", kind, F.lit(None)).alias("ax_type"))
+        lists = self.operands.where(F.col("p").isin(expressions.AXIOM_LISTS))
+        own = {V.CHAIN: "SubPropertyChainOf", V.DISJOINT_UNION: "DisjointUnion", V.KEY: "HasKey"}
+        several = lists.where(F.col("p").isin(V.MEMBERS, V.DISTINCT_MEMBERS)).join(typed, "owner").select("ax_type", F.element_at("texts", 1).alias("subject"), "p", "texts", "names", "exprs")
+        about = lists.where(F.col("p").isin(*own)).join(self.labels.select(F.col("node").alias("owner"), "text"), "owner", "left")
+        inner = self._inner.select(F.col("expr").alias("owner"), F.col("names").alias("more"), F.col("exprs").alias("more_exprs"))
+        about = about.join(inner, "owner", "left").select(case("p", own, F.lit(None)).alias("ax_type"), F.coalesce("text", "owner").alias("subject"), "p", "texts", F.array_union("names", F.coalesce("more", F.array("owner"))).alias("names"), F.array_union("exprs", F.coalesce("more_exprs", F.array().cast("array<string>"))).alias("exprs"))
+        rows = several.where(F.size("texts") > 0).unionByName(about)
+        opening = F.when(F.col("p") == V.CHAIN, "chain(").otherwise("list(")
+        none = F.lit("")
+        return rows.select("ax_type", "subject", F.when(F.col("subject").endswith(")"), "bnode").otherwise("iri").alias("subject_kind"), F.col("p").alias("property"), F.concat(opening, F.array_join("texts", " "), F.lit(")")).alias("object"),
+                           F.lit("list").alias("object_kind"), none.alias("dt"), none.alias("lang"), F.col("names").alias("sig"), "exprs", F.col("texts").alias("operands"), F.array().cast("array<string>").alias("notes"))
+
+    def _negative(self) -> DataFrame:
+        """Negative property assertions, as axioms of their individual, property and value."""
+        part = lambda c, *p: self.with_p(*p).select("s", F.col("o").alias(c), *([F.col("o_kind").alias("object_kind"), F.coalesce("o_dt", F.lit("")).alias("dt"), F.coalesce("o_lang", F.lit("")).alias("lang")] if c == "object" else []))
+        rows = self.with_p(V.TYPE).where(F.col("o") == V.NEGATIVE).select("s").join(part("subject", V.NEG_SOURCE), "s").join(part("property", V.NEG_PROPERTY), "s").join(part("object", V.NEG_TARGET, V.NEG_VALUE), "s")
+        names = F.array("subject", "property", F.when(F.col("object_kind") == "iri", F.col("object")))
+        return rows.select(F.lit("NegativePropertyAssertion").alias("ax_type"), "subject", F.lit("iri").alias("subject_kind"), "property", "object", "object_kind", "dt", "lang", F.filter(names, lambda x: x.isNotNull()).alias("sig"), F.array().cast("array<string>").alias("exprs"), F.array().cast("array<string>").alias("operands"), F.array().cast("array<string>").alias("notes"))
+
     @cached_property
     def axioms(self) -> DataFrame:
-        """ax_type, subject, property, object, object_kind, sig, notes, core_id, ax_id.
+        """ax_type, subject, subject_kind, property, object, object_kind, dt, lang, sig, exprs, operands, notes, core_id, ax_id.
 
         core_id is a hash of 16 bytes without annotations, ax_id with them; sets of axioms are sets of ax_id. Reified annotations
-        become notes of their axiom; an anonymous object is its expression's canonical text where it has one. The table is
-        written once for each ontology.
+        become notes of their axiom. Anonymous subjects (of general class axioms) and objects are their expression's canonical text, or a name that
+        depends on what is said of them. sig: all names, those inside of expressions too; exprs: the texts of all expressions. Axioms of several operands have these in
+        operands, the first as subject and the whole list as object. The table is written once for each ontology: rows with blank nodes or annotations meet
+        these by joins, all others are only read.
         """
-        rows = self.rows.where("s_kind = 'iri'")  # repeats go with the ids at the end
         objects = self.declared.where("kind = 'object-property'").select(F.col("iri").alias("p"), F.lit(True).alias("is_object"))
         data = self.declared.where("kind = 'data-property'").select(F.col("iri").alias("p"), F.lit(True).alias("is_data"))
+        blank = "s_kind = 'bnode' OR o_kind = 'bnode'"
+        rows = self.rows.where(~F.col("p").isin(*expressions.AXIOM_LISTS, V.FIRST, V.REST))
+        general = F.col("p").isin(V.SUBCLASS, V.EQUIVALENT, V.DISJOINT)
+        texts = lambda c: self.labels.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
+        held = lambda c: self._inner.select(F.col("expr").alias(c), F.col("names").alias(f"{c}_names"), F.col("exprs").alias(f"{c}_exprs"))
+        mixed = rows.where(blank).where((F.col("s_kind") == "iri") | general).join(texts("s"), "s", "left").where("s_kind = 'iri' OR s_text IS NOT NULL").join(texts("o"), "o", "left").join(held("s"), "s", "left").join(held("o"), "o", "left")
+        unnamed = mixed.where("o_kind = 'bnode' AND o_text IS NULL")
+        if not unnamed.isEmpty():
+            mixed = mixed.join(self.blanks.select(F.col("node").alias("o"), F.col("text").alias("other")), "o", "left").withColumn("o_text", F.coalesce("o_text", "other")).drop("other")
+        none, empty = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+        plain = rows.where("s_kind = 'iri' AND o_kind <> 'bnode'").withColumns({"s_text": none, "o_text": none, "s_names": empty, "o_names": empty, "s_exprs": empty, "o_exprs": empty})
+        rows = plain.unionByName(mixed.select(plain.columns))
+        noted = self.notes.select("p").distinct()  # the predicates of annotated axioms
+        some = rows.join(noted, "p", "left_semi").join(self.notes, ["s", "p", "o"], "left")
+        rows = rows.join(noted, "p", "left_anti").withColumn("notes", empty).unionByName(some.select(*rows.columns, "notes"))
         rows = rows.join(objects, "p", "left").join(data, "p", "left")
         other = F.when(F.col("is_object"), "ObjectPropertyAssertion").when(F.col("is_data"), "DataPropertyAssertion").otherwise("AnnotationAssertion")
         by_type = F.when(F.col("o").isin(*DECLARED), "Declaration").when(F.col("o").isin(*CHARACTERISTICS), case("o", CHARACTERISTICS, F.lit(None))).when(F.col("o") == V.ONTOLOGY, "Ontology").otherwise("ClassAssertion")
         kind = F.when(F.col("p") == V.TYPE, by_type).when(F.col("p").isin(V.IMPORTS, V.VERSION), "Ontology").otherwise(case("p", AXIOM_TYPES, other))
-        labels = self.expressions.select(F.col("expr").alias("o"), "label").distinct()
-        rows = rows.withColumn("ax_type", kind).where("ax_type <> 'Ontology'").join(labels, "o", "left").join(self.notes, ["s", "p", "o"], "left")
+        rows = rows.withColumn("ax_type", kind).where("ax_type <> 'Ontology'")
         entity_object = (F.col("o_kind") == "iri") & ~F.col("ax_type").isin("Declaration", "AnnotationAssertion") & ~F.col("ax_type").isin(*CHARACTERISTICS.values())
-        sig = F.array_distinct(F.filter(F.array(F.col("s"), F.when(F.col("ax_type").endswith("Assertion") & (F.col("p") != V.TYPE), F.col("p")), F.when(entity_object, F.col("o"))), lambda x: x.isNotNull()))
-        out = rows.select("ax_type", F.col("s").alias("subject"), F.col("p").alias("property"), F.coalesce("label", "o").alias("object"), F.col("o_kind").alias("object_kind"), F.coalesce("o_dt", F.lit("")).alias("dt"), F.coalesce("o_lang", F.lit("")).alias("lang"), sig.alias("sig"), F.coalesce("notes", F.array().cast("array<string>")).alias("notes"))
+        own = F.filter(F.array(F.when(F.col("s_kind") == "iri", F.col("s")), F.when(F.col("ax_type").endswith("Assertion") & (F.col("p") != V.TYPE), F.col("p")), F.when(entity_object, F.col("o"))), lambda x: x.isNotNull())
+        nothing = F.array().cast("array<string>")
+        sig = F.array_distinct(F.concat(own, F.coalesce("s_names", nothing), F.coalesce("o_names", nothing)))
+        exprs = F.array_union(F.coalesce("s_exprs", nothing), F.coalesce("o_exprs", nothing))
+        out = rows.select(
+            "ax_type", F.coalesce("s_text", "s").alias("subject"), F.col("s_kind").alias("subject_kind"), F.col("p").alias("property"), F.coalesce("o_text", "o").alias("object"), F.col("o_kind").alias("object_kind"),
+            F.coalesce("o_dt", F.lit("")).alias("dt"), F.coalesce("o_lang", F.lit("")).alias("lang"), sig.alias("sig"), exprs.alias("exprs"), nothing.alias("operands"), F.coalesce("notes", nothing).alias("notes"),
+        )
+        out = out.unionByName(self._operand_axioms()).unionByName(self._negative())
         core = F.concat_ws("\u0001", "ax_type", "subject", "property", "object", "object_kind", "dt", "lang")
         return settle(out.withColumn("core_id", F.unhex(F.md5(core))).withColumn("ax_id", axiom_id()).dropDuplicates(["ax_id"]), "axioms")
 
+    def unconsumed(self) -> DataFrame:
+        """s, p, o: triples that no axiom, expression, list or annotation takes up: those of blank nodes that are none of these."""
+        anonymous = self.rows.where("s_kind = 'bnode'")
+        known = self.labels.select(F.col("node").alias("s"))
+        cells = self.consumed_cells.select(F.col("cell").alias("s"))
+        operands = self.lists.where(F.col("p").isin(expressions.AXIOM_LISTS)).select(F.col("owner").alias("s"))
+        negative = self.with_p(V.TYPE).where(F.col("o") == V.NEGATIVE).select("s").join(self.with_p(V.NEG_SOURCE).select("s"), "s", "left_semi")
+        notes = self.with_p(V.ANN_SOURCE).select("s").join(self.with_p(V.ANN_PROPERTY).select("s"), "s", "left_semi").join(self.with_p(V.ANN_TARGET).select("s"), "s", "left_semi")
+        individuals = self.with_p(V.TYPE).where((F.col("s_kind") == "bnode") & ~F.col("o").startswith(V.OWL) & ~F.col("o").startswith(V.RDF)).select("s")
+        used = known.unionByName(cells).unionByName(operands).unionByName(negative).unionByName(notes).unionByName(individuals).distinct()
+        return anonymous.join(used, "s", "left_anti").select("s", "p", "o").distinct()
+
 
 def axiom_id() -> Column:
     """16 bytes of an axiom with its annotations, from core_id and notes."""

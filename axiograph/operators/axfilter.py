@@ -15,7 +15,8 @@ ALL_TYPES = sorted({"Declaration", "AnnotationAssertion", *GROUPS["logical"]})
 
 
 def _internal(bases: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col("subject").startswith(b) for b in bases], F.lit(False))
+    own = F.when(F.size("operands") > 0, F.array_union("operands", F.array("subject"))).otherwise(F.array("subject"))
+    return reduce(lambda a, b: a | b, [F.exists(own, lambda x, b=b: x.startswith(b)) for b in bases], F.lit(False))
 
 
 def structural_tautology() -> Column:
@@ -45,9 +46,8 @@ def of_type(axioms: DataFrame, selectors: list[str], bases: list[str] = ()) -> D
 
 
 def names(axioms: DataFrame, named_only: bool = True) -> DataFrame:
-    """ax_id, node: the names of every axiom; with anonymous objects if named_only is false."""
-    own = axioms.select("ax_id", F.explode("sig").alias("node"))
-    return own if named_only else own.unionByName(axioms.where("object_kind = 'bnode'").select("ax_id", F.col("object").alias("node"))).distinct()
+    """ax_id, node: the names of every axiom, those inside of expressions too; with the texts of all its expressions if named_only is false."""
+    return axioms.select("ax_id", F.explode("sig" if named_only else F.array_union("sig", "exprs")).alias("node"))
 
 
 def _ids(axioms: DataFrame, objects: DataFrame, named_only: bool, how: str) -> DataFrame:
@@ -82,8 +82,7 @@ def about(axioms: DataFrame, objects: DataFrame) -> DataFrame:
 def by_properties(axioms: DataFrame, allowed: list[str], known: DataFrame) -> DataFrame:
     """Axioms that use no object property but the allowed ones; known: object properties (column node)."""
     others = known.where(~F.col("node").isin(list(allowed))).select("node")
-    texts = axioms.where("object_kind = 'bnode'").select("ax_id", F.regexp_extract("object", r"^(?:some|all)\((\S+) ", 1).alias("node")).where("node <> ''")
-    used = names(axioms).unionByName(texts).join(others, "node", "left_semi").select("ax_id").distinct()
+    used = names(axioms).join(others, "node", "left_semi").select("ax_id").distinct()
     return axioms.join(used, "ax_id", "left_anti")
 
 

@@ -93,7 +93,8 @@ def structure(ont: Ontology) -> DataFrame:
     hidden = _single(ax.where("ax_type = 'EquivalentClasses'").select("subject").distinct().join(sub, "subject", "left_semi"), gci_hidden_count=F.count("*"))
     undeclared = _single(axfilter.names(ax).select(F.col("node").alias("iri")).distinct().join(ont.declared.select("iri"), "iri", "left_anti"), undeclared_entity_count=F.count("*"))
     tautologies = _single(ax.where(axfilter.structural_tautology()), tautology_count=F.count("*"))
-    longest = _single(ax, longest_axiom_length=F.max(F.size("sig")))
+    uses = lambda c: F.size(F.filter(F.split(c, r"[() ]+"), lambda x: F.array_contains("sig", x)))
+    longest = _single(ax.where("object_kind <> 'lit'"), longest_axiom_length=F.max(uses("object") + F.when(F.size("operands") == 0, uses("subject") + F.array_contains("sig", F.col("property")).cast("int")).when(F.col("ax_type").isin("SubPropertyChainOf", "DisjointUnion", "HasKey"), uses("subject")).otherwise(0)))
     loops = _single(graph.cycles(ont.edges.where("kind = 'class'")), cyclic_class_count=F.count("*"))
     return reduce(DataFrame.unionByName, [complex_rhs, hidden, undeclared, tautologies, longest, loops])
 

@@ -204,7 +204,7 @@ def reasoned(ont: Ontology, reasoner: str = "el", new_ontology: bool = False, in
     links = pairs if indirect else graph.reduction(pairs)
     fresh = links.join(ont.edges.where("kind = 'class'").select("child", "parent"), ["child", "parent"], "left_anti")
     made = setops.generated(F.col("child"), V.SUBCLASS, F.col("parent"), fresh)
-    return made if new_ontology else setops.merge(ont.rows, made)
+    return made if new_ontology else setops.merge(ont.rows, made, shared=True)
 
 
 def _above(ont: Ontology) -> DataFrame:

@@ -40,7 +40,7 @@ def repair_references(ont: Ontology, migrate: list[str] = ()) -> DataFrame:
     stays = about.where(~F.col("p").isin(list(migrate)))
     moves = about.where(F.col("p").isin(list(migrate)))
     others = rows.join(names.select(F.col("old").alias("s")), "s", "left_anti")
-    return setops.merge(stays, setops.rename(others.unionByName(moves), names))
+    return setops.merge(stays, setops.rename(others.unionByName(moves), names), shared=True)
 
 
 def merged_notes(axioms: DataFrame) -> DataFrame:

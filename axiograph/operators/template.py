@@ -145,7 +145,7 @@ def template(table: DataFrame, strings: list[str], names: DataFrame | None = Non
             out.append(_triple(found, s, F.lit(RELATIONS[cell.role]), F.col("iri")))
             last = (RELATIONS[cell.role], F.col("iri"))
     fixed = rows.sparkSession.createDataFrame(bad, "column string, value string, message string")
-    return merge(*out), reduce(DataFrame.unionByName, [*errors, fixed]).distinct()
+    return merge(*out, shared=True), reduce(DataFrame.unionByName, [*errors, fixed]).distinct()
 
 
 def _unknown(found: DataFrame, cell: Cell) -> DataFrame:
@@ -179,7 +179,7 @@ def chain(tables: list[tuple[DataFrame, list[str]]], names: DataFrame | None = N
         errors.append(wrong)
         fresh = terms.labels(made)
         names = fresh if names is None else names.select("iri", "label").unionByName(fresh)
-    return merge(*triples), reduce(DataFrame.unionByName, errors)
+    return merge(*triples, shared=True), reduce(DataFrame.unionByName, errors)
 
 
 __all__ = ["TRIPLE", "chain", "plan", "resolve", "template"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axiograph import expressions
 from axiograph.functions import terms
 from axiograph.functions import vocab as V
 from axiograph.model import AXIOM_TYPES, CHARACTERISTICS, DECLARED, GROUPS, Ontology
@@ -52,6 +53,13 @@ def _in(items) -> str:
     return "(" + ", ".join(f"'{i}'" for i in items) + ")"
 
 
+def _level(name: str, below: str | None) -> str:
+    """expr, op, label: texts of expressions whose parts have the texts of the level below."""
+    text = f"coalesce(b.label, pt.part) AS text FROM pt LEFT JOIN {below} b ON b.expr = pt.part" if below else "pt.part AS text FROM pt"
+    return f"""{name} AS (SELECT spec.expr, spec.op, spec.op || '(' || concat_ws(' ', spec.n, spec.prop, q.inside) || ')' AS label
+    FROM spec LEFT JOIN (SELECT expr, string_agg(text, ' ' ORDER BY text) AS inside FROM (SELECT DISTINCT pt.expr, {text}) z GROUP BY expr) q ON q.expr = spec.expr)"""
+
+
 _NOT_DECLARED = f"AND o NOT IN {_in([*DECLARED, *CHARACTERISTICS])}"
 PRELUDE = (
     oracles.BASE.rstrip()
@@ -60,26 +68,40 @@ decl AS (SELECT DISTINCT s AS iri, {_case("o", DECLARED, "NULL")} AS kind FROM t
 e AS (SELECT DISTINCT s AS child, o AS parent, o_kind, CASE WHEN p = '{V.SUBCLASS}' THEN 'class' ELSE 'property' END AS kind FROM t WHERE p IN {_in([V.SUBCLASS, V.SUBPROPERTY])} AND s_kind = 'iri' AND s <> o),
 ce AS (SELECT child, parent FROM e WHERE kind = 'class'),
 ind AS (SELECT iri FROM decl WHERE kind = 'individual'),
-cell AS (SELECT s AS expr, o AS node FROM t WHERE p IN {_in([V.INTERSECTION, V.UNION])} UNION SELECT cell.expr, r.o FROM cell JOIN t r ON r.s = cell.node AND r.p = '{V.RDF}rest' WHERE r.o <> '{V.RDF}nil'),
-held AS (SELECT DISTINCT expr, f.o AS member FROM cell JOIN t f ON f.s = node AND f.p = '{V.RDF}first'),
-ex0 AS (SELECT r.s AS expr, CASE WHEN f.p = '{V.SOME}' THEN 'some' ELSE 'all' END AS op, CASE WHEN f.p = '{V.SOME}' THEN 'some(' ELSE 'all(' END || r.o || ' ' || f.o || ')' AS label
-       FROM t r JOIN t f ON r.s = f.s WHERE r.p = '{V.ON_PROPERTY}' AND f.p IN {_in([V.SOME, V.ALL])}),
-ex AS (SELECT * FROM ex0
-       UNION ALL SELECT t.s, CASE WHEN t.p = '{V.INTERSECTION}' THEN 'and' ELSE 'or' END, CASE WHEN t.p = '{V.INTERSECTION}' THEN 'and(' ELSE 'or(' END || coalesce(q.inside, '') || ')'
-       FROM t LEFT JOIN (SELECT expr, string_agg(text, ' ' ORDER BY text) AS inside FROM (SELECT DISTINCT h.expr, coalesce(ex0.label, h.member) AS text FROM held h LEFT JOIN ex0 ON ex0.expr = h.member) z GROUP BY expr) q ON q.expr = t.s
-       WHERE t.p IN {_in([V.INTERSECTION, V.UNION])}),
+lc AS (SELECT s AS owner, p, o AS node, 0 AS pos FROM t WHERE p IN {_in(expressions.LISTS)} UNION SELECT lc.owner, lc.p, r.o, lc.pos + 1 FROM lc JOIN t r ON r.s = lc.node AND r.p = '{V.REST}' WHERE r.o <> '{V.NIL}'),
+li AS (SELECT lc.owner, lc.p, lc.pos, f.o AS member, f.o_kind AS kind FROM lc JOIN t f ON f.s = lc.node AND f.p = '{V.FIRST}'),
+rs AS (SELECT r.s AS expr, {_case("f.p", expressions.FILLED, "NULL")} AS op, CASE WHEN f.p IN {_in(V.CARDINALITIES)} THEN f.o END AS n, r.o AS prop, r.o_kind AS prop_kind,
+       CASE WHEN f.p IN {_in(V.CARDINALITIES)} THEN coalesce(q.o, '{V.THING}') WHEN f.p <> '{V.SELF}' THEN f.o END AS filler, CASE WHEN f.p IN {_in(V.CARDINALITIES)} THEN coalesce(q.o_kind, 'iri') ELSE f.o_kind END AS kind
+       FROM t r JOIN t f ON r.s = f.s LEFT JOIN t q ON q.s = r.s AND q.p IN {_in([V.ON_CLASS, V.ON_RANGE])} WHERE r.p = '{V.ON_PROPERTY}' AND r.s_kind = 'bnode' AND f.p IN {_in(expressions.FILLED)}),
+spec AS (SELECT expr, op, n, prop FROM rs UNION SELECT s, {_case("p", expressions.ALONE, "NULL")}, NULL, NULL FROM t WHERE s_kind = 'bnode' AND p IN {_in(expressions.ALONE)}
+         UNION SELECT s, {_case("p", expressions.LISTS, "NULL")}, NULL, NULL FROM t WHERE p IN {_in([p for p in expressions.LISTS if p not in expressions.AXIOM_LISTS])}),
+pt AS (SELECT expr, filler AS part, kind FROM rs WHERE filler IS NOT NULL UNION SELECT s, o, o_kind FROM t WHERE s_kind = 'bnode' AND p IN {_in(expressions.ALONE)}
+       UNION SELECT owner, member, kind FROM li WHERE p NOT IN {_in(expressions.AXIOM_LISTS)}),
+inn AS (SELECT expr, part AS node, kind FROM pt UNION SELECT expr, prop, prop_kind FROM rs UNION SELECT inn.expr, z.part, z.kind FROM inn JOIN (SELECT * FROM pt UNION SELECT expr, prop, prop_kind FROM rs) z ON z.expr = inn.node),
+{_level("x0", None)}, {_level("x1", "x0")}, {_level("x2", "x1")},
+ex AS (SELECT * FROM x2),
 note AS (SELECT DISTINCT a.o AS s, b.o AS p, c.o AS o, n.p || '=' || n.o AS note FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s JOIN t n ON a.s = n.s
          WHERE a.p = '{V.ANN_SOURCE}' AND b.p = '{V.ANN_PROPERTY}' AND c.p = '{V.ANN_TARGET}' AND n.s_kind = 'bnode' AND n.p NOT IN {_in([V.TYPE, V.ANN_SOURCE, V.ANN_PROPERTY, V.ANN_TARGET])}),
 notes AS (SELECT s, p, o, string_agg(note, '|' ORDER BY note) AS notes FROM note GROUP BY s, p, o),
-ax0 AS (SELECT DISTINCT CASE WHEN t.p = '{V.TYPE}' THEN CASE WHEN t.o IN {_in(DECLARED)} THEN 'Declaration' WHEN t.o IN {_in(CHARACTERISTICS)} THEN {_case("t.o", CHARACTERISTICS, "NULL")} WHEN t.o = '{V.ONTOLOGY}' THEN 'Ontology' ELSE 'ClassAssertion' END
+ax0 AS (SELECT CASE WHEN t.p = '{V.TYPE}' THEN CASE WHEN t.o IN {_in(DECLARED)} THEN 'Declaration' WHEN t.o IN {_in(CHARACTERISTICS)} THEN {_case("t.o", CHARACTERISTICS, "NULL")} WHEN t.o = '{V.ONTOLOGY}' THEN 'Ontology' ELSE 'ClassAssertion' END
         WHEN t.p IN {_in([V.IMPORTS, V.VERSION])} THEN 'Ontology'
         ELSE {_case("t.p", AXIOM_TYPES, "CASE WHEN t.p IN (SELECT iri FROM decl WHERE kind = 'object-property') THEN 'ObjectPropertyAssertion' WHEN t.p IN (SELECT iri FROM decl WHERE kind = 'data-property') THEN 'DataPropertyAssertion' ELSE 'AnnotationAssertion' END")} END AS ax_type,
-        t.s AS subject, t.p AS property, coalesce(ex.label, t.o) AS object, t.o_kind AS object_kind, t.o_dt AS dt, t.o_lang AS lang, coalesce(n.notes, '') AS notes
-        FROM t LEFT JOIN ex ON t.o = ex.expr LEFT JOIN notes n ON n.s = t.s AND n.p = t.p AND n.o = t.o WHERE t.s_kind = 'iri'),
-ax AS (SELECT * FROM ax0 WHERE ax_type <> 'Ontology'),
-sig AS (SELECT DISTINCT ax.*, subject AS node FROM ax
-        UNION SELECT ax.*, property FROM ax WHERE ax_type LIKE '%Assertion' AND property <> '{V.TYPE}'
-        UNION SELECT ax.*, object FROM ax WHERE object_kind = 'iri' AND ax_type NOT IN {_in(["Declaration", "AnnotationAssertion", *CHARACTERISTICS.values()])}),
+        coalesce(es.label, t.s) AS subject, t.p AS property, coalesce(ex.label, t.o) AS object, t.o_kind AS object_kind, t.o_dt AS dt, t.o_lang AS lang, coalesce(n.notes, '') AS notes, t.s AS raw_s, t.o AS raw_o, t.s_kind
+        FROM t LEFT JOIN ex ON t.o = ex.expr AND t.o_kind = 'bnode' LEFT JOIN ex es ON t.s = es.expr AND t.s_kind = 'bnode' LEFT JOIN notes n ON n.s = t.s AND n.p = t.p AND n.o = t.o
+        WHERE (t.s_kind = 'iri' OR (es.label IS NOT NULL AND t.p IN {_in([V.SUBCLASS, V.EQUIVALENT, V.DISJOINT])})) AND t.p NOT IN {_in(expressions.AXIOM_LISTS)}),
+mt AS (SELECT li.*, coalesce(ex.label, li.member) AS text FROM li LEFT JOIN ex ON ex.expr = li.member),
+op AS (SELECT {_case("k.o", {V.ALL_DISJOINT: "DisjointClasses", V.ALL_DISJOINT_PROPERTIES: "DisjointProperties", V.ALL_DIFFERENT: "DifferentIndividuals"}, "NULL")} AS ax_type, min(text) AS subject, mt.p AS property, 'list(' || string_agg(DISTINCT text, ' ' ORDER BY text) || ')' AS object, owner
+       FROM mt JOIN t k ON k.s = mt.owner AND k.p = '{V.TYPE}' WHERE mt.p IN {_in([V.MEMBERS, V.DISTINCT_MEMBERS])} GROUP BY k.o, mt.p, owner
+       UNION ALL SELECT 'SubPropertyChainOf', owner, p, 'chain(' || string_agg(text, ' ' ORDER BY pos) || ')', owner FROM mt WHERE p = '{V.CHAIN}' GROUP BY owner, p
+       UNION ALL SELECT CASE WHEN p = '{V.KEY}' THEN 'HasKey' ELSE 'DisjointUnion' END, owner, p, 'list(' || string_agg(DISTINCT text, ' ' ORDER BY text) || ')', owner FROM mt WHERE p IN {_in([V.KEY, V.DISJOINT_UNION])} GROUP BY owner, p),
+ax AS (SELECT DISTINCT ax_type, subject, property, object, object_kind, dt, lang, notes FROM ax0 WHERE ax_type <> 'Ontology' UNION SELECT ax_type, subject, property, object, 'list', '', '', '' FROM op),
+axr AS (SELECT * FROM ax0 WHERE ax_type <> 'Ontology'),
+sig AS (SELECT * FROM (SELECT ax_type, subject, property, object, object_kind, dt, lang, notes, raw_s AS node FROM axr WHERE s_kind = 'iri'
+        UNION SELECT ax_type, subject, property, object, object_kind, dt, lang, notes, property FROM axr WHERE ax_type LIKE '%Assertion' AND property <> '{V.TYPE}'
+        UNION SELECT ax_type, subject, property, object, object_kind, dt, lang, notes, raw_o FROM axr WHERE object_kind = 'iri' AND ax_type NOT IN {_in(["Declaration", "AnnotationAssertion", *CHARACTERISTICS.values()])}
+        UNION SELECT ax_type, subject, property, object, object_kind, dt, lang, notes, inn.node FROM axr JOIN inn ON inn.expr IN (axr.raw_s, axr.raw_o) AND inn.kind = 'iri'
+        UNION SELECT ax_type, subject, property, object, 'list', '', '', '', coalesce(inn.node, mt.member) FROM op JOIN mt ON mt.owner = op.owner AND mt.p = op.property LEFT JOIN inn ON inn.expr = mt.member AND inn.kind = 'iri' WHERE mt.kind = 'iri' OR inn.node IS NOT NULL
+        UNION SELECT ax_type, subject, property, object, 'list', '', '', '', owner FROM op WHERE NOT starts_with(owner, '_:')) z),
 obj AS (SELECT iri AS node FROM decl UNION SELECT expr FROM ex UNION SELECT s FROM t WHERE s_kind = 'bnode')
 """
 )
@@ -273,10 +295,10 @@ def _half(ont: Ontology, kind: str) -> DataFrame:
 
 
 _A, _B = (f"starts_with(s, '{EX}{k}')" for k in ("supplier", "customer"))
-query("set_01_merge", _T)(lambda o: _shown(setops.merge(o.rows.where(~F.col("s").startswith(EX + "supplier")), o.rows.where(~F.col("s").startswith(EX + "customer")), _half(o, "supplier"))))
+query("set_01_merge", _T)(lambda o: _shown(setops.merge(o.rows.where(~F.col("s").startswith(EX + "supplier")), o.rows.where(~F.col("s").startswith(EX + "customer")), _half(o, "supplier"), shared=True)))
 query("set_02_defined_by", f"SELECT DISTINCT iri AS s, '{V.DEFINED_BY}' AS p, '{EX}onto' AS o FROM decl")(lambda o: setops.defined_by(o, EX + "onto").select("s", "p", "o"))
 query("set_03_derived_from", f"SELECT DISTINCT ax_type, subject, property, object, dt, lang, CASE WHEN notes = '' THEN '' ELSE notes || '|' END || '{V.PROV}wasDerivedFrom={EX}onto/1' AS notes FROM ax WHERE ax_type = 'SubClassOf'")(lambda o: setops.derived_from(o.axioms.where("ax_type = 'SubClassOf'"), EX + "onto/1").select(*_AX, "dt", "lang", F.array_join("notes", "|").alias("notes")))
-query("set_04_unmerge", f"{_T} WHERE NOT ({_A}) AND NOT ({_B})")(lambda o: _shown(setops.unmerge(o.rows, _half(o, "supplier"), _half(o, "customer"))))
+query("set_04_unmerge", f"{_T} WHERE NOT ({_A}) AND NOT ({_B})")(lambda o: _shown(setops.unmerge(o.rows, _half(o, "supplier"), _half(o, "customer"), shared=True)))
 query("set_05_diff", f"SELECT CASE WHEN {_A} THEN 'left' ELSE 'right' END AS side, s, p, o, o_dt, o_lang FROM t WHERE {_A} OR {_B}")(lambda o: (lambda d: d.select("side", *[F.coalesce(c, F.lit("")).alias(c) for c in ("s", "p", "o", "o_dt", "o_lang")]))(setops.diff(o.rows.where(~F.col("s").startswith(EX + "customer")), o.rows.where(~F.col("s").startswith(EX + "supplier")))))
 _LABELS = f"(SELECT s AS iri, arg_min(o, (o_lang, o)) AS label FROM t WHERE p = '{V.LABEL}' AND s_kind = 'iri' GROUP BY s)"
 query("set_07_labelled_diff", f"SELECT CASE WHEN a.label IS NULL THEN child ELSE '<' || child || '>[' || a.label || ']' END AS child, CASE WHEN b.label IS NULL THEN parent ELSE '<' || parent || '>[' || b.label || ']' END AS parent FROM (SELECT DISTINCT child, parent FROM ce) x LEFT JOIN {_LABELS} a ON a.iri = child LEFT JOIN {_LABELS} b ON b.iri = parent")(lambda o: setops.labelled(o.edges.where("kind = 'class'").select("child", "parent").distinct(), terms.labels(o.rows), ["child", "parent"]))

@@ -35,10 +35,13 @@ def _fixed() -> list[str]:
         (V.DEFINITION, V.TYPE, V.ANNOTATION_PROPERTY), (V.LABEL, V.TYPE, V.ANNOTATION_PROPERTY), (V.EXACT, V.TYPE, V.ANNOTATION_PROPERTY), (V.RELATED, V.TYPE, V.ANNOTATION_PROPERTY), (_EX + "said", V.TYPE, V.ANNOTATION_PROPERTY),
         (V.TYPE, V.LABEL, ("type", V.XSD_STRING)),
         *[(f"{_EX}loop/{i}", V.TYPE, V.CLASS) for i in range(3)], *[(f"{_EX}loop/{i}", V.SUBCLASS, f"{_EX}loop/{(i + 1) % 3}") for i in range(3)],
-        (_EX + "product", V.SUBCLASS, V.THING),
+        (_EX + "product", V.SUBCLASS, V.THING), (_EX + "located_in", V.TYPE, V.OBJECT_PROPERTY), (_EX + "measured", V.TYPE, V.OBJECT_PROPERTY),
         *[(f"{_EX}subset/src{i}", V.SUBPROPERTY, V.SUBSET_PROPERTY) for i in range(10)],
     ]
-    return [_row(None, f"'{s}'", p, f"'{o}'" if isinstance(o, str) else f"'{o[0]}'", *(("iri",) if isinstance(o, str) else ("lit", o[1]))) for s, p, o in rows]
+    blank = [("_:chain1", V.FIRST, part_of), ("_:chain1", V.REST, "_:chain2"), ("_:chain2", V.FIRST, _EX + "new_relation"), ("_:chain2", V.REST, V.NIL), ("_:zones", V.TYPE, V.ALL_DISJOINT), ("_:zones", V.MEMBERS, "_:zl0")]
+    chain = [_row(None, f"'{_EX}located_in'", V.CHAIN, "'_:chain1'", "bnode")]
+    chain += [_row(None, f"'{s}'", p, f"'{o}'", "bnode" if o.startswith("_:") else "iri", s_kind="bnode") for s, p, o in blank]
+    return chain + [_row(None, f"'{s}'", p, f"'{o}'" if isinstance(o, str) else f"'{o[0]}'", *(("iri",) if isinstance(o, str) else ("lit", o[1]))) for s, p, o in rows]
 
 
 def _tables() -> list[str]:
@@ -49,7 +52,22 @@ def _tables() -> list[str]:
     name = "coalesce(source, 'none') || ' ' || CAST(doc_id AS STRING)"
     group, chain, next_nation = iri("group", "n_nationkey"), iri("chain", "n_nationkey"), iri("nation", "(n_nationkey + 1) % 25")
     cls = lambda table, s, where=None: _row(table, s, V.TYPE, f"'{V.CLASS}'", where=where)
+    zone, site, next_zone = iri("zone", "r_regionkey"), iri("site", "r_regionkey"), iri("zone", "(r_regionkey + 1) % 5")
+    b_row = lambda table, s, p, o, kind="iri", dt=None, **more: _row(table, s, p, o, kind, dt, s_kind="bnode", **more)
+    busy, not_last = "c_mktsegment = 'BUILDING'", "r_regionkey < 4"
     return [
+        # zones: axioms without a named subject, of several operands and with every constructor
+        cls("region", zone), _row("region", zone, V.SUBCLASS, region), _row("region", site, V.TYPE, f"'{V.INDIVIDUAL}'"), _row("region", site, V.TYPE, zone),
+        b_row("region", blank("zl", "r_regionkey"), V.FIRST, zone), b_row("region", blank("zl", "r_regionkey"), V.REST, blank("zl", "r_regionkey + 1"), "bnode", where=not_last), b_row("region", blank("zl", "r_regionkey"), V.REST, f"'{V.NIL}'", where="r_regionkey = 4"),
+        b_row("region", blank("gz", "r_regionkey"), V.SUBCLASS, iri("within", "r_regionkey")), cls("region", iri("within", "r_regionkey")), b_row("region", blank("gz", "r_regionkey"), V.ON_PROPERTY, f"'{_EX}part_of'"), b_row("region", blank("gz", "r_regionkey"), V.SOME, zone),
+        _row("region", zone, V.SUBCLASS, blank("nz", "r_regionkey"), "bnode"), b_row("region", blank("nz", "r_regionkey"), V.COMPLEMENT, next_zone),
+        _row("region", zone, V.SUBCLASS, blank("vz", "r_regionkey"), "bnode"), b_row("region", blank("vz", "r_regionkey"), V.ON_PROPERTY, f"'{_EX}measured'"), b_row("region", blank("vz", "r_regionkey"), V.VALUE, site),
+        _row("region", zone, V.SUBCLASS, blank("mz", "r_regionkey"), "bnode"), b_row("region", blank("mz", "r_regionkey"), V.ON_PROPERTY, f"'{_EX}measured'"), b_row("region", blank("mz", "r_regionkey"), V.OWL + "minQualifiedCardinality", "'2'", "lit", V.XSD + "nonNegativeInteger"), b_row("region", blank("mz", "r_regionkey"), V.ON_CLASS, next_zone),
+        _row("region", iri("plot", "r_regionkey"), V.EQUIVALENT, blank("oz", "r_regionkey"), "bnode"), cls("region", iri("plot", "r_regionkey")), b_row("region", blank("oz", "r_regionkey"), V.ONE_OF, blank("ol", "r_regionkey"), "bnode"), b_row("region", blank("ol", "r_regionkey"), V.FIRST, site), b_row("region", blank("ol", "r_regionkey"), V.REST, f"'{V.NIL}'"),
+        # customers under nested expressions: part of something that is a nation and part of the next one
+        _row("customer", customer, V.SUBCLASS, blank("w", "c_custkey"), "bnode", where=busy), b_row("customer", blank("w", "c_custkey"), V.ON_PROPERTY, f"'{_EX}part_of'", where=busy), b_row("customer", blank("w", "c_custkey"), V.SOME, blank("wi", "c_custkey"), "bnode", where=busy),
+        b_row("customer", blank("wi", "c_custkey"), V.INTERSECTION, blank("wl", "c_custkey"), "bnode", where=busy), b_row("customer", blank("wl", "c_custkey"), V.FIRST, iri("nation", "c_nationkey"), where=busy), b_row("customer", blank("wl", "c_custkey"), V.REST, blank("wm", "c_custkey"), "bnode", where=busy),
+        b_row("customer", blank("wm", "c_custkey"), V.FIRST, blank("ws", "c_custkey"), "bnode", where=busy), b_row("customer", blank("wm", "c_custkey"), V.REST, f"'{V.NIL}'", where=busy), b_row("customer", blank("ws", "c_custkey"), V.ON_PROPERTY, f"'{_EX}located_in'", where=busy), b_row("customer", blank("ws", "c_custkey"), V.SOME, iri("nation", "(c_nationkey + 1) % 25"), where=busy),
         cls("region", region), _row("region", region, V.LABEL, "r_name", "lit"),
         cls("nation", nation), _row("nation", nation, V.LABEL, "n_name", "lit"), _row("nation", nation, V.SUBCLASS, iri("region", "n_regionkey")),
         # definitions by an intersection, by an edge and along a transitive property, and classes that can have no member

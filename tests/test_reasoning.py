@@ -12,7 +12,7 @@ COLUMNS = "s string, s_kind string, p string, o string, o_kind string, o_dt stri
 
 
 class Builder:
-    """Triples of axioms whose expressions are names or tuples: ("some", p, x), ("all", p, x), ("and", x, ...), ("or", x, ...)."""
+    """Triples of axioms whose expressions are names or tuples: ("some", p, x), ("all", p, x), ("value", p, i), ("and", x, ...), ("or", x, ...), ("one", i, ...), ("not", x), ("min", n, p, x or None)."""
 
     def __init__(self, tag=""):
         self.rows, self.n, self.tag = [], 0, tag
@@ -29,17 +29,42 @@ class Builder:
         if isinstance(e, str):
             return e
         at = self.blank()
-        if e[0] in ("some", "all"):
+        if e[0] in ("some", "all", "value"):
             self.add(at, V.ON_PROPERTY, e[1])
-            self.add(at, V.SOME if e[0] == "some" else V.ALL, self.node(e[2]))
+            self.add(at, {"some": V.SOME, "all": V.ALL, "value": V.VALUE}[e[0]], self.node(e[2]))
             return at
-        cells = [self.blank() for _ in e[1:]]
-        self.add(at, V.INTERSECTION if e[0] == "and" else V.UNION, cells[0])
-        for i, (cell, part) in enumerate(zip(cells, e[1:], strict=True)):
-            self.add(cell, V.RDF + "first", self.node(part))
-            self.add(cell, V.RDF + "rest", cells[i + 1] if i + 1 < len(cells) else V.RDF + "nil")
+        if e[0] in ("min", "max"):
+            self.add(at, V.ON_PROPERTY, e[2])
+            self.add(at, V.OWL + (f"{e[0]}QualifiedCardinality" if e[3] else f"{e[0]}Cardinality"), e[1])
+            if e[3]:
+                self.add(at, V.ON_CLASS, self.node(e[3]))
+            return at
+        if e[0] == "not":
+            self.add(at, V.COMPLEMENT, self.node(e[1]))
+            return at
+        self.list_of(at, {"and": V.INTERSECTION, "or": V.UNION, "one": V.ONE_OF}[e[0]], e[1:])
         return at
 
+    def list_of(self, s, p, items):
+        cells = [self.blank() for _ in items]
+        self.add(s, p, cells[0])
+        for i, (cell, part) in enumerate(zip(cells, items, strict=True)):
+            self.add(cell, V.FIRST, self.node(part))
+            self.add(cell, V.REST, cells[i + 1] if i + 1 < len(cells) else V.NIL)
+
+    def general(self, left, p, right):
+        self.add(self.node(left), p, self.node(right))
+
+    def several(self, kind, p, items):
+        at = self.blank()
+        self.add(at, V.TYPE, kind)
+        self.list_of(at, p, items)
+
+    def negative(self, s, p, o):
+        at = self.blank()
+        for a, b in ((V.TYPE, V.NEGATIVE), (V.NEG_SOURCE, s), (V.NEG_PROPERTY, p), (V.NEG_TARGET, o)):
+            self.add(at, a, b)
+
     def axiom(self, s, p, o):
         self.add(s, p, self.node(o))
 
