@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from axiograph.llm.common import attached, running_sum, settle
 
 SHARDS = 8
-#: A group with more than 1/(shards * FINE) of all bytes, tokens or rows is placed first; with more than 8 times that it is split.
+#: A group with more than 1/(shards * FINE) of all bytes, tokens or rows is placed first; one that a whole shard can't hold is split.
 FINE = 256
 #: Groups that one task packs.
 PACKED = 50_000
@@ -34,8 +34,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 
     docs: doc_id, text and any other columns, which are left out. size: UTF-8 bytes of the text and 1 (null text: 1,
     crc32 0). Rows with equal texts are a group (null texts are one, empty texts another) and go to one shard, except that a group with more than
-    8 / (n_shards * 256) of all bytes, tokens or rows is split by doc_id into pieces of about that share at most, since no shard
-    could hold it evenly. Groups are placed largest first: those above 1 / (n_shards * 256), of which there is a
+    1 / n_shards of all bytes, tokens or rows, which no shard could hold evenly, is split by doc_id into as few pieces as a shard can
+    hold. Groups are placed largest first: those above 1 / (n_shards * 256), of which there is a
     bounded number, on the driver; the rest in tasks of some PACKED groups, each with its share of what capacity is
     left. slot counts a shard's rows in doc_id order (nulls first, ties in a fixed order) from 0. No rows: no rows.
     """
@@ -48,7 +48,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     scale = np.array([max(1, total[d] or 0) for d in _DIMENSIONS], float) / n_shards  # one shard's capacity
 
     share = F.greatest(*[F.col(d) / F.lit(float(s)) for d, s in zip(_DIMENSIONS, scale, strict=True)])
-    split = groups.select("key", F.ceil(share * FINE / 8).cast("int").alias("pieces")).where("pieces > 1")  # at most 3 * n_shards * FINE / 8
+    split = groups.select("key", F.ceil(share).cast("int").alias("pieces")).where("pieces > 1")  # at most 3 * n_shards
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces"))).otherwise(0).cast("int")
     pieced = rows.join(F.broadcast(split), "key", "left").withColumn("piece", piece).drop("pieces")
     items = settle(pieced.groupBy("key", "piece").agg(*sums).withColumn("share", share), "items")

@@ -26,6 +26,7 @@ SEGMENT_BLOCKS = 16
 QUERIES = 1024
 _EXACT = float(1 << 53)
 _FAR = 10**37
+_MOST = np.finfo(np.float64).max
 _LONG = (1 << 63) - 1
 _LAYOUT = "part int, seq int, n int, width int, ids binary, vectors binary, high binary, low binary, top double"
 #: Segments whose bounds one row carries, and segments of the highest bounds that a block of queries meets before its floors rise.
@@ -40,9 +41,9 @@ def _quantised(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     values = column.values
     bad = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else np.zeros(len(values), bool)
     x = values.fill_null(0.0).to_numpy(zero_copy_only=False)
-    with np.errstate(over="ignore"):
-        q = np.floor(x * SCALE)
-    bad = bad | ~np.isfinite(q)
+    bad = bad | ~np.isfinite(x)
+    with np.errstate(over="ignore"):  # a product beyond the range of doubles counts as the largest double
+        q = np.clip(np.floor(x * SCALE), -_MOST, _MOST)
     wrong = np.concatenate([[0], np.cumsum(bad)])
     good = (wrong[offsets[1:]] == wrong[offsets[:-1]]) & ~column.is_null().to_numpy(zero_copy_only=False)
     return good, [q[a:b] for a, b in zip(offsets[:-1][good].tolist(), offsets[1:][good].tolist(), strict=True)]
@@ -127,7 +128,7 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], segment: tuple[np.ndarr
         who, score, found = _merged(k, *(np.concatenate(x) for x in zip(*parts, strict=True)))
         full = np.flatnonzero(np.bincount(who, minlength=len(q)) == k)
         last = np.searchsorted(who, full, "right") - 1
-        floor[full] = np.maximum(floor[full], score[last] if q.dtype != object else [np.nextafter(float(x), -np.inf) for x in score[last]])
+        floor[full] = np.maximum(floor[full], score[last] if q.dtype != object else [np.nextafter(float(max(-_FAR, min(_FAR, x))), -np.inf) for x in score[last]])
     return who, score, found
 
 
@@ -183,7 +184,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
 
     Both tables: vec_id, embedding; other columns are left out. Components count as floor(1024 * x). A query's own vec_id is no candidate; ties go
     to the smaller vec_id; with fewer than k candidates all are returned. Rows without a vec_id, with a null vector or
-    a null or non-finite component take no part. Vectors of different lengths are padded with zeros (an
+    a null or non-finite component take no part; finite ones always do (beyond 1.7e305 they count as the largest double). Vectors of different lengths are padded with zeros (an
     empty vector scores 0). Rows that repeat a vec_id are candidates each for itself; of the valid queries that repeat one, the
     smallest vector (component by component) is asked. Scores beyond a long are cut to its range after ranking (those beyond 10 ** 37 before).
 

@@ -61,6 +61,14 @@ def test_few_segments_meet_the_queries(spark, monkeypatch):
     assert sum(met) < 12 * 60 / 4  # of 60 segments for each of 12 blocks of queries
 
 
+def test_top_k_keeps_every_finite_vector(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (1, [1e306]), (2, [-1.7e308]), (3, [float("inf")]), (100, [1e306]), (200, [2.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(frame, frame.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect()
+    most = (1 << 63) - 1
+    assert sorted(tuple(r) for r in got if r["query_id"] == 0) == [(0, 1, 1, most), (0, 2, 100, most), (0, 3, 200, 1024 * 2048), (0, 4, 2, -most - 1)]
+    assert sorted(tuple(r) for r in got if r["query_id"] == 100)[-1] == (100, 4, 2, -most - 1)
+
+
 def test_top_k_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(frame, frame.where("vec_id = 0")).select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 1, 1024 * 2048)]
@@ -160,7 +168,7 @@ def test_prediction_keeps_columns_of_any_name(spark):
 def test_sharding(spark):
     rng = random.Random(4)
     texts = ["word " * int(rng.paretovariate(1.2) * 5) + str(i) for i in range(1500)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(2000 + i, "the same text again " * 4) for i in range(700)] + [(5000, None), (5001, ""), (None, "x"), (7, "repeat"), (7, "repeat")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2000 + i, "the same text again " * 4) for i in range(700)] + [(3000 + i, "some copies of it " * 9) for i in range(150)] + [(5000, None), (5001, ""), (None, "x"), (7, "repeat"), (7, "repeat")]
     got = sharding.shards(spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, piece int")).collect()
     assert len(got) == len(rows)
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted((i is not None, i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
@@ -179,7 +187,7 @@ def test_sharding(spark):
         assert ids == sorted(ids)
     shard_of = {}
     for r in got:
-        if r["doc_id"] is None or r["doc_id"] < 2000:
+        if r["doc_id"] is None or not (2000 <= r["doc_id"] < 3000 or r["doc_id"] == 5000):  # null and empty texts are two groups; only the 700 copies are more than a shard can hold
             shard_of.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
     assert all(len(s) == 1 for s in shard_of.values())
     assert sharding.shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
