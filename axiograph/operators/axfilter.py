@@ -16,7 +16,7 @@ ALL_TYPES = sorted({"Declaration", "AnnotationAssertion", *GROUPS["logical"]})
 
 def _internal(bases: list[str]) -> Column:
     own = F.when(F.size("operands") > 0, F.array_union("operands", F.array("subject"))).otherwise(F.array("subject"))
-    return reduce(lambda a, b: a | b, [F.exists(own, lambda x, b=b: x.startswith(b)) for b in bases], F.lit(False))
+    return F.exists(own, lambda x: reduce(lambda a, b: a | b, [x.startswith(b) for b in bases], F.lit(False)))
 
 
 def structural_tautology() -> Column:

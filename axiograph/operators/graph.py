@@ -124,7 +124,9 @@ def branch(edges: DataFrame, roots: DataFrame, intermediates: str = "all") -> Da
     return collapse(own, 2, roots) if intermediates == "minimal" else own
 
 
-_ASSERTIONS = ["ClassAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion", "SameIndividual", "DifferentIndividuals"]
+#: constructors of which locality knows no more than their names
+_OPAQUE = ["not", "one", "value", "self", "min", "max", "exact", "inverse"]
+_ASSERTIONS = ["ClassAssertion", "NegativePropertyAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion", "SameIndividual", "DifferentIndividuals"]
 
 
 def module(ont: Ontology, signature: DataFrame, kind: str = "BOT", individuals: str = "include") -> DataFrame:
@@ -133,23 +135,17 @@ def module(ont: Ontology, signature: DataFrame, kind: str = "BOT", individuals:
     Names that are not in the signature count as empty (BOT) or full (TOP); an axiom that isn't a tautology by that is in the module and its
     names, those inside of expressions too, join the signature, until nothing more does. STAR: BOT and TOP by turns
     until nothing goes. individuals: "include"; "exclude": no assertions; "minimal": those about individuals that other axioms name.
+    Expressions of other constructors than and, or, some and all count as neither empty nor full, so their axioms are in whenever the other side doesn't decide.
     """
     if individuals not in ("include", "exclude", "minimal"):
         raise ValueError(f"unknown option for individuals {individuals}")
-    logical = settle(ont.axioms.where(~F.col("ax_type").isin("Declaration", "AnnotationAssertion")).select("ax_id", "ax_type", "subject", "property", "object", "object_kind"), "logical")
+    logical = settle(ont.axioms.where(~F.col("ax_type").isin("Declaration", "AnnotationAssertion")).select("ax_id", "ax_type", "subject", "property", "object", "object_kind", "operands"), "logical")
     local = logical if individuals == "include" else settle(logical.where(~F.col("ax_type").isin(_ASSERTIONS)), "logical")
-    texts = ont.expressions.where("label IS NOT NULL").select("expr", "op", "prop", "filler", "label").distinct()
-    names = texts.select(F.col("expr").alias("part"), F.col("label").alias("text")).distinct()
-    pairs = texts.where("prop IS NOT NULL").select("label", "op", "prop", F.col("filler").alias("part")).unionByName(ont.members.join(texts.where("prop IS NULL").select("expr", "label", "op", "prop"), "expr").select("label", "op", "prop", F.col("member").alias("part")))
+    texts = ont.expressions.where("label IS NOT NULL").select("expr", "op", "prop", "label").distinct()
+    names = ont.labels.select(F.col("node").alias("part"), "text")
+    pairs = ont.parts.where("role = 'part'").select("expr", "part").unionByName(texts.where("op = 'self'").select("expr", F.col("prop").alias("part"))).join(texts, "expr")
     parts = settle(pairs.join(names, "part", "left").select("label", "op", "prop", F.coalesce("text", "part").alias("part")).distinct(), "parts")
-    held = parts.select("label", F.col("part").alias("node")).unionByName(parts.where("prop IS NOT NULL").select("label", F.col("prop").alias("node"))).distinct()
-    held = settle(held, "held")
-    inner = held.unionByName(closure(held.select(F.col("label").alias("child"), F.col("node").alias("parent"))).select(F.col("child").alias("label"), F.col("parent").alias("node"))).distinct()
-    ends = logical.select("ax_id", F.col("subject").alias("node")).unionByName(logical.where(F.col("ax_type").isin("ObjectPropertyAssertion", "DataPropertyAssertion")).select("ax_id", F.col("property").alias("node")))
-    objects = logical.where("object_kind <> 'lit'").select("ax_id", F.col("object").alias("node"), "ax_type")
-    objects = objects.where(~F.col("ax_type").endswith("Property") | (F.col("ax_type") == "ClassAssertion")).drop("ax_type")
-    inside = objects.join(inner.withColumnRenamed("node", "part"), F.col("node") == F.col("label")).select("ax_id", F.col("part").alias("node"))
-    of_axiom = settle(ends.unionByName(objects).unionByName(inside).distinct(), "names")
+    of_axiom = settle(ont.axioms.join(logical.select("ax_id"), "ax_id", "left_semi").select("ax_id", F.explode(F.array_union("sig", "exprs")).alias("node")), "names")
     found = local
     if kind == "STAR":
         size = None
@@ -183,16 +179,20 @@ def _non_local(axioms: DataFrame, parts: DataFrame, of_axiom: DataFrame, signatu
         mine = known.join(classes, "node", "left_semi")
         solid = (mine if bottom else classes).where(F.col("node") != V.NOTHING).unionByName(classes.where(F.col("node") == V.THING)).distinct()
         opened = (classes if bottom else mine).where(F.col("node") != V.THING).unionByName(classes.where(F.col("node") == V.NOTHING)).distinct()
-        solid = _grown(solid, rows, sizes, some=F.col("in_") if bottom else F.lit(True), always=["all"], every="and", any_="or")
-        opened = _grown(opened, rows, sizes, some=None, always=["some"] if bottom else [], every="or", any_="and", bottom=bottom)
+        solid = _grown(solid, rows, sizes, some=F.col("in_") if bottom else F.lit(True), always=["all", *_OPAQUE], every="and", any_="or")
+        opened = _grown(opened, rows, sizes, some=None, always=(["some"] if bottom else []) + _OPAQUE, every="or", any_="and", bottom=bottom)
+        several = axioms.where("size(operands) > 0").select("ax_id", F.explode("operands").alias("node"))
+        counts = several.join(solid.withColumn("full_", F.lit(1)), "node", "left").join(known.withColumn("known_", F.lit(1)), "node", "left").groupBy("ax_id").agg(F.count("full_").alias("n_solid"), F.count("known_").alias("n_known"))
         flags = lambda c, side: (solid if c[0] == "s" else opened).select(F.col("node").alias(side), F.lit(True).alias(c))
         marked = axioms.join(flags("s1", "subject"), "subject", "left").join(flags("o1", "subject"), "subject", "left").join(flags("s2", "object"), "object", "left").join(flags("o2", "object"), "object", "left")
         marked = marked.join(known.select(F.col("node").alias("subject"), F.lit(True).alias("k1")), "subject", "left").join(known.select(F.col("node").alias("object"), F.lit(True).alias("k2")), "object", "left").join(known.select(F.col("node").alias("property"), F.lit(True).alias("k3")), "property", "left")
+        marked = marked.join(counts, "ax_id", "left")
         s1, s2, o1, o2, k1, k2, k3 = (F.col(c).isNotNull() for c in ("s1", "s2", "o1", "o2", "k1", "k2", "k3"))
         is_ = lambda *names: F.col("ax_type").isin(*names)
         yes = F.lit(True)
         fires = (
-            F.when(is_("SubClassOf"), s1 & o2).when(is_("EquivalentClasses"), (s1 | s2) & (o1 | o2)).when(is_("DisjointClasses"), s1 & s2)
+            F.when(is_("DisjointClasses") & (F.size("operands") > 0), F.col("n_solid") > 1).when(is_("SubPropertyChainOf"), (F.col("n_known") == F.size("operands")) if bottom else k1)
+            .when(is_("SubClassOf"), s1 & o2).when(is_("EquivalentClasses"), (s1 | s2) & (o1 | o2)).when(is_("DisjointClasses"), s1 & s2)
             .when(is_("PropertyDomain", "PropertyRange"), (k1 & o2) if bottom else o2).when(is_("SubPropertyOf"), k1 if bottom else k2)
             .when(is_("EquivalentProperties", "InverseProperties"), k1 | k2).when(is_("ClassAssertion"), o2)
             .when(is_("ObjectPropertyAssertion", "DataPropertyAssertion"), yes if bottom else k3)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axiograph.functions import vocab as V
-from axiograph.model import Ontology
-from axiograph.operators import graph, setops
+from axiograph.model import AXIOM_TYPES, CHARACTERISTICS, Ontology, case
+from axiograph.operators import axfilter, graph, setops
 from axiograph.sources.shared import settle, written
 
 
@@ -52,60 +52,118 @@ class _Fixpoint:
         return [join(self.fresh[left], self.known[right]), join(self.known[left], self.fresh[right])]
 
 
-def saturated(ont: Ontology) -> DataFrame:
+def _compositions(ont: Ontology, above: DataFrame) -> DataFrame:
+    """p, q, r: p followed by q is below r, from transitive properties and property chains; longer chains go by names for their beginnings."""
+    transitive = ont.with_p(V.TYPE).where(F.col("o") == V.OWL + "TransitiveProperty").select(F.col("s").alias("p"), F.col("s").alias("q"), F.col("s").alias("r"))
+    chains = ont.operands.where((F.col("p") == V.CHAIN) & (F.size("texts") > 1)).select("owner", "texts").withColumn("i", F.explode(F.sequence(F.lit(2), F.size("texts"))))
+    begun = lambda n: F.when(n == 1, F.element_at("texts", 1)).otherwise(F.concat(F.lit("chain("), F.array_join(F.slice("texts", 1, n), " "), F.lit(")")))
+    steps = chains.select(begun(F.col("i") - 1).alias("p"), F.element_at("texts", F.col("i")).alias("q"), F.when(F.col("i") == F.size("texts"), F.col("owner")).otherwise(begun(F.col("i"))).alias("r"))
+    rules = transitive.unionByName(steps).distinct()
+    return rules.join(above.select(F.col("p").alias("r"), F.col("q").alias("over")), "r", "left").select("p", "q", F.coalesce("over", "r").alias("r")).distinct()
+
+
+def saturated(ont: Ontology, individuals: bool = False, probes: bool = False) -> DataFrame:
     """x, y: every named class or expression x (by its text) and what it is under, itself and Nothing among these.
 
-    The completion rules of EL: told subclasses, equivalences both ways, intersections both ways, existential restrictions both ways with
-    the hierarchy of properties, transitive properties, domains, disjoint classes, and Nothing along existential
-    edges. Every round joins what is new only. Expressions are nodes by their canonical texts.
+    The completion rules of EL: told subclasses (general ones too), equivalences both ways, intersections both ways, existential restrictions and
+    has-value both ways with the hierarchy of properties, chains and transitive properties, domains, classes disjoint in pairs or
+    groups, disjoint unions, and Nothing along existential edges. Thing is above all without being listed, but counts as a filler and on the left. Every round joins
+    what is new only. Expressions are nodes by their canonical texts. individuals: one(i) for every named individual i is a node, under the classes it is said to be of and
+    restrictions for what it is related to. probes: some(p Thing) is a node for every object property p.
     """
-    if "_saturated" in ont.__dict__:
-        return ont.__dict__["_saturated"]
+    key = f"_saturated{individuals:d}{probes:d}"
+    if key in ont.__dict__:
+        return ont.__dict__[key]
     texts = settle(ont.expressions.where("label IS NOT NULL").select("expr", "op", "prop", "filler", "label").distinct(), "labels")
     by_name = texts.select(F.col("expr").alias("name"), "label").distinct()
     text_of = lambda rows, c: rows.join(by_name.withColumnRenamed("name", c), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
-    said = text_of(ont.with_p(V.SUBCLASS, V.EQUIVALENT).where("s_kind = 'iri' AND s <> o").select("s", "p", "o"), "o")
+    said = text_of(text_of(ont.with_p(V.SUBCLASS, V.EQUIVALENT).select("s", "p", "o"), "o"), "s").where("s <> o AND NOT startswith(s, '_:')").distinct()
+    one = lambda c: F.concat(F.lit("one("), F.col(c), F.lit(")"))
     inside = text_of(ont.members.join(texts.where("op = 'and'").select("expr", F.col("label").alias("whole")), "expr").select("whole", F.col("member").alias("m")), "m").distinct()
     same = said.where(F.col("p") == V.EQUIVALENT)
-    told_ = settle(said.select(F.col("s").alias("y"), F.col("o").alias("z")).unionByName(same.select(F.col("o").alias("y"), F.col("s").alias("z"))).unionByName(inside.select(F.col("whole").alias("y"), F.col("m").alias("z"))).distinct(), "told")
-    parts = settle(inside.withColumnRenamed("m", "y"), "parts")
+    unions = ont.operands.where(F.col("p") == V.DISJOINT_UNION).select("owner", F.explode("texts").alias("m"))
+    told_ = said.select(F.col("s").alias("y"), F.col("o").alias("z")).unionByName(same.select(F.col("o").alias("y"), F.col("s").alias("z"))).unionByName(inside.select(F.col("whole").alias("y"), F.col("m").alias("z"))).unionByName(unions.select(F.col("m").alias("y"), F.col("owner").alias("z")))
+    parts = settle(inside.where(F.col("m") != V.THING).withColumnRenamed("m", "y"), "parts")
     sizes = parts.groupBy("whole").agg(F.count("*").alias("n"))
     above = settle(_above(ont).select(F.col("prop").alias("p"), F.col("over").alias("q")), "above")
-    some = text_of(texts.where("op = 'some'").select(F.col("label").alias("e"), F.col("prop").alias("p"), F.col("filler").alias("f")), "f").distinct()
-    some = settle(some, "some")
+    some = text_of(texts.where("op = 'some'").select(F.col("label").alias("e"), F.col("prop").alias("p"), F.col("filler").alias("f")), "f")
+    some = some.unionByName(texts.where("op = 'value'").select(F.col("label").alias("e"), F.col("prop").alias("p"), one("filler").alias("f")))
+    objects = ont.declared.where("kind = 'object-property'").select(F.col("iri").alias("p"))
+    if individuals:
+        named = ont.declared.where("kind = 'individual'").select(F.col("iri").alias("s"))
+        own = text_of(ont.with_p(V.TYPE).join(named, "s", "left_semi").where(~F.col("o").startswith(V.OWL)).select("s", "o"), "o").select(one("s").alias("y"), F.col("o").alias("z"))
+        related = ont.rows.where("s_kind = 'iri' AND o_kind = 'iri'").join(objects, "p", "left_semi").join(named, "s", "left_semi").join(named.select(F.col("s").alias("o")), "o", "left_semi")
+        related = related.select(one("s").alias("y"), "p", one("o").alias("f")).withColumn("z", F.concat(F.lit("some("), "p", F.lit(" "), "f", F.lit(")"))).distinct()
+        told_ = told_.unionByName(own).unionByName(related.select("y", "z"))
+        some = some.unionByName(related.select(F.col("z").alias("e"), "p", "f"))
+    if probes:
+        some = some.unionByName(objects.select(F.concat(F.lit("some("), "p", F.lit(f" {V.THING})")).alias("e"), "p", F.lit(V.THING).alias("f")))
+    told_, some = settle(told_.distinct(), "told"), settle(some.distinct(), "some")
     raised = settle(some.join(above, "p", "left").select(F.col("e").alias("y"), F.coalesce("q", "p").alias("q"), "f").distinct(), "raised")
-    chained = ont.with_p(V.TYPE).where(F.col("o") == V.OWL + "TransitiveProperty").select(F.col("s").alias("p"))
-    chained_above = settle(chained.join(above, "p").select("p", "q").distinct(), "chained")
-    domains = ont.with_p(V.DOMAIN).where("o_kind = 'iri'").select(F.col("s").alias("p"), F.col("o").alias("y"))
-    apart = ont.with_p(V.DISJOINT).where("s_kind = 'iri' AND o_kind = 'iri'").select(F.col("s").alias("y"), F.col("o").alias("other"))
-    domains, apart = settle(domains, "domains"), settle(apart, "apart")
+    rules = settle(_compositions(ont, above), "rules")
+    domains = text_of(ont.with_p(V.DOMAIN).select(F.col("s").alias("p"), "o"), "o").select("p", F.col("o").alias("y"))
+    apart = text_of(text_of(ont.with_p(V.DISJOINT).select("s", "o"), "o"), "s").select(F.col("s").alias("y"), F.col("o").alias("other"))
+    groups = ont.axioms.where("ax_type IN ('DisjointClasses', 'DisjointUnion') AND size(operands) > 1").select("ax_id", F.explode("operands").alias("y"))
+    domains, apart, groups = settle(domains, "domains"), settle(apart, "apart"), settle(groups, "groups")
     nodes = ont.declared.where("kind = 'class'").select(F.col("iri").alias("x")).unionByName(told_.select(F.col("y").alias("x"))).unionByName(told_.select(F.col("z").alias("x"))).unionByName(some.select(F.col("f").alias("x"))).unionByName(some.select(F.col("e").alias("x"))).distinct()
     none = F.lit(V.NOTHING).alias("y")
+    with_thing = some.where(F.col("f") == V.THING).select("e", "p")
+    # rules whose premises the ontology never has stay out of the plans
+    has_parts, has_rules, has_domains, has_apart, has_groups, has_thing = (not t.isEmpty() for t in (parts, rules, domains, apart, groups, with_thing))
+    has_edges = not some.isEmpty()
+    fails = has_apart or has_groups or not told_.where(F.col("z") == V.NOTHING).isEmpty()
 
     def through(edges: DataFrame, under: DataFrame) -> DataFrame:  # an edge to what is under a filler, and to Nothing
         ends = under.select(F.col("x").alias("f"), "y")
-        bottom = edges.join(ends.where(F.col("y") == V.NOTHING), "f").select("x", none)
-        return edges.select("x", "p", "f").join(ends.join(some.select("e", F.col("p"), F.col("f").alias("y")), "y"), ["p", "f"]).select("x", F.col("e").alias("y")).unionByName(bottom)
+        up = edges.select("x", "p", "f").join(ends.join(some.select("e", F.col("p"), F.col("f").alias("y")), "y"), ["p", "f"]).select("x", F.col("e").alias("y"))
+        return up.unionByName(edges.join(ends.where(F.col("y") == V.NOTHING), "f").select("x", none)) if fails else up
 
-    def onward(left: DataFrame, right: DataFrame) -> DataFrame:  # along one transitive property, then up
-        ahead = right.select(F.col("x").alias("f"), "p", F.col("f").alias("g"))
-        return left.join(chained.distinct(), "p", "left_semi").join(ahead, ["p", "f"]).join(chained_above, "p").select("x", F.col("q").alias("p"), F.col("g").alias("f"))
+    def onward(left: DataFrame, right: DataFrame) -> DataFrame:  # along two edges that a rule composes
+        ahead = right.select(F.col("x").alias("f"), F.col("p").alias("q"), F.col("f").alias("g"))
+        return left.join(rules, "p").join(ahead, ["f", "q"]).select("x", F.col("r").alias("p"), F.col("g").alias("f"))
 
     def clash(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(apart, "y").select("x", F.col("other").alias("y")).join(right, ["x", "y"]).select("x", none)
 
     state = _Fixpoint(sub=["x", "y"], edge=["x", "p", "f"])
-    more = state.add(sub=[nodes.select("x", F.col("x").alias("y"))], edge=[nodes.limit(0).select("x", F.col("x").alias("p"), F.col("x").alias("f"))])
+    start = nodes.select("x", F.col("x").alias("y")).unionByName(nodes.withColumn("y", F.lit(V.THING)).join(told_, "y").select("x", F.col("z").alias("y")))
+    more = state.add(sub=[start], edge=[nodes.limit(0).select("x", F.col("x").alias("p"), F.col("x").alias("f"))])
     while more:
-        sub, edge = state.fresh["sub"], state.fresh["edge"]
-        touched = sub.join(parts, "y").select("x", "whole").distinct()
-        held = touched.join(parts, "whole").join(state.known["sub"], ["x", "y"]).groupBy("x", "whole").agg(F.count("*").alias("m")).join(sizes, "whole").where("m = n")
-        derived = [sub.join(told_, "y").select("x", F.col("z").alias("y")), held.select("x", F.col("whole").alias("y")), edge.join(domains, "p").select("x", "y")]
-        derived += state.both("edge", "sub", through) + state.both("sub", "sub", clash)
-        steps = [sub.join(raised, "y").select("x", F.col("q").alias("p"), "f")] + state.both("edge", "edge", onward)
+        sub, edge, known = state.fresh["sub"], state.fresh["edge"], state.known["sub"]
+        derived = [sub.join(told_, "y").select("x", F.col("z").alias("y"))]
+        if has_parts:
+            touched = sub.join(parts, "y").select("x", "whole").distinct()
+            held = touched.join(parts, "whole").join(known, ["x", "y"]).groupBy("x", "whole").agg(F.count("*").alias("m")).join(sizes, "whole").where("m = n")
+            derived.append(held.select("x", F.col("whole").alias("y")))
+        if has_groups:
+            met = sub.join(groups, "y").select("x", "ax_id").distinct().join(groups, "ax_id").join(known, ["x", "y"]).groupBy("x", "ax_id").agg(F.count("*").alias("m"))
+            derived.append(met.where("m > 1").select("x", none))
+        if has_apart:
+            derived += state.both("sub", "sub", clash)
+        if has_domains:
+            derived.append(edge.join(domains, "p").select("x", "y"))
+        if has_thing:
+            derived.append(edge.join(with_thing, "p").select("x", F.col("e").alias("y")))
+        derived += state.both("edge", "sub", through) if has_edges else []
+        steps = [sub.join(raised, "y").select("x", F.col("q").alias("p"), "f")] + (state.both("edge", "edge", onward) if has_rules else [])
         more = state.add(sub=derived, edge=steps)
-    ont.__dict__["_saturated"] = settle(state.known["sub"], "saturated")
-    return ont.__dict__["_saturated"]
+    ont.__dict__[key] = settle(state.known["sub"], "saturated")
+    return ont.__dict__[key]
+
+
+def realized(ont: Ontology) -> DataFrame:
+    """individual, cls: the named classes that named individuals are of, by what they are said to be and related to, and by definitions."""
+    found = saturated(ont, individuals=True).where("startswith(x, 'one(')").select(F.substring(F.col("x"), F.lit(5), F.length("x") - 5).alias("individual"), F.col("y").alias("cls"))
+    classes = ont.declared.where("kind = 'class'").select(F.col("iri").alias("cls"))
+    named = ont.declared.where("kind = 'individual'").select(F.col("iri").alias("individual"))
+    return found.join(classes, "cls", "left_semi").join(named, "individual", "left_semi").select("individual", "cls").distinct()
+
+
+def unsatisfiable_properties(ont: Ontology) -> DataFrame:
+    """iri: object properties that nothing can have: what has them would be in Nothing."""
+    probe = ont.declared.where("kind = 'object-property'").select("iri", F.concat(F.lit("some("), "iri", F.lit(f" {V.THING})")).alias("x"))
+    bottom = saturated(ont, probes=True).where(F.col("y") == V.NOTHING).select("x")
+    return probe.join(bottom, "x", "left_semi").select("iri").distinct()
 
 
 def _named(ont: Ontology, pairs: DataFrame) -> DataFrame:
@@ -136,25 +194,56 @@ def reduced(ont: Ontology) -> DataFrame:
 
 
 def reduced_expressions(ont: Ontology) -> DataFrame:
-    """cls, prop, filler: restrictions that no superclass has already, with the same property and filler."""
-    some = settle(ont.with_p(V.SUBCLASS).where("s_kind = 'iri' AND o_kind = 'bnode'").select(F.col("s").alias("cls"), F.col("o").alias("expr")).join(ont.expressions.where("op = 'some'").select("expr", "prop", "filler"), "expr").select("cls", "prop", "filler").distinct(), "some")
-    above = graph.closure(told(ont)).where("child <> parent").select(F.col("child").alias("cls"), F.col("parent").alias("over"))
-    implied = some.join(above, "cls").join(some.select(F.col("cls").alias("over"), "prop", "filler"), ["over", "prop", "filler"]).select("cls", "prop", "filler")
-    return some.join(implied, ["cls", "prop", "filler"], "left_anti")
-
-
-def relaxed(ont: Ontology) -> DataFrame:
-    """subject, object: the subclass statements that equivalences imply: named ones both ways, a restriction or what an intersection
-    holds as a superclass; those asserted already are left out."""
-    eq = ont.with_p(V.EQUIVALENT).where("s_kind = 'iri'")
-    named = eq.where("o_kind = 'iri' AND s <> o")
-    pairs = named.select(F.col("s").alias("subject"), F.col("o").alias("object")).unionByName(named.select(F.col("o").alias("subject"), F.col("s").alias("object")))
-    texts = ont.expressions.where("op IN ('some', 'all')").select(F.col("expr").alias("o"), "label").distinct()
-    into = eq.where("o_kind = 'bnode'").join(texts, "o").select(F.col("s").alias("subject"), F.col("label").alias("object"))
-    parts = ont.members.join(ont.with_p(V.INTERSECTION).select(F.col("s").alias("expr")), "expr", "left_semi")
-    members = eq.where("o_kind = 'bnode'").select(F.col("s").alias("subject"), F.col("o").alias("expr")).join(parts, "expr").select("subject", F.col("member").alias("object"))
+    """subject, object: subclass statements with an expression on the right that stay when those go that others imply.
+
+    A statement is implied if the subject is under an expression, said of it or of what it is under, that is under this one: by the same or narrower fillers, by
+    properties below, by more conjuncts, as saturated() finds. Of statements that imply each other about one subject the first by code point stays.
+    """
+    own = settle(ont.axioms.where("ax_type = 'SubClassOf' AND object_kind = 'bnode' AND subject_kind = 'iri'").select("subject", "object").distinct(), "own")
+    above = settle(graph.closure(told(ont)).where("child <> parent").select(F.col("child").alias("subject"), F.col("parent").alias("over")), "above")
+    back = above.select(F.col("subject").alias("over"), F.col("over").alias("subject"), F.lit(True).alias("back"))
+    over = above.join(back, ["subject", "over"], "left").where("back IS NULL OR over < subject")  # of classes that are the same the first keeps what is said
+    about = own.select("subject", "object", F.lit(True).alias("self")).unionByName(over.join(own.withColumnRenamed("subject", "over"), "over").select("subject", "object", F.lit(False).alias("self")))
+    about = settle(about.distinct(), "about")
+    wide = saturated(ont).where("x <> y").select(F.col("x").alias("object"), F.col("y").alias("target"))
+    narrower = about.join(wide, "object").select("subject", F.col("object").alias("by"), F.col("target").alias("object"), "self")
+    same = about.where("NOT self").select("subject", F.col("object").alias("by"), "object", "self")
+    hits = own.join(narrower.unionByName(same), ["subject", "object"])
+    mutual = wide.select("object", F.col("target").alias("by"), F.lit(True).alias("mutual"))
+    hits = hits.join(mutual, ["object", "by"], "left").where("NOT self OR mutual IS NULL OR by < object")
+    return own.join(hits.select("subject", "object").distinct(), ["subject", "object"], "left_anti")
+
+
+def relaxed(ont: Ontology, include_subclass: bool = False, exclude_named: bool = False, obo_only: bool = False) -> DataFrame:
+    """subject, object: the subclass statements that equivalences of named classes imply, by texts: of an expression the named classes and existential restrictions that
+    it is or that it holds as an intersection, at any level. A cardinality over 0 (at most, too) counts as an existential restriction.
+
+    include_subclass: subclass statements with expressions are treated alike. exclude_named: equivalences between named classes are left out. obo_only: no restrictions of
+    anonymous fillers or properties. What is asserted already, and links of a class to itself, are left out.
+    """
+    ax = ont.axioms.where("object_kind IN ('iri', 'bnode')")
+    eq = ax.where("ax_type = 'EquivalentClasses'").select("subject", "subject_kind", "object", "object_kind")
+    both = eq.unionByName(eq.select(F.col("object").alias("subject"), F.col("object_kind").alias("subject_kind"), F.col("subject").alias("object"), F.col("subject_kind").alias("object_kind")))
+    if include_subclass:
+        both = both.unionByName(ax.where("ax_type = 'SubClassOf' AND object_kind = 'bnode'").select("subject", "subject_kind", "object", "object_kind"))
+    both = both.where("subject_kind = 'iri'" + (" AND object_kind = 'bnode'" if exclude_named else "")).select("subject", "object", "object_kind").distinct()
+    texts = ont.labels.select(F.col("node").alias("part"), "text")
+    of_text = ont.expressions.where("label IS NOT NULL").select("expr", "op", "prop", "n", "label").distinct()
+    parts = ont.parts.join(texts, "part", "left").select("expr", "role", F.coalesce("text", "part").alias("part"), "part_kind").distinct()
+    held = settle(parts.where("role = 'part'").join(of_text.where("op = 'and'"), "expr").select(F.col("label").alias("object"), "part", "part_kind").distinct(), "held")
+    named = F.max(F.when(F.col("part_kind") == "bnode", 1).otherwise(0)) == 0
+    filled = parts.join(of_text.where("op = 'some' OR (op IN ('min', 'max', 'exact') AND cast(n AS bigint) > 0)"), "expr").groupBy("expr", "label").agg(
+        F.max(F.when(F.col("role") == "prop", F.col("part"))).alias("on"), F.max(F.when(F.col("role") == "part", F.col("part"))).alias("of"), named.alias("plain")
+    )
+    some = filled.where("plain" if obo_only else "true").select(F.col("label").alias("object"), F.concat(F.lit("some("), "on", F.lit(" "), "of", F.lit(")")).alias("as_some")).distinct()
+    front, found = both, []
+    while not front.isEmpty():  # a round for each level of intersections in intersections
+        found.append(front)
+        front = settle(front.where("object_kind = 'bnode'").join(held, "object").select("subject", F.col("part").alias("object"), F.col("part_kind").alias("object_kind")).distinct(), "opened")
+    every = reduce(DataFrame.unionByName, found or [both])
+    out = every.where("object_kind = 'iri'").select("subject", "object").unionByName(every.join(settle(some, "some"), "object").select("subject", F.col("as_some").alias("object")))
     asserted = ont.axioms.where("ax_type = 'SubClassOf'").select("subject", "object")
-    return pairs.unionByName(into).unionByName(members).distinct().join(asserted, ["subject", "object"], "left_anti")
+    return out.where("subject <> object").distinct().join(asserted, ["subject", "object"], "left_anti")
 
 
 def materialized(ont: Ontology, properties: list[str] | None = None) -> DataFrame:
@@ -229,6 +318,74 @@ def inferred_property_axioms(ont: Ontology) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+#: generator -> kind of property and axiom type, for what inferred_property_axioms() finds
+_OF_PROPERTIES = {
+    "subobjectproperty": ("object-property", "SubPropertyOf"), "subdataproperty": ("data-property", "SubPropertyOf"), "inverseobjectproperties": ("object-property", "InverseProperties"),
+    "objectpropertydomain": ("object-property", "PropertyDomain"), "objectpropertyrange": ("object-property", "PropertyRange"),
+}
+GENERATORS = ["subclass", "equivalentclass", "classassertion", "propertyassertion", "equivalentobjectproperty", "equivalentdataproperty", "objectpropertycharacteristic", "datapropertycharacteristic", *_OF_PROPERTIES]
+
+
+def _generated(ont: Ontology, generator: str, indirect: bool) -> DataFrame:
+    row = lambda df, kind, s, o: df.select(F.lit(kind).alias("ax_type"), F.col(s).alias("subject"), F.col(o).alias("object"))
+    classes = ont.declared.where("kind = 'class'").select(F.col("iri").alias("child"))
+    if generator == "subclass":
+        links = settle(inferred(ont, indirect).select("child", "parent"), "links")
+        top = classes.join(links, "child", "left_anti").withColumn("parent", F.lit(V.THING))
+        return row(links.unionByName(top), "SubClassOf", "child", "parent")
+    if generator == "equivalentclass":
+        return row(equivalences(ont, "none"), "EquivalentClasses", "a", "b")
+    if generator == "classassertion":
+        return row(realized(ont), "ClassAssertion", "individual", "cls")
+    if generator == "propertyassertion":
+        return property_assertions(ont).select(F.lit("ObjectPropertyAssertion").alias("ax_type"), "subject", "object", F.col("prop").alias("property"))
+    kind = "data-property" if "data" in generator else "object-property"
+    own = ont.declared.where(F.col("kind") == kind).select(F.col("iri").alias("subject"))
+    if generator.endswith("characteristic"):
+        return ont.axioms.where(F.col("ax_type").isin(*CHARACTERISTICS.values())).join(own, "subject", "left_semi").select("ax_type", "subject", "object")
+    if generator.startswith("equivalent"):
+        above = _above(ont).where("prop <> over")
+        mutual = above.join(above.select(F.col("over").alias("prop"), F.col("prop").alias("over")), ["prop", "over"], "left_semi").where("prop < over")
+        return row(mutual, "EquivalentProperties", "prop", "over").join(own, "subject", "left_semi")
+    kind, ax_type = _OF_PROPERTIES[generator]
+    return inferred_property_axioms(ont).where(F.col("ax_type") == ax_type).join(own, "subject", "left_semi")
+
+
+def inferred_axioms(
+    ont: Ontology, generators: list[str] = ("subclass",), indirect: bool = False, exclude_duplicates: bool = False, exclude_external: bool = False, exclude_thing: bool = False, exclude_tautologies: bool = False, annotate: bool = False
+) -> DataFrame:
+    """ax_type, subject, property, object, notes: what the generators (of GENERATORS) find, each axiom once.
+
+    indirect: subclass links to all superclasses. A class that is under no other is under Thing. exclude_duplicates: without what the ontology says, and without Thing;
+    exclude_external: without class axioms of classes that the ontology declares none of; exclude_thing: without axioms that name Thing;
+    exclude_tautologies: without those that hold by their form. annotate: axioms get is_inferred "true" as a note.
+    """
+    if unknown := [g for g in generators if g not in GENERATORS]:
+        raise ValueError(f"unknown generators {unknown}")
+    of_type = {v: k for k, v in AXIOM_TYPES.items()} | dict.fromkeys([*CHARACTERISTICS.values(), "ClassAssertion"], V.TYPE)
+    found = []
+    for g in generators:
+        rows = _generated(ont, g, indirect)
+        found.append(rows if "property" in rows.columns else rows.withColumn("property", case("ax_type", of_type, F.lit(None))))
+    out = reduce(DataFrame.unionByName, [f.select("ax_type", "subject", "property", "object") for f in found]).distinct()
+    if exclude_external:
+        declared = ont.declared.select("iri").distinct()
+        own = lambda c: out.join(declared.withColumnRenamed("iri", c), c, "left_semi")
+        inside = own("subject").unionByName(own("object")).distinct()
+        kinds = F.col("ax_type").isin("SubClassOf", "EquivalentClasses", "DisjointClasses")
+        out = out.where(~kinds).unionByName(inside.where(kinds))
+    if exclude_duplicates:
+        said = ont.axioms.select("ax_type", "subject", "property", "object")
+        mutual = said.where(F.col("ax_type").isin("EquivalentClasses", "EquivalentProperties", "InverseProperties")).select("ax_type", F.col("object").alias("subject"), "property", F.col("subject").alias("object"))
+        out = out.join(said.unionByName(mutual).distinct(), ["ax_type", "subject", "property", "object"], "left_anti")
+    if exclude_duplicates or exclude_thing:
+        out = out.where((F.col("subject") != V.THING) & (F.col("object") != V.THING))
+    if exclude_tautologies:
+        out = out.where(~axfilter.structural_tautology())
+    note = F.array(F.lit(f"{V.IS_INFERRED}=true")) if annotate else F.array().cast("array<string>")
+    return out.withColumn("notes", note)
+
+
 def property_assertions(ont: Ontology) -> DataFrame:
     """subject, prop, object: what named things are said to be related to by object properties, and by superproperties and stated
     inverses of these."""

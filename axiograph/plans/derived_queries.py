@@ -50,16 +50,16 @@ _TOLD = f"told AS (SELECT child, parent FROM e WHERE kind = 'class' AND o_kind =
 _ABOVE = f"{_TOLD}, up AS (SELECT child, parent FROM told UNION SELECT up.child, x.parent FROM up JOIN told x ON x.child = up.parent)"
 _SOME = f"sm AS (SELECT DISTINCT x.s AS cls, r.o AS prop, f.o AS filler FROM t x JOIN t r ON x.o = r.s JOIN t f ON f.s = x.o WHERE x.p IN {_in([V.SUBCLASS, V.EQUIVALENT])} AND x.s_kind = 'iri' AND x.o_kind = 'bnode' AND r.p = '{V.ON_PROPERTY}' AND f.p = '{V.SOME}')"
 query("rsn_05_told_hierarchy", f", {_ABOVE} SELECT child, parent FROM up WHERE child <> parent", True)(lambda o: graph.closure(reason.told(o)).where("child <> parent"))
-query("rsn_10_relax", f""", sub AS (SELECT DISTINCT subject, object FROM ax WHERE ax_type = 'SubClassOf'), lst AS (SELECT o AS head, o AS node FROM t WHERE p IN {_in([V.INTERSECTION, V.UNION])} UNION SELECT lst.head, x.o FROM lst JOIN t x ON x.s = lst.node AND x.p = '{V.RDF}rest' WHERE x.o <> '{V.RDF}nil'),
-    mem AS (SELECT DISTINCT head, x.o AS member FROM lst JOIN t x ON x.s = lst.node AND x.p = '{V.RDF}first'), rel AS (
-    SELECT s AS subject, o AS object FROM t WHERE p = '{V.EQUIVALENT}' AND s_kind = 'iri' AND o_kind = 'iri' AND s <> o UNION SELECT o, s FROM t WHERE p = '{V.EQUIVALENT}' AND s_kind = 'iri' AND o_kind = 'iri' AND s <> o
-    UNION SELECT t.s, ex.label FROM t JOIN ex ON t.o = ex.expr WHERE t.p = '{V.EQUIVALENT}' AND t.s_kind = 'iri' AND ex.op IN ('some', 'all')
-    UNION SELECT t.s, mem.member FROM t JOIN t i ON i.s = t.o AND i.p = '{V.INTERSECTION}' JOIN mem ON mem.head = i.o WHERE t.p = '{V.EQUIVALENT}' AND t.s_kind = 'iri')
-    SELECT subject, object FROM rel WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.subject = rel.subject AND sub.object = rel.object)""", True)(reason.relaxed)
+query("rsn_10_relax", f""", rl AS (SELECT s AS subject, o AS node, o_kind AS kind FROM t WHERE p = '{V.EQUIVALENT}' AND s_kind = 'iri' UNION SELECT o, s, s_kind FROM t WHERE p = '{V.EQUIVALENT}' AND o_kind = 'iri'
+        UNION SELECT rl.subject, li.member, li.kind FROM rl JOIN li ON li.owner = rl.node AND li.p = '{V.INTERSECTION}'),
+    rel AS (SELECT subject, node AS object FROM rl WHERE kind = 'iri' UNION SELECT subject, 'some(' || rs.prop || ' ' || coalesce(ex.label, rs.filler) || ')' FROM rl JOIN rs ON rs.expr = rl.node LEFT JOIN ex ON ex.expr = rs.filler WHERE rs.op = 'some' OR (rs.op IN ('min', 'max', 'exact') AND CAST(rs.n AS BIGINT) > 0))
+    SELECT subject, object FROM rel WHERE subject <> object AND NOT EXISTS (SELECT 1 FROM ax WHERE ax_type = 'SubClassOf' AND ax.subject = rel.subject AND ax.object = rel.object)""", True)(reason.relaxed)
+query("rsn_12_unsatisfiable_properties")(reason.unsatisfiable_properties)
+query("rsn_04_realized")(reason.realized)
 query("rsn_11_materialize", f""", {_ABOVE}, {_SOME}, pr AS (SELECT child, parent FROM e WHERE kind = 'property' UNION SELECT pr.child, x.parent FROM pr JOIN e x ON x.kind = 'property' AND x.child = pr.parent),
     own AS (SELECT up.child AS cls, prop, filler FROM up JOIN sm ON sm.cls = up.parent WHERE up.child <> up.parent UNION SELECT cls, prop, filler FROM sm), wide AS (SELECT * FROM own UNION SELECT cls, pr.parent, filler FROM own JOIN pr ON pr.child = own.prop)
     SELECT cls, prop, filler FROM wide WHERE filler <> cls AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.cls = wide.cls AND sm.prop = wide.prop AND sm.filler = wide.filler)""", True)(reason.materialized)
-query("rsn_08_reduce_expressions", f""", {_ABOVE}, {_SOME.replace(_in([V.SUBCLASS, V.EQUIVALENT]), _in([V.SUBCLASS]))} SELECT cls, prop, filler FROM sm WHERE NOT EXISTS (SELECT 1 FROM up JOIN sm y ON y.cls = up.parent WHERE up.child = sm.cls AND up.child <> up.parent AND y.prop = sm.prop AND y.filler = sm.filler)""", True)(reason.reduced_expressions)
+query("rsn_08_reduce_expressions")(reason.reduced_expressions)
 _CE_NAMED = "cn AS (SELECT DISTINCT child, parent FROM e WHERE kind = 'class' AND o_kind = 'iri')"
 query("rsn_09_reduce_named", f""", {_CE_NAMED}, cl AS (SELECT child, parent FROM cn UNION SELECT cl.child, x.parent FROM cl JOIN cn x ON x.child = cl.parent)
     SELECT child, parent FROM cn WHERE NOT EXISTS (SELECT 1 FROM cn v JOIN cl ON cl.child = v.parent AND cl.parent = cn.parent WHERE v.child = cn.child AND v.parent <> cn.parent

@@ -113,6 +113,13 @@ query(
     UNION SELECT CASE WHEN t.p = '{V.DOMAIN}' THEN 'PropertyDomain' ELSE 'PropertyRange' END, ab.prop, t.o FROM t JOIN ab ON ab.over = t.s WHERE t.p IN {_in([V.DOMAIN, V.RANGE])} AND t.o_kind = 'iri'""",
     True,
 )(reason.inferred_property_axioms)
+query(
+    "rsn_05_generated",
+    f""", {_PROPS}, {_INVERSE}, op2 AS (SELECT iri FROM decl WHERE kind = 'object-property'), g AS (SELECT 'SubPropertyOf' AS ax_type, prop AS subject, '{V.SUBPROPERTY}' AS property, over AS object FROM ab WHERE prop <> over UNION SELECT 'InverseProperties', prop, '{V.INVERSE}', back FROM iv
+    UNION SELECT CASE WHEN t.p = '{V.DOMAIN}' THEN 'PropertyDomain' ELSE 'PropertyRange' END, ab.prop, t.p, t.o FROM t JOIN ab ON ab.over = t.s WHERE t.p IN {_in([V.DOMAIN, V.RANGE])} AND t.o_kind = 'iri')
+    SELECT *, '{V.IS_INFERRED}=true' AS notes FROM g WHERE subject IN (SELECT iri FROM op2) AND NOT EXISTS (SELECT 1 FROM ax WHERE ax.ax_type = g.ax_type AND ((ax.subject = g.subject AND ax.object = g.object) OR (ax.ax_type = 'InverseProperties' AND ax.subject = g.object AND ax.object = g.subject)))""",
+    True,
+)(lambda o: reason.inferred_axioms(o, ["subobjectproperty", "objectpropertydomain", "objectpropertyrange", "inverseobjectproperties"], exclude_duplicates=True, annotate=True).withColumn("notes", F.array_join("notes", "|")))
 query(
     "rsn_03_property_assertions",
     f""", {_PROPS}, {_INVERSE}, step AS (SELECT prop, over AS next, false AS flip FROM ab UNION SELECT prop, back, true FROM iv),

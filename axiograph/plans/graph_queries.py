@@ -94,7 +94,7 @@ op AS (SELECT {_case("k.o", {V.ALL_DISJOINT: "DisjointClasses", V.ALL_DISJOINT_P
        FROM mt JOIN t k ON k.s = mt.owner AND k.p = '{V.TYPE}' WHERE mt.p IN {_in([V.MEMBERS, V.DISTINCT_MEMBERS])} GROUP BY k.o, mt.p, owner
        UNION ALL SELECT 'SubPropertyChainOf', owner, p, 'chain(' || string_agg(text, ' ' ORDER BY pos) || ')', owner FROM mt WHERE p = '{V.CHAIN}' GROUP BY owner, p
        UNION ALL SELECT CASE WHEN p = '{V.KEY}' THEN 'HasKey' ELSE 'DisjointUnion' END, owner, p, 'list(' || string_agg(DISTINCT text, ' ' ORDER BY text) || ')', owner FROM mt WHERE p IN {_in([V.KEY, V.DISJOINT_UNION])} GROUP BY owner, p),
-ax AS (SELECT DISTINCT ax_type, subject, property, object, object_kind, dt, lang, notes FROM ax0 WHERE ax_type <> 'Ontology' UNION SELECT ax_type, subject, property, object, 'list', '', '', '' FROM op),
+ax AS MATERIALIZED (SELECT DISTINCT ax_type, subject, property, object, object_kind, dt, lang, notes FROM ax0 WHERE ax_type <> 'Ontology' UNION SELECT ax_type, subject, property, object, 'list', '', '', '' FROM op),
 axr AS (SELECT * FROM ax0 WHERE ax_type <> 'Ontology'),
 sig AS (SELECT * FROM (SELECT ax_type, subject, property, object, object_kind, dt, lang, notes, raw_s AS node FROM axr WHERE s_kind = 'iri'
         UNION SELECT ax_type, subject, property, object, object_kind, dt, lang, notes, property FROM axr WHERE ax_type LIKE '%Assertion' AND property <> '{V.TYPE}'
@@ -234,7 +234,7 @@ axioms_of("axf_04_external", lambda o: axfilter.of_type(o.axioms, ["external"],
 query("axf_05_subjects", "SELECT ax_type, CAST(count(DISTINCT subject) AS BIGINT) AS n_subjects FROM ax GROUP BY ax_type")(lambda o: o.axioms.groupBy("ax_type").agg(F.countDistinct("subject").alias("n_subjects")))
 axioms_of("axf_07_structural_tautologies", lambda o: axfilter.of_type(o.axioms, ["structural-tautologies"]), f"{_OUT} WHERE (ax_type IN ('SubClassOf', 'EquivalentClasses', 'SubPropertyOf', 'EquivalentProperties') AND subject = object) OR (ax_type IN ('SubClassOf', 'ClassAssertion', 'PropertyDomain', 'PropertyRange') AND object = '{V.THING}')")
 axioms_of("axf_08_partial", lambda o: axfilter.partial(o.axioms, _nodes(o, "nation")), f"SELECT DISTINCT ax_type, subject, property, object FROM sig WHERE {starts('nation')}")
-axioms_of("axf_09_partial_with_anonymous", lambda o: axfilter.partial(o.axioms, o.axioms.where("object LIKE 'some(%'").select(F.col("object").alias("node")), named_only=False), f"{_OUT} WHERE starts_with(object, 'some(') AND object_kind = 'bnode'")
+axioms_of("axf_09_partial_with_anonymous", lambda o: axfilter.partial(o.axioms, o.axioms.where("object LIKE 'some(%'").select(F.col("object").alias("node")), named_only=False), "SELECT DISTINCT ax_type, subject, property, object FROM axr JOIN (SELECT expr, expr AS node FROM ex UNION SELECT expr, node FROM inn WHERE kind = 'bnode') z ON z.expr IN (raw_s, raw_o) JOIN ex ON ex.expr = z.node WHERE ex.label IN (SELECT object FROM ax WHERE starts_with(object, 'some('))")
 _COMPLETE = "SELECT DISTINCT ax_type, subject, property, object FROM ax x WHERE NOT EXISTS (SELECT 1 FROM sig g WHERE g.ax_type = x.ax_type AND g.subject = x.subject AND g.property = x.property AND g.object = x.object AND NOT ({}))"
 axioms_of("axf_10_complete", lambda o: axfilter.complete(axfilter.of_type(o.axioms, ["tbox", "declaration"]), _nodes(o, "nation").unionByName(_nodes(o, "region"))), _COMPLETE.format(f"{starts('nation', 'g.node')} OR {starts('region', 'g.node')}") + f" AND ax_type IN {_in([*GROUPS['tbox'], 'Declaration'])}")
 axioms_of("axf_11_complete_with_anonymous", lambda o: axfilter.complete(axfilter.of_type(o.axioms, ["equivalent"]), _nodes(o, "part"), named_only=False), _COMPLETE.format(starts("part", "g.node")) + " AND ax_type IN ('EquivalentClasses', 'EquivalentProperties') AND object_kind = 'iri'")
@@ -299,7 +299,18 @@ query("set_01_merge", _T)(lambda o: _shown(setops.merge(o.rows.where(~F.col("s")
 query("set_02_defined_by", f"SELECT DISTINCT iri AS s, '{V.DEFINED_BY}' AS p, '{EX}onto' AS o FROM decl")(lambda o: setops.defined_by(o, EX + "onto").select("s", "p", "o"))
 query("set_03_derived_from", f"SELECT DISTINCT ax_type, subject, property, object, dt, lang, CASE WHEN notes = '' THEN '' ELSE notes || '|' END || '{V.PROV}wasDerivedFrom={EX}onto/1' AS notes FROM ax WHERE ax_type = 'SubClassOf'")(lambda o: setops.derived_from(o.axioms.where("ax_type = 'SubClassOf'"), EX + "onto/1").select(*_AX, "dt", "lang", F.array_join("notes", "|").alias("notes")))
 query("set_04_unmerge", f"{_T} WHERE NOT ({_A}) AND NOT ({_B})")(lambda o: _shown(setops.unmerge(o.rows, _half(o, "supplier"), _half(o, "customer"), shared=True)))
-query("set_05_diff", f"SELECT CASE WHEN {_A} THEN 'left' ELSE 'right' END AS side, s, p, o, o_dt, o_lang FROM t WHERE {_A} OR {_B}")(lambda o: (lambda d: d.select("side", *[F.coalesce(c, F.lit("")).alias(c) for c in ("s", "p", "o", "o_dt", "o_lang")]))(setops.diff(o.rows.where(~F.col("s").startswith(EX + "customer")), o.rows.where(~F.col("s").startswith(EX + "supplier")))))
+query("set_05_diff", f"SELECT CASE WHEN {_A} THEN 'left' ELSE 'right' END AS side, s, p, o, o_dt, o_lang FROM t WHERE {_A} OR {_B}")(lambda o: (lambda d: d.select("side", *[F.coalesce(c, F.lit("")).alias(c) for c in ("s", "p", "o", "o_dt", "o_lang")]))(setops.diff(o.rows.where(~F.col("s").startswith(EX + "customer")), o.rows.where(~F.col("s").startswith(EX + "supplier")), shared=True)))
+
+
+def _other_load(ont: Ontology) -> Ontology:
+    """The same ontology with other names of blank nodes, without what is said of suppliers."""
+    renamed = [F.when(F.col(f"{c}_kind") == "bnode", F.concat(F.lit("_:other"), F.substring(c, 3, 1000))).otherwise(F.col(c)).alias(c) for c in "so"]
+    return Ontology(ont.rows.where(~F.col("s").startswith(EX + "supplier/")).select(renamed[0], "s_kind", "p", renamed[1], "o_kind", "o_dt", "o_lang"))
+
+
+query("set_05_axiom_diff", f"SELECT DISTINCT 'left' AS side, ax_type, subject, property, object, dt, lang FROM ax WHERE {starts('supplier', 'subject')}")(lambda o: setops.axiom_diff(o, _other_load(o)).select("side", *_AX, "dt", "lang").distinct())
+query("set_01_merged_axioms", "SELECT ax_type, count(*) AS n FROM (SELECT DISTINCT ax_type, subject, property, object, object_kind, dt, lang, notes FROM ax) x GROUP BY ax_type")(lambda o: setops.merged_axioms(o, _other_load(o)).groupBy("ax_type").agg(F.count("*").alias("n")))
+query("src_09_unconsumed", "SELECT s, p, o FROM t WHERE s_kind = 'bnode' AND s NOT IN (SELECT expr FROM ex) AND s NOT IN (SELECT node FROM lc) AND s NOT IN (SELECT owner FROM op) AND s NOT IN (SELECT a.s FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s WHERE a.p = '" + V.ANN_SOURCE + "' AND b.p = '" + V.ANN_PROPERTY + "' AND c.p = '" + V.ANN_TARGET + "')")(lambda o: o.unconsumed())
 _LABELS = f"(SELECT s AS iri, arg_min(o, (o_lang, o)) AS label FROM t WHERE p = '{V.LABEL}' AND s_kind = 'iri' GROUP BY s)"
 query("set_07_labelled_diff", f"SELECT CASE WHEN a.label IS NULL THEN child ELSE '<' || child || '>[' || a.label || ']' END AS child, CASE WHEN b.label IS NULL THEN parent ELSE '<' || parent || '>[' || b.label || ']' END AS parent FROM (SELECT DISTINCT child, parent FROM ce) x LEFT JOIN {_LABELS} a ON a.iri = child LEFT JOIN {_LABELS} b ON b.iri = parent")(lambda o: setops.labelled(o.edges.where("kind = 'class'").select("child", "parent").distinct(), terms.labels(o.rows), ["child", "parent"]))
 

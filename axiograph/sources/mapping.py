@@ -58,6 +58,7 @@ def _tables() -> list[str]:
     return [
         # zones: axioms without a named subject, of several operands and with every constructor
         cls("region", zone), _row("region", zone, V.SUBCLASS, region), _row("region", site, V.TYPE, f"'{V.INDIVIDUAL}'"), _row("region", site, V.TYPE, zone),
+        b_row("region", blank("lost", "r_regionkey"), V.SOME, zone),  # a filler without a property, which no axiom takes up
         b_row("region", blank("zl", "r_regionkey"), V.FIRST, zone), b_row("region", blank("zl", "r_regionkey"), V.REST, blank("zl", "r_regionkey + 1"), "bnode", where=not_last), b_row("region", blank("zl", "r_regionkey"), V.REST, f"'{V.NIL}'", where="r_regionkey = 4"),
         b_row("region", blank("gz", "r_regionkey"), V.SUBCLASS, iri("within", "r_regionkey")), cls("region", iri("within", "r_regionkey")), b_row("region", blank("gz", "r_regionkey"), V.ON_PROPERTY, f"'{_EX}part_of'"), b_row("region", blank("gz", "r_regionkey"), V.SOME, zone),
         _row("region", zone, V.SUBCLASS, blank("nz", "r_regionkey"), "bnode"), b_row("region", blank("nz", "r_regionkey"), V.COMPLEMENT, next_zone),
