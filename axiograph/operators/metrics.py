@@ -132,10 +132,12 @@ def nominals_and_gcis(ont: Ontology) -> DataFrame:
 
 
 def reasoner_metrics(ont: Ontology) -> DataFrame:
-    """Unsatisfiable classes, and whether no individual is of one."""
+    """Whether no individual is of an unsatisfiable class, and the number of these classes: -1 if one is, as then every class is."""
     bad = settle(reason.unsatisfiable(ont), "unsatisfiable")
     typed = ont.with_p(V.TYPE).join(bad.select(F.col("iri").alias("o")), "o", "left_semi")
-    return _single(bad, unsatisfiable_class_count=F.count("*")).unionByName(_single(typed, consistent=F.count("*") == 0))
+    both = bad.select(F.lit(True).alias("is_class")).unionByName(typed.select(F.lit(False).alias("is_class")))
+    wrong = F.count(F.when(~F.col("is_class"), 1)) > 0
+    return _single(both, unsatisfiable_class_count=F.when(wrong, -1).otherwise(F.count(F.when(F.col("is_class"), 1))), consistent=~wrong)
 
 
 def measure(ont: Ontology, kind: str = "essential", prefixes: dict[str, str] | None = None) -> DataFrame:
