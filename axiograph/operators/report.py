@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from axiograph.functions import terms
 from axiograph.operators import rules
+from axiograph.sources import files
 
 LEVELS = ["ERROR", "WARN", "INFO"]
 _CUSTOM: dict[str, Callable[[rules.Graph], DataFrame]] = {}
@@ -52,6 +53,30 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("level").agg(F.count("*").alias("violations"))
 
 
+def summary(rows: DataFrame) -> str:
+    """The numbers of violations, in all and for each level, as a text of some lines."""
+    n = {r["level"]: r["violations"] for r in totals(rows).collect()}  # a row for each level
+    if not n:
+        return "No violations found."
+    head = f"Violations: {sum(n.values())}"
+    return "\n".join([head, "-" * len(head), *[f"{k + ':':<7}{n.get(k, 0)}" for k in LEVELS]])
+
+
+def table(rows: DataFrame) -> DataFrame:
+    """The report as a table of texts: Level, Rule Name, Subject, Property, Value, the gravest level first, rules by name within a level. Sorted by ranges,
+    so a rule with very many violations is in several files, which follow each other."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level"))
+    ordered = rows.withColumn("rank_", rank).orderBy("rank_", "rule", "entity", "property", "value")
+    return ordered.select(F.col("level").alias("Level"), F.col("rule").alias("Rule Name"), F.coalesce("entity", F.lit("")).alias("Subject"), F.coalesce("property", F.lit("")).alias("Property"), F.coalesce("value", F.lit("")).alias("Value"))
+
+
+def write(rows: DataFrame, path: str, fmt: str | None = None) -> str:
+    """Write the report as tsv, csv, html, yaml, json or parquet, by the ending of path (else tsv) or fmt; gives its summary()."""
+    ending = path.rsplit("/", 1)[-1].rpartition(".")
+    files.write_rows(table(rows), path, (fmt or (ending[2] if ending[1] else "tsv")).lower())
+    return summary(rows)
+
+
 def fails(rows: DataFrame, at: str) -> bool:
     """True if a violation is at the level `at` or above; "none" never fails."""
     if at.upper() == "NONE":

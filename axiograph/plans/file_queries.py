@@ -177,6 +177,16 @@ def _failing(ont: Ontology) -> DataFrame:
     return ont.spark.createDataFrame([(level, report.fails(rows, level)) for level in ("none", "error", "warn", "info")], "fail_on string, fails boolean")
 
 
+
+
+def _report_file(ont: Ontology) -> DataFrame:
+    """The report written as a table with tabs and read again."""
+    path = f"{store.new_path(ont.spark, 'report')}.tsv"
+    report.write(report.report(ont.triples, _PROFILE), path)
+    return files.read_rows(ont.spark, path, "tsv").toDF("level", "rule", "entity", "property", "value")
+
+
+query("snk_11_report_file", f", {_report_sql()} SELECT level, rule, coalesce(entity, '') AS entity, coalesce(property, '') AS property, coalesce(value, '') AS value FROM rep")(_report_file)
 query("rpt_03_fail_on", f", {_report_sql()} SELECT 'none' AS fail_on, false AS fails UNION ALL SELECT 'error', count(*) FILTER (level = 'ERROR') > 0 FROM rep UNION ALL SELECT 'warn', count(*) FILTER (level IN ('ERROR', 'WARN')) > 0 FROM rep UNION ALL SELECT 'info', count(*) > 0 FROM rep")(_failing)
 query("prj_07_sorted_top", f", {_LB} SELECT c.iri AS iri, coalesce(lb.label, '') AS label FROM (SELECT iri FROM decl WHERE kind = 'class') c LEFT JOIN lb ON lb.iri = c.iri ORDER BY coalesce(lb.label, '') = '', label, c.iri DESC LIMIT 100")(
     lambda o: export.sorted_table(_table(o, ["IRI", "LABEL"], ["classes"]), ["^iri", "label"]).limit(100)

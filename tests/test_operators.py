@@ -52,6 +52,18 @@ def test_report(spark):
         report.read_profile("LOUD\tlabel_whitespace")
 
 
+def test_report_files(spark, tmp_path):
+    rows = spark.createDataFrame([("WARN", "b", "x", "p", 'a "b"\tc'), ("ERROR", "z", "y", None, "<v>"), ("ERROR", "a", "x", "p", None), ("INFO", "c", "it's", "p", "1")], "level string, rule string, entity string, property string, value string")
+    said = report.write(rows, f"{tmp_path}/r.tsv")
+    assert said == "Violations: 4\n-------------\nERROR: 2\nWARN:  1\nINFO:  1"
+    assert [tuple(r) for r in report.table(rows).collect()] == [("ERROR", "a", "x", "p", ""), ("ERROR", "z", "y", "", "<v>"), ("WARN", "b", "x", "p", 'a "b"\tc'), ("INFO", "c", "it's", "p", "1")]
+    assert found(files.read_rows(spark, f"{tmp_path}/r.tsv", "tsv")) == found(report.table(rows))
+    for ending, part in (("html", "<td>&lt;v&gt;</td>"), ("yaml", "Subject: 'it''s'"), ("json", '"Rule Name":"z"')):
+        report.write(rows, f"{tmp_path}/r.{ending}")
+        assert part in "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/r.{ending}").collect())
+    assert report.write(rows.limit(0), f"{tmp_path}/none", "csv") == "No violations found."
+
+
 def test_repair(spark):
     rows = [(C("new"), V.TYPE, V.CLASS), (C("old"), V.TYPE, V.CLASS), (C("old"), V.DEPRECATED, ("true", V.XSD_BOOLEAN, None)), (C("old"), V.REPLACED_BY, C("new")), (C("x"), V.SUBCLASS, C("old")), (C("old"), V.XREF, S("R:1"))]
     ont = Ontology(triples_of(spark, rows))
