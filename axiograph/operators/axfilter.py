@@ -15,7 +15,8 @@ ALL_TYPES = sorted({"Declaration", "AnnotationAssertion", *GROUPS["logical"]})
 
 
 def _internal(bases: list[str]) -> Column:
-    own = F.when(F.size("operands") > 0, F.array_union("operands", F.array("subject"))).otherwise(F.array("subject"))
+    several = F.col("ax_type").isin("DisjointClasses", "DisjointProperties", "DifferentIndividuals") & (F.size("operands") > 0)  # all operands are subjects
+    own = F.when(several, F.col("operands")).otherwise(F.array("subject"))
     return F.exists(own, lambda x: reduce(lambda a, b: a | b, [x.startswith(b) for b in bases], F.lit(False)))
 
 

@@ -113,9 +113,10 @@ def rdfs_only(ont: Ontology) -> DataFrame:
 
 
 def el_profile(ont: Ontology) -> DataFrame:
-    """Whether the EL profile's constructors suffice, and how many axioms stand against it."""
-    outside = F.col("ax_type").isin("InverseProperties", "SymmetricProperty", "AsymmetricProperty", "IrreflexiveProperty", "FunctionalProperty", "InverseFunctionalProperty") | F.col("object").startswith("all(") | F.col("object").startswith("or(")
-    return _single(ont.axioms, el_violation_count=F.count(F.when(outside, 1)), owl2_el=F.count(F.when(outside, 1)) == 0)
+    """Whether the ontology is in the profiles EL, QL and RL, and how many axioms stand against EL."""
+    wrong = reduce(DataFrame.unionByName, [reason.profile_violations(ont, p).select(F.lit(p).alias("profile")) for p in ("EL", "QL", "RL")])
+    n = lambda p: F.count(F.when(F.col("profile") == p, 1))
+    return _single(wrong, el_violation_count=n("EL"), owl2_el=n("EL") == 0, owl2_ql=n("QL") == 0, owl2_rl=n("RL") == 0)
 
 
 def most_frequent_class(ont: Ontology) -> DataFrame:

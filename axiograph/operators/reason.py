@@ -418,24 +418,56 @@ def subset(ont: Ontology, nodes: DataFrame) -> DataFrame:
     return links.unionByName(both.select(F.col("cls").alias("subject"), "prop", F.col("filler").alias("object"))).distinct()
 
 
-#: axiom types and constructors that each profile leaves out, of those the tables hold
+#: axiom types that each profile leaves out
 _OUTSIDE = {
-    "EL": (["InverseProperties", "SymmetricProperty", "AsymmetricProperty", "IrreflexiveProperty", "FunctionalProperty", "InverseFunctionalProperty"], ["all", "or"]),
-    "QL": (["TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "SameIndividual"], ["all", "or"]),
-    "RL": (["ReflexiveProperty"], []),
+    "EL": ["InverseProperties", "SymmetricProperty", "AsymmetricProperty", "IrreflexiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "DisjointProperties", "DisjointUnion"],
+    "QL": ["TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "SameIndividual", "SubPropertyChainOf", "DisjointUnion", "HasKey", "NegativePropertyAssertion"],
+    "RL": ["ReflexiveProperty", "DisjointUnion"],
 }
+#: constructors that each profile allows on the left ("sub") and on the right ("super") of a subclass axiom
+_ALLOWED = {
+    "EL": {"sub": ["and", "some", "one", "value", "self"], "super": ["and", "some", "one", "value", "self"]},
+    "QL": {"sub": ["some"], "super": ["and", "some", "not"]},
+    "RL": {"sub": ["and", "or", "one", "some", "value"], "super": ["and", "not", "all", "max", "value"]},
+}
+
+
+def sided(ont: Ontology) -> DataFrame:
+    """ax_id, side, op, n, size, plain, thing: every expression inside of a logical axiom, on the side ("sub" or "super") where it counts; size: its parts, plain: all of them are named,
+    thing: its only part is Thing. Sides of equivalences count as both; a complement changes the side."""
+    ax = ont.axioms.where("ax_type IN ('SubClassOf', 'EquivalentClasses', 'DisjointClasses', 'PropertyDomain', 'PropertyRange', 'ClassAssertion', 'HasKey', 'DisjointUnion')")
+    both, sub, sup = (F.array(*[F.lit(x) for x in xs]) for xs in (("sub", "super"), ("sub",), ("super",)))
+    left = F.when(F.col("ax_type") == "EquivalentClasses", both).otherwise(sub)
+    right = F.when(F.col("ax_type") == "EquivalentClasses", both).when(F.col("ax_type") == "DisjointClasses", sub).otherwise(sup)
+    ends = ax.where("subject_kind = 'bnode' AND size(operands) = 0").select("ax_id", F.col("subject").alias("text"), F.explode(left).alias("side"))
+    ends = ends.unionByName(ax.where("object_kind = 'bnode'").select("ax_id", F.col("object").alias("text"), F.explode(right).alias("side")))
+    ends = ends.unionByName(ax.select("ax_id", F.explode("operands").alias("text"), F.lit("sub").alias("side")).where("endswith(text, ')')"))
+    parts = ont.parts.where("role = 'part'").join(ont.labels.select(F.col("node").alias("part"), "text"), "part", "left").select("expr", F.coalesce("text", "part").alias("inner"), "part_kind").distinct()
+    held = ont.expressions.where("label IS NOT NULL").select("expr", "op", "n", F.col("label").alias("text")).join(parts, "expr", "left")
+    shape = settle(held.groupBy("text", "op", "n").agg(F.countDistinct("inner").alias("size"), (F.count(F.when(F.col("part_kind") == "bnode", 1)) == 0).alias("plain"), (F.max("inner") == V.THING).alias("thing"), F.collect_set(F.when(F.col("part_kind") == "bnode", F.col("inner"))).alias("inner")), "shape")
+    front, seen = settle(ends.distinct().join(shape, "text"), "sided"), None
+    while not front.isEmpty():  # a round for each level of nesting
+        seen = front if seen is None else seen.unionByName(front)
+        turned = F.when(F.col("op") == "not", F.when(F.col("side") == "sub", "super").otherwise("sub")).otherwise(F.col("side"))
+        front = settle(front.select("ax_id", turned.alias("side"), F.explode("inner").alias("text")).distinct().join(shape, "text"), "sided")
+    return (front if seen is None else seen).select("ax_id", "side", "op", "n", "size", "plain", "thing").distinct()
 
 
 def profile_violations(ont: Ontology, profile: str) -> DataFrame:
-    """ax_type, subject, object of axioms outside the profile EL, QL or RL. RL also leaves out restrictions and
-    unions on the right of a subclass axiom or in an equivalence, except "all" in a subclass axiom."""
-    kinds, ops = _OUTSIDE[profile]
-    op = F.regexp_extract("object", r"^(some|all|and|or)\(", 1)
-    anonymous = F.col("object_kind") == "bnode"
-    outside = F.col("ax_type").isin(kinds) | (anonymous & op.isin(ops))
-    if profile == "RL":
-        outside = outside | (anonymous & ((F.col("ax_type").isin("SubClassOf", "EquivalentClasses") & op.isin("some", "or")) | ((F.col("ax_type") == "EquivalentClasses") & (op == "all"))))
-    return ont.axioms.where(outside).select("ax_type", "subject", "object").distinct()
+    """ax_type, subject, object of axioms outside the profile EL, QL or RL: by their type, or by a constructor at any depth that the profile doesn't allow on its side of a subclass
+    axiom. EL: enumerations of one individual only. QL: on the left restrictions by Thing only, on the right by named classes. RL: on the right at most 0 or 1."""
+    if "_sided" not in ont.__dict__:
+        ont.__dict__["_sided"] = settle(sided(ont), "sided")
+    allowed = (F.col("side") == "sub") & F.col("op").isin(_ALLOWED[profile]["sub"]) | (F.col("side") == "super") & F.col("op").isin(_ALLOWED[profile]["super"])
+    if profile == "EL":
+        allowed = allowed & ~((F.col("op") == "one") & (F.col("size") > 1))
+    elif profile == "QL":
+        allowed = allowed & ~((F.col("op") == "some") & F.when(F.col("side") == "sub", ~F.col("thing")).otherwise(~F.col("plain")))
+    else:
+        allowed = allowed & ~((F.col("op") == "max") & (F.col("n").cast("bigint") > 1))
+    inside = ont.__dict__["_sided"].where(~allowed).select("ax_id").distinct()
+    wrong = ont.axioms.where(F.col("ax_type").isin(_OUTSIDE[profile])).select("ax_id").unionByName(inside).distinct()
+    return ont.axioms.join(wrong, "ax_id", "left_semi").select("ax_type", "subject", "object").distinct()
 
 
 def instances(ont: Ontology, direct: bool = False, reasoner: str = "el") -> DataFrame:

@@ -136,12 +136,28 @@ query(
     True,
 )(lambda o: reason.axiom_impact(reason.explanations(o, f"{EX}part/1", f"{EX}product", 5)))
 _OP = "regexp_extract(object, '^(some|all|and|or)\\(', 1)"
+_SIDES = f"""pol AS (SELECT * FROM (
+        SELECT ax_type, subject, property, object, raw_s AS expr, u.side FROM axr, (VALUES ('sub'), ('super')) u(side) WHERE s_kind = 'bnode' AND (u.side = 'sub' OR ax_type = 'EquivalentClasses')
+        UNION SELECT ax_type, subject, property, object, raw_o, u.side FROM axr, (VALUES ('sub'), ('super')) u(side) WHERE object_kind = 'bnode' AND ax_type IN ('SubClassOf', 'EquivalentClasses', 'DisjointClasses', 'PropertyDomain', 'PropertyRange', 'ClassAssertion')
+            AND (ax_type = 'EquivalentClasses' OR (u.side = 'sub') = (ax_type = 'DisjointClasses'))
+        UNION SELECT ax_type, subject, property, object, mt.member, 'sub' FROM op JOIN mt ON mt.owner = op.owner AND mt.p = op.property WHERE mt.kind = 'bnode') z
+    UNION SELECT pol.ax_type, pol.subject, pol.property, pol.object, pt.part, CASE WHEN spec.op <> 'not' THEN pol.side WHEN pol.side = 'sub' THEN 'super' ELSE 'sub' END FROM pol JOIN spec ON spec.expr = pol.expr JOIN pt ON pt.expr = pol.expr AND pt.kind = 'bnode'),
+    shp AS (SELECT pol.*, spec.op, spec.n, (SELECT count(DISTINCT part) FROM pt WHERE pt.expr = pol.expr) AS size, (SELECT count(*) FROM pt WHERE pt.expr = pol.expr AND pt.kind = 'bnode') = 0 AS plain, (SELECT max(part) FROM pt WHERE pt.expr = pol.expr) = '{V.THING}' AS thing FROM pol JOIN spec ON spec.expr = pol.expr)"""
+
+
+def _profile_sql(profile: str, more: str) -> str:
+    allowed = f"((side = 'sub' AND op IN {_in(reason._ALLOWED[profile]['sub'])}) OR (side = 'super' AND op IN {_in(reason._ALLOWED[profile]['super'])})) AND NOT ({more})"
+    return f"SELECT '{profile}' AS profile, ax_type, subject, object FROM ax WHERE ax_type IN {_in(reason._OUTSIDE[profile])} UNION SELECT '{profile}', ax_type, subject, object FROM shp WHERE NOT ({allowed})"
+
+
 query(
     "rsn_17_profiles",
-    f"""SELECT DISTINCT 'EL' AS profile, ax_type, subject, object FROM ax WHERE ax_type IN {_in(reason._OUTSIDE['EL'][0])} OR (object_kind = 'bnode' AND {_OP} IN ('all', 'or'))
-    UNION SELECT 'QL', ax_type, subject, object FROM ax WHERE ax_type IN {_in(reason._OUTSIDE['QL'][0])} OR (object_kind = 'bnode' AND {_OP} IN ('all', 'or'))
-    UNION SELECT 'RL', ax_type, subject, object FROM ax WHERE ax_type = 'ReflexiveProperty' OR (object_kind = 'bnode' AND ((ax_type IN ('SubClassOf', 'EquivalentClasses') AND {_OP} IN ('some', 'or')) OR (ax_type = 'EquivalentClasses' AND {_OP} = 'all')))""",
+    f", {_SIDES} " + " UNION ".join([_profile_sql("EL", "op = 'one' AND size > 1"), _profile_sql("QL", "op = 'some' AND CASE WHEN side = 'sub' THEN NOT thing ELSE NOT plain END"), _profile_sql("RL", "op = 'max' AND CAST(n AS BIGINT) > 1")]),
+    True,
 )(lambda o: setops.reduce(DataFrame.unionByName, [reason.profile_violations(o, p).select(F.lit(p).alias("profile"), "ax_type", "subject", "object") for p in ("EL", "QL", "RL")]))
+_WRONG = lambda p, more: f"SELECT count(*) FROM (SELECT DISTINCT ax_type, subject, object FROM ({_profile_sql(p, more)}) x) y"
+_NOT = {"EL": "op = 'one' AND size > 1", "QL": "op = 'some' AND CASE WHEN side = 'sub' THEN NOT thing ELSE NOT plain END", "RL": "op = 'max' AND CAST(n AS BIGINT) > 1"}
+query("agg_05_el_profile", f", {_SIDES} " + " UNION ALL ".join([_metric("el_violation_count", _WRONG("EL", _NOT["EL"])), *[_metric(f"owl2_{p.lower()}", f"SELECT count(*) = 0 FROM ({_profile_sql(p, m)}) x") for p, m in _NOT.items()]]), True)(metrics.el_profile)
 query("agg_19_nominals_and_gcis", _metric("tbox_nominal_count", f"SELECT count(DISTINCT x.s) FROM t x JOIN t y ON y.o = x.s WHERE x.p IN {_in([V.OWL + 'oneOf', V.OWL + 'hasValue'])} AND y.p IN {_in([V.SUBCLASS, V.EQUIVALENT, V.DISJOINT])}") + " UNION ALL " + _metric("gci_count", f"SELECT count(*) FROM t WHERE p = '{V.SUBCLASS}' AND s_kind = 'bnode'"))(
     metrics.nominals_and_gcis
 )

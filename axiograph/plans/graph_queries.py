@@ -228,7 +228,7 @@ def axioms_of(name: str, f, sql: str, recursive: bool = False) -> None:
 
 _OUT = "SELECT DISTINCT ax_type, subject, property, object FROM ax"
 axioms_of("axf_01_logical", lambda o: axfilter.of_type(o.axioms, ["logical"]), f"{_OUT} WHERE ax_type IN {_in(GROUPS['logical'])}")
-axioms_of("axf_02_union_of_types", lambda o: axfilter.of_type(o.axioms, ["subproperty", "type", "PropertyDomain"]), f"{_OUT} WHERE ax_type IN ('SubPropertyOf', 'ClassAssertion', 'PropertyDomain')")
+axioms_of("axf_02_union_of_types", lambda o: axfilter.of_type(o.axioms, ["subproperty", "type", "PropertyDomain"]), f"{_OUT} WHERE ax_type IN ('SubPropertyOf', 'SubPropertyChainOf', 'ClassAssertion', 'PropertyDomain')")
 axioms_of("axf_03_internal", lambda o: axfilter.of_type(o.axioms, ["internal"], [EX + "supplier", EX + "part"]), f"{_OUT} WHERE starts_with(subject, '{EX}supplier') OR starts_with(subject, '{EX}part')")
 axioms_of("axf_04_external", lambda o: axfilter.of_type(o.axioms, ["external"], [EX]), f"{_OUT} WHERE NOT starts_with(subject, '{EX}')")
 query("axf_05_subjects", "SELECT ax_type, CAST(count(DISTINCT subject) AS BIGINT) AS n_subjects FROM ax GROUP BY ax_type")(lambda o: o.axioms.groupBy("ax_type").agg(F.countDistinct("subject").alias("n_subjects")))
@@ -362,7 +362,6 @@ _EACH = f"""each AS (SELECT c.iri AS node, (SELECT count(*) FROM ce WHERE ce.chi
 _RATIO = lambda c: f"SELECT CAST(round(sum({c})::DOUBLE / count(*), 6) AS DECIMAL(20,6)) FROM each"
 query("agg_16_hierarchy", f", {_EACH} " + " UNION ALL ".join([_metric("avg_asserted_subclass_axioms_per_class", _RATIO("children")), _metric("avg_asserted_superclass_axioms_per_class", _RATIO("parents")), _metric("avg_instance_per_class", _RATIO("instances")), _metric("class_sgl_subcl_count", "SELECT count(*) FROM each WHERE children = 1"), _metric("max_num_named_superclasses", "SELECT max(named) FROM each"), _metric("multi_inheritance_count", "SELECT count(*) FROM each WHERE named > 1")]))(metrics.hierarchy)
 query("agg_18_structure", ", cl AS (SELECT child, parent FROM ce UNION SELECT cl.child, x.parent FROM cl JOIN ce x ON cl.parent = x.child) " + " UNION ALL ".join([_metric("axiom_complexrhs_count", "SELECT count(*) FROM ax WHERE object_kind = 'bnode' AND ax_type IN ('SubClassOf', 'EquivalentClasses')"), _metric("gci_hidden_count", "SELECT count(DISTINCT subject) FROM ax WHERE ax_type = 'EquivalentClasses' AND subject IN (SELECT subject FROM ax WHERE ax_type = 'SubClassOf')"), _metric("undeclared_entity_count", "SELECT count(DISTINCT node) FROM sig WHERE node NOT IN (SELECT iri FROM decl)"), _metric("tautology_count", "SELECT count(*) FROM ax WHERE ax_type IN ('SubClassOf', 'EquivalentClasses', 'SubPropertyOf', 'EquivalentProperties') AND subject = object OR ax_type IN ('SubClassOf', 'ClassAssertion', 'PropertyDomain', 'PropertyRange') AND object = '" + V.THING + "'"), _metric("longest_axiom_length", "SELECT max(n) FROM (SELECT count(DISTINCT node) AS n FROM sig GROUP BY ax_type, subject, property, object, dt, lang, notes)"), _metric("cyclic_class_count", "SELECT count(*) FROM cl WHERE child = parent")]), True)(metrics.structure)
-query("agg_05_el_profile", _metric("el_violation_count", "SELECT count(*) FROM ax WHERE ax_type IN ('InverseProperties', 'SymmetricProperty', 'AsymmetricProperty', 'IrreflexiveProperty', 'FunctionalProperty', 'InverseFunctionalProperty') OR starts_with(object, 'all(') OR starts_with(object, 'or(')") + " UNION ALL " + _metric("owl2_el", "SELECT count(*) = 0 FROM ax WHERE ax_type IN ('InverseProperties', 'SymmetricProperty', 'AsymmetricProperty', 'IrreflexiveProperty', 'FunctionalProperty', 'InverseFunctionalProperty') OR starts_with(object, 'all(') OR starts_with(object, 'or(')"))(metrics.el_profile)
 query("agg_10_constructs", f"SELECT 'constructs' AS metric, op AS metric_value, 'list_value' AS metric_type FROM (SELECT DISTINCT op FROM ex UNION SELECT DISTINCT ax_type FROM ax WHERE ax_type IN {_in(['SubPropertyOf', 'InverseProperties', *CHARACTERISTICS.values()])}) x")(metrics.constructs)
 query("agg_23_most_frequent_class", _metric("most_freq_concept", "SELECT arg_max(node, (n, node)) FROM (SELECT node, count(*) AS n FROM sig WHERE node IN (SELECT iri FROM decl WHERE kind = 'class') GROUP BY node)"))(metrics.most_frequent_class)
 

@@ -335,3 +335,22 @@ def test_generators_and_filters_of_inferred_axioms(spark):
     assert {tuple(r["notes"]) for r in rows} == {(f"{V.IS_INFERRED}=true",)}
     with pytest.raises(ValueError):
         reason.inferred_axioms(ont, ["nonsense"])
+
+
+def test_profiles_by_side(spark):
+    b = Builder()
+    b.axiom("A1", V.SUBCLASS, ("some", "p", ("and", "B", "C")))  # EL; not QL (filler), not RL (some on the right)
+    b.axiom("A2", V.SUBCLASS, ("all", "p", ("not", "B")))  # RL only
+    b.general(("or", "B", ("some", "p", "C")), V.SUBCLASS, "A3")  # RL only
+    b.general(("some", "p", V.THING), V.SUBCLASS, ("not", ("some", "q", V.THING)))  # QL; not EL; RL, too
+    b.axiom("A5", V.SUBCLASS, ("max", "1", "p", "B"))  # RL only
+    b.axiom("A6", V.SUBCLASS, ("max", "2", "p", "B"))  # none
+    b.axiom("A7", V.EQUIVALENT, ("one", "i", "j"))  # none
+    b.axiom("A8", V.EQUIVALENT, ("value", "p", "i"))  # EL and RL
+    b.several(V.ALL_DISJOINT, V.MEMBERS, ["A1", ("one", "i")])  # EL and RL
+    b.list_of("q", V.CHAIN, ["p", "p"])  # not QL
+    ont = b.ontology(spark, [f"A{i}" for i in range(1, 9)] + ["B", "C"], "pq")
+    wrong = {p: {r["subject"] for r in reason.profile_violations(ont, p).collect()} for p in ("EL", "QL", "RL")}
+    assert wrong["EL"] == {"A2", "or(B some(p C))", f"some(p {V.THING})", "A5", "A6", "A7"}
+    assert wrong["QL"] == {"A1", "A2", "or(B some(p C))", "A5", "A6", "A7", "A8", "q"}  # of the disjoint ones A1 is the subject
+    assert wrong["RL"] == {"A1", "A6", "A7"}
