@@ -84,7 +84,7 @@ def _g(ont: Ontology, name: str | None = None) -> patterns.Graph:
 
 query("spq_01_select_join", f"SELECT DISTINCT {_I('x.s')} AS supplier, {_I('x.o')} AS nation, {_VAL} AS name FROM t x JOIN t v ON v.s = x.o WHERE x.p = '{V.SUBCLASS}' AND v.p = '{V.LABEL}' AND {starts('supplier', 'x.s')}")(lambda o: _g(o).match(("?supplier", "rdfs:subClassOf", "?nation"), ("?nation", "rdfs:label", "?name")).filter(F.col("supplier").startswith(f"<{EX}supplier/")).select("?supplier", "?nation", "?name", distinct=True))
 query("spq_02_ask", f"SELECT count(*) > 0 AS answer FROM t WHERE p = '{V.LABEL}' AND o = 'EUROPE'")(lambda o: o.spark.createDataFrame([(_g(o).match(("?x", "rdfs:label", "'EUROPE'")).ask(),)], "answer boolean"))
-query("spq_03_construct", f"SELECT DISTINCT CASE WHEN x.o_kind = 'bnode' THEN x.o ELSE {_I('x.o')} END AS s, '<{EX}has_child>' AS p, {_I('x.s')} AS o FROM t x WHERE x.p = '{V.SUBCLASS}' AND x.s_kind = 'iri'")(lambda o: _g(o).match(("?c", "rdfs:subClassOf", "?p")).construct(("?p", "ex:has_child", "?c")))
+query("spq_03_construct", f"SELECT DISTINCT CASE WHEN x.o_kind = 'bnode' THEN x.o ELSE {_I('x.o')} END AS s, '<{EX}has_child>' AS p, CASE WHEN x.s_kind = 'bnode' THEN x.s ELSE {_I('x.s')} END AS o FROM t x WHERE x.p = '{V.SUBCLASS}'")(lambda o: _g(o).match(("?c", "rdfs:subClassOf", "?p")).construct(("?p", "ex:has_child", "?c")))
 query("spq_04_describe", f"SELECT DISTINCT {_I('v.s')} AS s, {_I('v.p')} AS p, {_VAL} AS o FROM t v WHERE v.s = '{EX}nation/1'")(lambda o: patterns.describe(o.triples, "ex:nation/1"))
 query("spq_05_update", f"SELECT DISTINCT {_I('v.s')} AS s, {_I('v.p')} AS p, {_VAL} AS o FROM t v WHERE v.s_kind = 'iri' AND v.p = '{V.LABEL}' AND NOT {starts('nation', 'v.s')} UNION SELECT {_I('v.s')}, '<{V.COMMENT}>', {_VAL} FROM t v WHERE v.p = '{V.LABEL}' AND {starts('nation', 'v.s')}")(lambda o: (lambda w: patterns.update(o.with_p(V.LABEL), w, [("?s", "rdfs:label", "?v")], [("?s", "rdfs:comment", "?v")]))(_g(o).match(("?s", "rdfs:label", "?v")).filter(F.col("s").startswith(f"<{EX}nation/"))))
 query("spq_06_named_graph", f"SELECT DISTINCT '<' || s || '>' AS who, '<' || p || '>' AS what FROM triples WHERE graph = '{EX}graph/click'")(lambda o: _g(o, f"{EX}graph/click").match(("?who", "?what", "?n")).select("?who", "?what", distinct=True))

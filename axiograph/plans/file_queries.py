@@ -141,8 +141,8 @@ _SIDES = f"""pol AS (SELECT * FROM (
         UNION SELECT ax_type, subject, property, object, raw_o, u.side FROM axr, (VALUES ('sub'), ('super')) u(side) WHERE object_kind = 'bnode' AND ax_type IN ('SubClassOf', 'EquivalentClasses', 'DisjointClasses', 'PropertyDomain', 'PropertyRange', 'ClassAssertion')
             AND (ax_type = 'EquivalentClasses' OR (u.side = 'sub') = (ax_type = 'DisjointClasses'))
         UNION SELECT ax_type, subject, property, object, mt.member, 'sub' FROM op JOIN mt ON mt.owner = op.owner AND mt.p = op.property WHERE mt.kind = 'bnode') z
-    UNION SELECT pol.ax_type, pol.subject, pol.property, pol.object, pt.part, CASE WHEN spec.op <> 'not' THEN pol.side WHEN pol.side = 'sub' THEN 'super' ELSE 'sub' END FROM pol JOIN spec ON spec.expr = pol.expr JOIN pt ON pt.expr = pol.expr AND pt.kind = 'bnode'),
-    shp AS (SELECT pol.*, spec.op, spec.n, (SELECT count(DISTINCT part) FROM pt WHERE pt.expr = pol.expr) AS size, (SELECT count(*) FROM pt WHERE pt.expr = pol.expr AND pt.kind = 'bnode') = 0 AS plain, (SELECT max(part) FROM pt WHERE pt.expr = pol.expr) = '{V.THING}' AS thing FROM pol JOIN spec ON spec.expr = pol.expr)"""
+    UNION SELECT pol.ax_type, pol.subject, pol.property, pol.object, xpart.part, CASE WHEN spec.op <> 'not' THEN pol.side WHEN pol.side = 'sub' THEN 'super' ELSE 'sub' END FROM pol JOIN spec ON spec.expr = pol.expr JOIN xpart ON xpart.expr = pol.expr AND xpart.kind = 'bnode'),
+    shp AS (SELECT pol.*, spec.op, spec.n, (SELECT count(DISTINCT part) FROM xpart WHERE xpart.expr = pol.expr) AS size, (SELECT count(*) FROM xpart WHERE xpart.expr = pol.expr AND xpart.kind = 'bnode') = 0 AS plain, (SELECT max(part) FROM xpart WHERE xpart.expr = pol.expr) = '{V.THING}' AS thing FROM pol JOIN spec ON spec.expr = pol.expr)"""
 
 
 def _profile_sql(profile: str, more: str) -> str:

@@ -55,9 +55,9 @@ def _in(items) -> str:
 
 def _level(name: str, below: str | None) -> str:
     """expr, op, label: texts of expressions whose parts have the texts of the level below."""
-    text = f"coalesce(b.label, pt.part) AS text FROM pt LEFT JOIN {below} b ON b.expr = pt.part" if below else "pt.part AS text FROM pt"
+    text = f"coalesce(b.label, xpart.part) AS text FROM xpart LEFT JOIN {below} b ON b.expr = xpart.part" if below else "xpart.part AS text FROM xpart"
     return f"""{name} AS (SELECT spec.expr, spec.op, spec.op || '(' || concat_ws(' ', spec.n, spec.prop, q.inside) || ')' AS label
-    FROM spec LEFT JOIN (SELECT expr, string_agg(text, ' ' ORDER BY text) AS inside FROM (SELECT DISTINCT pt.expr, {text}) z GROUP BY expr) q ON q.expr = spec.expr)"""
+    FROM spec LEFT JOIN (SELECT expr, string_agg(text, ' ' ORDER BY text) AS inside FROM (SELECT DISTINCT xpart.expr, {text}) z GROUP BY expr) q ON q.expr = spec.expr)"""
 
 
 _NOT_DECLARED = f"AND o NOT IN {_in([*DECLARED, *CHARACTERISTICS])}"
@@ -75,9 +75,9 @@ rs AS (SELECT r.s AS expr, {_case("f.p", expressions.FILLED, "NULL")} AS op, CAS
        FROM t r JOIN t f ON r.s = f.s LEFT JOIN t q ON q.s = r.s AND q.p IN {_in([V.ON_CLASS, V.ON_RANGE])} WHERE r.p = '{V.ON_PROPERTY}' AND r.s_kind = 'bnode' AND f.p IN {_in(expressions.FILLED)}),
 spec AS (SELECT expr, op, n, prop FROM rs UNION SELECT s, {_case("p", expressions.ALONE, "NULL")}, NULL, NULL FROM t WHERE s_kind = 'bnode' AND p IN {_in(expressions.ALONE)}
          UNION SELECT s, {_case("p", expressions.LISTS, "NULL")}, NULL, NULL FROM t WHERE p IN {_in([p for p in expressions.LISTS if p not in expressions.AXIOM_LISTS])}),
-pt AS (SELECT expr, filler AS part, kind FROM rs WHERE filler IS NOT NULL UNION SELECT s, o, o_kind FROM t WHERE s_kind = 'bnode' AND p IN {_in(expressions.ALONE)}
+xpart AS (SELECT expr, filler AS part, kind FROM rs WHERE filler IS NOT NULL UNION SELECT s, o, o_kind FROM t WHERE s_kind = 'bnode' AND p IN {_in(expressions.ALONE)}
        UNION SELECT owner, member, kind FROM li WHERE p NOT IN {_in(expressions.AXIOM_LISTS)}),
-inn AS (SELECT expr, part AS node, kind FROM pt UNION SELECT expr, prop, prop_kind FROM rs UNION SELECT inn.expr, z.part, z.kind FROM inn JOIN (SELECT * FROM pt UNION SELECT expr, prop, prop_kind FROM rs) z ON z.expr = inn.node),
+inn AS (SELECT expr, part AS node, kind FROM xpart UNION SELECT expr, prop, prop_kind FROM rs UNION SELECT inn.expr, z.part, z.kind FROM inn JOIN (SELECT * FROM xpart UNION SELECT expr, prop, prop_kind FROM rs) z ON z.expr = inn.node),
 {_level("x0", None)}, {_level("x1", "x0")}, {_level("x2", "x1")},
 ex AS (SELECT * FROM x2),
 note AS (SELECT DISTINCT a.o AS s, b.o AS p, c.o AS o, n.p || '=' || n.o AS note FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s JOIN t n ON a.s = n.s
