@@ -36,6 +36,7 @@ def _fixed() -> list[str]:
         (V.TYPE, V.LABEL, ("type", V.XSD_STRING)),
         *[(f"{_EX}loop/{i}", V.TYPE, V.CLASS) for i in range(3)], *[(f"{_EX}loop/{i}", V.SUBCLASS, f"{_EX}loop/{(i + 1) % 3}") for i in range(3)],
         (_EX + "product", V.SUBCLASS, V.THING), (_EX + "located_in", V.TYPE, V.OBJECT_PROPERTY), (_EX + "measured", V.TYPE, V.OBJECT_PROPERTY),
+        (_EX + "impossible", V.TYPE, V.OBJECT_PROPERTY), (_EX + "impossible", V.DOMAIN, _EX + "zone/0"), (_EX + "impossible", V.DOMAIN, _EX + "zone/1"),
         *[(f"{_EX}subset/src{i}", V.SUBPROPERTY, V.SUBSET_PROPERTY) for i in range(10)],
     ]
     blank = [("_:chain1", V.FIRST, part_of), ("_:chain1", V.REST, "_:chain2"), ("_:chain2", V.FIRST, _EX + "new_relation"), ("_:chain2", V.REST, V.NIL), ("_:zones", V.TYPE, V.ALL_DISJOINT), ("_:zones", V.MEMBERS, "_:zl0")]
