@@ -20,7 +20,7 @@ def test_every_format_round_trips(spark, tmp_path):
     for ending in ("nt", "nt.gz", "jsonl", "jsonl.gz", "parquet"):
         path = f"file://{tmp_path}/x.{ending}"
         files.save(rows, path)
-        assert setops.equal(rows, files.load(spark, path)), ending
+        assert setops.diff(rows, files.load(spark, path), shared=True).isEmpty(), ending  # names of blank nodes stay, too
     assert files.load(spark, "urn:x", f"file://{tmp_path}/x.jsonl", catalog={"urn:x": f"file://{tmp_path}/x.nt"}).count() == rows.count()
     with pytest.raises(ValueError):
         files.load(spark, "x.doc")
