@@ -30,9 +30,13 @@ class _Supported:
 
     def __init__(self, columns: list[str], largest: int | None):
         self.columns, self.largest, self.known, self.fresh = columns, largest, None, None
+        self.moved = self.filled = False  # whether there is something new, or anything
 
     def add(self, derived: list[DataFrame], what: str) -> bool:
         """Take in what was derived; true if some of it is new."""
+        if not derived:
+            self.moved = False
+            return False
         rows = reduce(DataFrame.unionByName, [d.select(*self.columns, "why", F.lit(False).alias("old")) for d in derived])
         if self.largest is not None:
             rows = rows.where(F.size("why") <= self.largest)
@@ -42,12 +46,14 @@ class _Supported:
         kept = held.withColumn("why", F.explode(_smallest("sets"))).select(*self.columns, "why", (~F.array_contains("olds", F.col("why"))).alias("fresh"))
         kept = settle(kept, what)
         self.known, self.fresh = kept.drop("fresh"), kept.where("fresh").drop("fresh")
-        return not self.fresh.isEmpty()
+        self.moved = not self.fresh.isEmpty()
+        self.filled = self.filled or self.moved
+        return self.moved
 
 
 def _both(left: _Supported, right: _Supported, join) -> list[DataFrame]:
-    """join(l, r) where one of the two is new."""
-    return [join(left.fresh, right.known), join(left.known, right.fresh)]
+    """join(l, r) where one of the two is new; what has no rows stays out of the plan."""
+    return [join(left.fresh, right.known)] * (left.moved and right.filled) + [join(left.known, right.fresh)] * (right.moved and left.filled)
 
 
 def numbered(ont: Ontology) -> DataFrame:
@@ -95,7 +101,7 @@ def supports(ont: Ontology, starts: DataFrame, largest: int | None = None) -> Da
     domains = settle(link(of("PropertyDomain"), "subject", "object").withColumnRenamed("y", "p"), "domains")
     groups = of("DisjointClasses").select("ax", F.explode(F.when(F.size("operands") > 0, F.col("operands")).otherwise(F.array("subject", "object"))).alias("y"))
     groups = settle(groups.unionByName(unions.select("ax", F.col("m").alias("y"))).distinct(), "groups")
-    has = {n: not t.isEmpty() for n, t in {"parts": parts, "wider": wider, "composed": composed, "domains": domains, "groups": groups}.items()}
+    has = {n: not t.isEmpty() for n, t in {"some": some, "parts": parts, "wider": wider, "composed": composed, "domains": domains, "groups": groups}.items()}
     none = F.lit(V.NOTHING).alias("y")
 
     def begin(rows: DataFrame) -> list[DataFrame]:  # what everything is under: itself and Thing
@@ -126,24 +132,25 @@ def supports(ont: Ontology, starts: DataFrame, largest: int | None = None) -> Da
     held.add([empty.select("x", F.col("x").alias("whole"), F.lit(0).alias("i"), F.lit(0).alias("n"), "why")], "held")
     more = True
     while more:
-        subs = [sub.fresh.join(told, "y").select("x", F.col("z").alias("y"), _with(F.col("why"), F.col("by")).alias("why"))]
-        subs += begin(edge.fresh.select(F.col("f").alias("x")).distinct()) + _both(edge, sub, through)
-        edges = [sub.fresh.join(some, F.col("y") == F.col("e")).select("x", "p", "f", "why")]
-        wholes = []
+        subs, edges, wholes = _both(edge, sub, through), [], []
+        if sub.moved:
+            subs.append(sub.fresh.join(told, "y").select("x", F.col("z").alias("y"), _with(F.col("why"), F.col("by")).alias("why")))
+            edges.append(sub.fresh.join(some, F.col("y") == F.col("e")).select("x", "p", "f", "why"))
         if has["parts"]:
-            wholes = [sub.fresh.join(parts.where("i = 0"), "y").select("x", "whole", "i", "n", "why"), *_both(held, sub, next_part)]
-            subs.append(held.fresh.where("i = n - 1").select("x", F.col("whole").alias("y"), "why"))
-        if has["wider"]:
-            edges.append(edge.fresh.join(wider, "p").select("x", F.col("q").alias("p"), "f", _with(F.col("why"), F.col("by")).alias("why")))
-        if has["composed"]:
-            edges += _both(edge, edge, onward)
-        if has["domains"]:
-            subs.append(edge.fresh.join(domains, "p").select("x", F.col("z").alias("y"), _with(F.col("why"), F.col("by")).alias("why")))
+            wholes = _both(held, sub, next_part) + [sub.fresh.join(parts.where("i = 0"), "y").select("x", "whole", "i", "n", "why")] * sub.moved
+            subs += [held.fresh.where("i = n - 1").select("x", F.col("whole").alias("y"), "why")] * held.moved
+        if edge.moved:
+            subs += begin(edge.fresh.select(F.col("f").alias("x")).distinct())
+            if has["domains"]:
+                subs.append(edge.fresh.join(domains, "p").select("x", F.col("z").alias("y"), _with(F.col("why"), F.col("by")).alias("why")))
+            if has["wider"]:
+                edges.append(edge.fresh.join(wider, "p").select("x", F.col("q").alias("p"), "f", _with(F.col("why"), F.col("by")).alias("why")))
+            if has["composed"]:
+                edges += _both(edge, edge, onward)
         if has["groups"]:
             subs += _both(sub, sub, clash)
-        before = held.add(wholes, "held") if wholes else False
-        at_edges = edge.add(edges, "edge")
-        more = sub.add(subs, "sub") or at_edges or before
+        grown = [held.add(wholes, "held"), edge.add(edges if has["some"] else [], "edge"), sub.add(subs, "sub")]
+        more = any(grown)
     return sub.known
 
 
@@ -155,7 +162,10 @@ def justifications(ont: Ontology, goals: DataFrame, most: int | None = None, lar
     are worked out in one fixpoint. most: sets of a goal; largest: axioms of a set (see supports()). Axioms count once whatever their annotations.
     """
     goals = settle(goals.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "goals")
-    found = supports(ont, goals.select(F.col("child").alias("x")), largest)
+    return _explained(ont, goals, supports(ont, goals.select(F.col("child").alias("x")), largest), most)
+
+
+def _explained(ont: Ontology, goals: DataFrame, found: DataFrame, most: int | None) -> DataFrame:
     ends = goals.unionByName(goals.select("child", F.lit(V.NOTHING).alias("parent"))).distinct().select(F.col("child").alias("x"), F.col("parent").alias("y"))
     reached = found.join(ends, ["x", "y"]).withColumnRenamed("x", "child")
     own = reached.withColumnRenamed("y", "parent").join(goals, ["child", "parent"], "left_semi").unionByName(reached.where(F.col("y") == V.NOTHING).drop("y").join(goals, "child"))
@@ -170,6 +180,19 @@ def justifications(ont: Ontology, goals: DataFrame, most: int | None = None, lar
     return ranked.select("child", "parent", "rank", "n", F.explode("texts").alias("t")).select("child", "parent", "rank", "n", "t.ax_type", "t.subject", "t.object")
 
 
+def _clashes(ont: Ontology, largest: int | None) -> DataFrame:
+    """supports() of the unsatisfiable named classes, worked out once."""
+    key = f"_clashes{largest}"
+    if key not in ont.__dict__:
+        ont.__dict__[key] = settle(supports(ont, settle(reason.unsatisfiable(ont), "unsatisfiable").select(F.col("iri").alias("x")), largest).where(F.col("y") == V.NOTHING), "clashes")
+    return ont.__dict__[key]
+
+
+def clash_justifications(ont: Ontology, mode: str = "all", most: int | None = None, largest: int | None = None) -> DataFrame:
+    """justifications() of the unsatisfiable classes: "all", "root" or "most_general" ones."""
+    return _explained(ont, settle(unsatisfiable_goals(ont, mode, largest), "goals"), _clashes(ont, largest), most)
+
+
 def unsatisfiable_kinds(ont: Ontology, largest: int | None = None) -> DataFrame:
     """iri, is_root, is_most_general: every unsatisfiable named class.
 
@@ -177,8 +200,8 @@ def unsatisfiable_kinds(ont: Ontology, largest: int | None = None) -> DataFrame:
     unsatisfiable class strictly above it in the hierarchy as told. largest: as in supports(); a class all of whose sets are larger is no root.
     """
     iris = settle(reason.unsatisfiable(ont), "unsatisfiable")
-    sets = supports(ont, iris.select(F.col("iri").alias("x")), largest).where(F.col("y") == V.NOTHING).select(F.col("x").alias("iri"), "why")
-    sets = settle(sets.join(iris, "iri", "left_semi"), "clashes")
+    sets = _clashes(ont, largest).select(F.col("x").alias("iri"), "why")
+    sets = settle(sets.join(iris, "iri", "left_semi"), "sets")
     uses = sets.select("iri", "why", F.explode("why").alias("ax"))
     rare = uses.groupBy("ax").agg(F.count("*").alias("uses"))
     # a set that another holds is met at the rarest of its axioms only
@@ -240,7 +263,7 @@ def tautologies(ont: Ontology) -> DataFrame:
 
     A subclass axiom is one if its sides are in the hierarchy that supports() finds with empty sets of axioms (an intersection and its parts, existential
     restrictions by their fillers, unions and their parts, Thing and Nothing), an equivalence both ways; a disjointness of a class with what is empty, a property
-    under itself, a domain or range Thing, and a class assertion of Thing.
+    under itself or the property that holds of all, a domain or range Thing, and a class assertion of Thing.
     """
     ax = ont.axioms.select("ax_id", "ax_type", "subject", "object", "operands")
     sides = settle(ax.where("ax_type IN ('SubClassOf', 'EquivalentClasses', 'DisjointClasses')"), "sides")
@@ -261,7 +284,7 @@ def tautologies(ont: Ontology) -> DataFrame:
     members = sides.where("ax_type = 'DisjointClasses'").select("ax_id", F.explode(F.when(F.size("operands") > 0, F.col("operands")).otherwise(F.array("subject", "object"))).alias("x"))
     empties = none.withColumn("none", F.lit(1))
     apart = members.join(empties, "x", "left").groupBy("ax_id").agg(F.count("*").alias("n"), F.count("none").alias("empty")).where("n - empty < 2").select("ax_id")
-    fixed = ax.where((F.col("ax_type").isin("SubPropertyOf", "EquivalentProperties") & (F.col("subject") == F.col("object"))) | (F.col("ax_type").isin("PropertyDomain", "PropertyRange", "ClassAssertion") & (F.col("object") == V.THING))).select("ax_id")
+    fixed = ax.where((F.col("ax_type").isin("SubPropertyOf", "EquivalentProperties") & (F.col("subject") == F.col("object"))) | (F.col("ax_type").isin("PropertyDomain", "PropertyRange", "ClassAssertion") & (F.col("object") == V.THING)) | ((F.col("ax_type") == "SubPropertyOf") & F.col("object").isin(V.OWL + "topObjectProperty", V.OWL + "topDataProperty"))).select("ax_id")
     return sub.unionByName(same).unionByName(apart).unionByName(fixed).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from axiograph.functions import vocab as V
 from axiograph.model import Ontology
-from axiograph.operators import export, graph, patterns, reason, template
+from axiograph.operators import explain, export, graph, patterns, reason, template
 from axiograph.plans.graph_queries import _CURIE_SQL, EX, _in, query, starts
 from axiograph.sources import files, store
 
@@ -68,6 +68,7 @@ query("rsn_04_instances", f", {_TOLD}, up AS (SELECT child, parent FROM told UNI
 query("rsn_15_explain", f""", {_TOLD}, pt AS (SELECT [child, parent] AS path, parent AS node FROM told WHERE child = '{EX}part/1' UNION ALL SELECT list_append(path, x.parent), x.parent FROM pt JOIN told x ON x.child = pt.node WHERE pt.node <> '{EX}product' AND NOT list_contains(path, x.parent)),
     best AS (SELECT path, CAST(row_number() OVER (ORDER BY len(path), path) AS INTEGER) AS rank FROM pt WHERE node = '{EX}product' ORDER BY len(path), path LIMIT 3), link AS (SELECT path, rank, unnest(range(1, len(path))) AS i FROM best)
     SELECT rank, CAST(i - 1 AS INTEGER) AS step, path[i] AS subject, path[i + 1] AS object FROM link""", True)(lambda o: reason.explanations(o, f"{EX}part/1", f"{EX}product", 3))
+query("axf_06_tautologies")(lambda o: o.axioms.join(explain.tautologies(o), "ax_id", "left_semi").select("ax_type", "subject", "property", "object").distinct())
 _RSN = {"rsn_01_classify": reason.classify, "rsn_07_inferred": reason.inferred, "rsn_12_unsatisfiable": reason.unsatisfiable, "rsn_14_equivalence_policy": lambda o: reason.equivalences(o, "asserted-only")}
 for _name, _f in _RSN.items():
     query(_name)(_f)
