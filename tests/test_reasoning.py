@@ -354,3 +354,29 @@ def test_profiles_by_side(spark):
     assert wrong["EL"] == {"A2", "or(B some(p C))", f"some(p {V.THING})", "A5", "A6", "A7"}
     assert wrong["QL"] == {"A1", "A2", "or(B some(p C))", "A5", "A6", "A7", "A8", "q"}  # of the disjoint ones A1 is the subject
     assert wrong["RL"] == {"A1", "A6", "A7"}
+
+
+def test_classes_that_are_the_same_cost_no_pairs_of_them(spark):
+    b, every = Builder(), [f"{k}{i}" for k in "NRI" for i in range(30)]
+    for i in range(30):  # all the same, and so are the restrictions of them and the intersections of these
+        b.add(f"N{i}", V.EQUIVALENT, f"N{(i * 7) % 30 if i else 1}")
+        b.add(f"R{i}", V.EQUIVALENT, b.node(("some", "p", f"N{i}")))
+        b.add(f"I{i}", V.EQUIVALENT, b.node(("and", f"N{i}", ("some", "p", f"N{i}"))))
+        b.add(f"N{i}", V.EQUIVALENT, "N0")
+    ont = b.ontology(spark, every, ["p"])
+    sub, _ = reason._saturated(ont)
+    assert sub.count() < 30
+    got = {(r["child"], r["parent"]) for r in reason.classify(ont).collect()}
+    assert got == {(x, y) for x in every for y in every if x != y and (x[0] == y[0] or x[0] == "I")}
+    direct = {(r["child"], r["parent"]) for r in reason.inferred(ont).collect()}
+    assert direct == got
+
+
+def test_intersections_are_met_at_their_rarest_part(spark):
+    b = Builder()
+    for i in range(12):
+        b.add(f"P{i}", V.SUBCLASS, "Common")
+        b.add(f"D{i}", V.EQUIVALENT, b.node(("and", "Common", f"P{i}")))
+    ont = b.ontology(spark, [f"{k}{i}" for k in "PD" for i in range(12)] + ["Common"])
+    got = {(r["child"], r["parent"]) for r in reason.classify(ont).collect()}
+    assert got == {(f"{k}{i}", "Common") for k in "PD" for i in range(12)} | {(f"{a}{i}", f"{c}{i}") for a, c in ("PD", "DP") for i in range(12)}
