@@ -1,6 +1,7 @@
 """Names inside of expressions, axioms without a named subject, and ontologies compared across loads."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,23 @@ def test_two_loads_are_one(spark):
 def test_loads_without_blank_nodes_or_rows(spark):
     rows = spark.createDataFrame([("A", "iri", V.SUBCLASS, "B", "iri", None, None)], COLUMNS)
     assert setops.equal(rows, rows) and setops.merge(rows, rows.limit(0)).count() == 1 and Ontology(rows.limit(0)).axioms.isEmpty() and setops.canonical(rows.limit(0)).isEmpty()
+
+
+def test_axioms_are_not_shuffled_by_predicate(spark, monkeypatch):
+    plans, real = [], settle
+
+    def kept(df, what="step"):
+        if what == "axioms":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, what)
+
+    monkeypatch.setattr("axiograph.model.settle", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the sizes of tables are not known
+    try:
+        made = Builder("y")
+        made.axiom("A", V.SUBCLASS, "B")
+        made.add("A", "p", "B")
+        assert made.ontology(spark, "AB", "p").axioms.where("ax_type = 'ObjectPropertyAssertion'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 1 and not re.search(r"SortMergeJoin \[p#\d+L?\], \[p#", plans[0])
