@@ -26,6 +26,8 @@ SEED = 42
 #: Bytes of a set, and fingerprints of a posting whose pairs are all tallied; those of larger postings are verified in place.
 WIDTH = 4
 DENSE = 32
+#: Nodes of a posting that one task holds to narrow it, at most; larger ones are divided as they are.
+WHOLE = 1 << 16
 #: For documents similar at 0.8 or more: words of a shingle, bits of a fingerprint, bits that may differ (the angle of a cosine of
 #: 0.889, which sets of shingles with a Jaccard similarity of 0.8 have, is 39 of 256 bits; 3 more allow for chance).
 NEAR_SHINGLE = 5
@@ -120,15 +122,20 @@ def _value(data: np.ndarray, positions: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def _components_of(fps: np.ndarray, nodes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _components_of(fps: np.ndarray, nodes: np.ndarray, bits: int, most: int | None = None, rest: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that join what is within reach among some fingerprints: each is held against those that no link has reached yet, so a
-    dense group costs little more than its size."""
-    left = np.arange(len(nodes))
+    dense group costs little more than its size. After `most` comparisons for each of them it ends; rest gets the places of those that
+    have not met all others yet, but for what links join already."""
+    left, work = np.arange(len(nodes)), 0
     while len(left):
         front, left = [left[:1]], left[1:]
         while front and len(left):  # breadth first, one point at a time
+            if most is not None and work > most * len(nodes):
+                rest.append(np.sort(np.concatenate([left, *front])))
+                return
             now = front[0][0]
             front = ([front[0][1:]] if len(front[0]) > 1 else []) + front[1:]
+            work += len(left)
             close = np.bitwise_count(fps[left] ^ fps[now]).sum(1) <= bits
             if close.any():
                 yield np.full(int(close.sum()), nodes[now]), nodes[left[close]]
@@ -205,7 +212,8 @@ def links(nodes: DataFrame, bits: int, words: int = 1, minimum: int = 1) -> Data
     the index finds; with one word and 3 bits that is every one.
 
     Postings are dealt by ranges of (key, node), so a hot one spreads over tasks. What a small one joins is found in it; the nodes of
-    a large one meet again under its key and one more byte.
+    a large one meet again under its key and one more byte. Of longer fingerprints this is for the nodes of a large posting that some
+    DENSE comparisons a node have not told from all others.
     """
     longs, sets = _longs(words), _sets(words)
 
@@ -227,6 +235,44 @@ def links(nodes: DataFrame, bits: int, words: int = 1, minimum: int = 1) -> Data
                     name = sum(1 << x for x in positions) if words == 1 else int(s) + 1 << 8 | p
                     yield pa.RecordBatch.from_arrays([pa.array(_value(data[own], positions) | name << 40), *rows.columns[1:]], ["k", "node", *longs])
 
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of large postings, links that DENSE comparisons a node find, and the nodes that have not met all others by then. Postings of over WHOLE
+        nodes pass as they are."""
+
+        def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.concatenate([[0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]]) if rows.shape[1] else np.zeros(1, np.int64)
+            found, left = [], []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if hi - lo > 1:
+                    rest: list[np.ndarray] = []
+                    found += _components_of(np.ascontiguousarray(rows[2:, lo:hi].T).view(np.uint64), rows[1, lo:hi], bits, DENSE, rest)
+                    left += [lo + r for r in rest]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * (2 + words)], ["a", "b", "k", "node", *longs])
+            if left:
+                yield passed(rows[:, np.concatenate(left)])
+
+        def passed(rows: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(rows.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *(pa.array(np.ascontiguousarray(c)) for c in rows)], ["a", "b", "k", "node", *longs])
+
+        held, passing = np.zeros((2 + words, 0), np.int64), None
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            on = int((rows[0] == passing).sum()) if passing is not None else 0
+            if on:
+                yield passed(rows[:, :on])
+            rows = np.concatenate([held, rows[:, on:]], 1)
+            if rows.shape[1]:
+                last, passing = int(np.searchsorted(rows[0], rows[0, -1])), None
+                yield from of(rows[:, :last])
+                held = rows[:, last:]
+                if held.shape[1] > WHOLE:
+                    yield passed(held)
+                    held, passing = held[:, :0], held[0, 0]
+        yield from of(held)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -262,10 +308,14 @@ def links(nodes: DataFrame, bits: int, words: int = 1, minimum: int = 1) -> Data
     again = met.where("k IS NOT NULL").select("k", F.col("a").alias("node"), "large")
     again = again.withColumn("f0", F.col("node")) if words == 1 else again.join(nodes.select("node", *longs), "node")
     again = again.select("k", "node", *longs, "large")
-    kinds = "k long, node long, " + ", ".join(f"{c} long" for c in longs)
-    parted = again.where("large").drop("large").mapInArrow(divide, kinds).distinct()
+    fields = ", ".join(f"{c} long" for c in longs)
+    kinds, large, direct = f"k long, node long, {fields}", again.where("large").drop("large"), met.where("k IS NULL").select("a", "b")
+    if words > 1:  # near copies have many sets in common: most of their postings end here
+        ahead = settle(large.repartition("k").sortWithinPartitions("k", "node").mapInArrow(narrowed, f"a long, b long, {kinds}"), "narrowed")
+        direct, large = direct.unionByName(ahead.where("k IS NULL").select("a", "b")), ahead.where("k IS NOT NULL").select("k", "node", *longs)
+    parted = large.mapInArrow(divide, kinds).distinct()
     groups = parted if words == 1 else parted.unionByName(again.where("NOT large").drop("large"))
-    return met.where("k IS NULL").select("a", "b").unionByName(groups.repartition("k").sortWithinPartitions("k", "node").mapInArrow(verify, "a long, b long"))
+    return direct.unionByName(groups.repartition("k").sortWithinPartitions("k", "node").mapInArrow(verify, "a long, b long"))
 
 
 def _labelled(rows: DataFrame, words: int, bits: int, minimum: int) -> DataFrame:

@@ -321,3 +321,49 @@ def test_exact_passages_among_stock_phrases(spark):
     frame = docs_of(spark, [(i, " ".join(w)) for i, w in docs])
     got = {(r["doc_id"], r["begin_word"], r["end_word"]) for r in passages.repeated_passages(frame).collect()}
     assert got == {(1, 30, 90), (1000, 7, 67), (2000, 10, 65), (2000, 125, 180), (2000, 225, 280), (2001, 5, 60)}
+
+
+def test_near_copies_are_not_divided_once_they_are_linked(spark):
+    rng, n = np.random.default_rng(5), 400
+    base = rng.integers(0, 256, 32, np.uint8)
+    rows = np.repeat(base[None], n, 0)
+    for i in range(n):  # a group within reach, whose nodes share most bytes
+        for bit in rng.choice(256, 6, replace=False):
+            rows[i, bit // 8] ^= 1 << bit % 8
+    rows = np.concatenate([rows, rng.integers(0, 256, (50, 32), np.uint8)])
+    longs = rows.view(">i8").astype(np.int64)
+    nodes = simhash.settle(spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(longs)], "node long, f0 long, f1 long, f2 long, f3 long"), "nodes")
+    sc = spark.sparkContext
+
+    def records():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = records()
+    found = {(r["a"], r["b"]) for r in simhash.links(nodes, simhash.NEAR_BITS, simhash.NEAR_WORDS).collect()}
+    assert records() - before < 4 * 96 * len(rows)
+    group, reached = list(range(n)), {0}
+    while more := {b for a, b in found | {(b, a) for a, b in found} if a in reached} - reached:
+        reached |= more
+    assert sorted(reached) == group and all(a < n and b < n for a, b in found)
+
+
+def test_what_a_search_leaves_over_has_met_all_that_it_leaves_out():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 2, (300, 1), np.uint64) << np.uint64(60) | rng.integers(0, 1 << 12, (300, 1)).astype(np.uint64)
+    nodes = np.arange(300)
+
+    def joined(pairs):
+        of = list(range(300))
+        for a, b in pairs:
+            x, y = of[a], of[b]
+            of = [min(x, y) if v in (x, y) else v for v in of]
+        return of
+
+    near = [(a, b) for a in range(300) for b in range(a) if int(fps[a, 0] ^ fps[b, 0]).bit_count() <= 1]
+    for most in (0, 3, 20):
+        rest: list = []
+        first = [(a, b) for x, y in simhash._components_of(fps, nodes, 1, most, rest) for a, b in zip(x, y, strict=True)]
+        assert rest or most == 20
+        left = set(rest[0].tolist()) if rest else set()
+        assert joined(first + [(a, b) for a, b in near if a in left and b in left]) == joined(near)
