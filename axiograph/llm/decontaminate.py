@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiograph.llm.common import LOWER, chunks, grams, settle, signed, winnowed, without, word_hashes
+from axiograph.llm.common import LOWER, chunks, grams, released, settle, signed, winnowed, without, word_hashes
 
 SPAN = 13
 GRAM = 5
@@ -95,7 +95,7 @@ def _anchored(rows: DataFrame, name: str, short: list[int] | None, known: np.nda
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(found, pa.list_(_ANCHOR))], [name, "n_words", "anchors"])
 
     kind = rows.schema[name].dataType.simpleString()
-    return rows.select(name, "text").mapInArrow(scan, f"{name} {kind}, n_words long, anchors {_ANCHOR_SQL}")
+    return rows.select(name, "text").mapInArrow(released(scan), f"{name} {kind}, n_words long, anchors {_ANCHOR_SQL}")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from axiograph.llm.common import settle
+from axiograph.llm.common import released, settle
 
 #: n-grams in a profile.
 PROFILE = 300
@@ -105,7 +105,7 @@ def train(labelled: DataFrame) -> DataFrame:
                 yield from passed()
         yield from passed()
 
-    counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
+    counts = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(released(count), "lang string, gram long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE).select("lang", "rank", "gram")
 
@@ -181,7 +181,7 @@ def _scored(docs: DataFrame, part: pd.DataFrame, langs: list[str], keep: list[st
 
     kept = keep if last else [text, *keep]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema)
-    return docs.select(*[F.col(f"`{c}`") for c in [text, *keep]]).mapInArrow(score, f"{fields}, {lang} string, {score_} double")
+    return docs.select(*[F.col(f"`{c}`") for c in [text, *keep]]).mapInArrow(released(score), f"{fields}, {lang} string, {score_} double")
 
 
 def held_out() -> Column:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axiograph.llm.common import LOWER, NOT_SPACE, attached, chunks, column_bytes, components, grams, mixed, settle, signed, span_hashes, without, word_hashes
+from axiograph.llm.common import LOWER, NOT_SPACE, attached, chunks, column_bytes, components, grams, mixed, released, settle, signed, span_hashes, without, word_hashes
 
 BITS = 3
 SHINGLE = 3
@@ -89,7 +89,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame
                 longs = np.ascontiguousarray(out).view(">u8").astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(signed(np.ascontiguousarray(c))) for c in longs.T)], ["doc_id", *_longs(NEAR_WORDS)])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, " + ", ".join(f"{c} long" for c in _longs(NEAR_WORDS)))
+    return docs.select("doc_id", "text").mapInArrow(released(hashed), "doc_id long, " + ", ".join(f"{c} long" for c in _longs(NEAR_WORDS)))
 
 
 def _longs(words: int) -> list[str]:

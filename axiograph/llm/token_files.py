@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axiograph.llm.common import released
 from axiograph.llm.encoding import default_vocabulary, encoder
 
 #: A segment is closed at the first document that takes it to this many ids.
@@ -162,7 +163,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "body": pa.array([pack_segment(doc_ids, ids, np.concatenate(ends))], pa.binary())})
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(pack, "part int, seq int, n_docs long, n_ids long, body binary").write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(released(pack), "part int, seq int, n_docs long, n_ids long, body binary").write.option("compression", "zstd").parquet(path)
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
