@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from axiograph.functions import vocab as V
 from axiograph.model import Ontology
@@ -380,3 +381,57 @@ def test_intersections_are_met_at_their_rarest_part(spark):
     ont = b.ontology(spark, [f"{k}{i}" for k in "PD" for i in range(12)] + ["Common"])
     got = {(r["child"], r["parent"]) for r in reason.classify(ont).collect()}
     assert got == {(f"{k}{i}", "Common") for k in "PD" for i in range(12)} | {(f"{a}{i}", f"{c}{i}") for a, c in ("PD", "DP") for i in range(12)}
+
+
+def test_rounds_of_reasoning_hold_numbers_only(spark, monkeypatch):
+    b, types, write = Builder(), {}, reason.written
+    b.add("A", V.SUBCLASS, "B")
+    b.add("A", V.SUBCLASS, b.node(("some", "p", "C")))
+    b.add("D", V.EQUIVALENT, b.node(("and", "B", ("some", "p", "C"))))
+    b.add("A", V.DISJOINT, "B")
+    monkeypatch.setattr(reason, "written", lambda df, what: types.setdefault(what, {t for _, t in df.dtypes}) and write(df, what))
+    ont = b.ontology(spark, "ABCD", ["p"])
+    assert {r["iri"] for r in reason.unsatisfiable(ont).collect()} == {"A"}  # Nothing comes up in a round only
+    assert {(r["child"], r["parent"]) for r in reason.classify(ont).collect()} == {("A", "B"), ("A", "D"), ("D", "B")}
+    assert set(types) == {"sub", "edge", "held"} and set().union(*types.values()) <= {"bigint", "int"}
+
+
+def test_texts_of_the_same_number_get_others(spark, monkeypatch):
+    rows, hashed, seeds = spark.createDataFrame([("A", "B"), ("B", "C")], "y string, z string"), F.xxhash64, []
+
+    def alike(text, seed):  # the first seed gives all texts one number
+        seeds.append(seed)
+        return F.lit(1).cast("bigint") if len(seeds) == 1 else hashed(text, seed)
+
+    monkeypatch.setattr(reason.F, "xxhash64", alike)
+    tables, ids, _ = reason._numbered({"told": rows})
+    names = {r["id"]: r["text"] for r in ids.collect()}
+    assert set(names.values()) == {"A", "B", "C", V.THING, V.NOTHING}
+    assert {(names[r["y"]], names[r["z"]]) for r in tables["told"].collect()} == {("A", "B"), ("B", "C")}
+
+
+def test_pairs_of_a_large_kind_are_made_by_many_tasks(spark):
+    kinds = spark.range(1200).select(F.concat(F.lit("K"), "id").alias("iri"), F.lit("K0").alias("rep")).unionByName(spark.createDataFrame([("L", "L")], "iri string, rep string"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pairs = reason._for_all(spark.createDataFrame([("K0", "L")], "child string, parent string"), kinds)
+        tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == pairs.distinct().count() == 1200 * 1199 + 1200
+        assert max(tasks) < sum(tasks) * 0.7
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_direct_links_take_the_closure_as_it_is(spark, monkeypatch):
+    b = Builder()
+    for s, o in ("AB", "BC", "AC", "CD", "DC", "AE"):
+        b.add(s, V.SUBCLASS, o)
+    ont = b.ontology(spark, "ABCDE")
+    pairs, kinds = reason._named(ont)
+    want = {(r["child"], r["parent"]) for r in reason._for_all(graph.reduction(pairs), kinds).collect()}
+    monkeypatch.setattr(graph, "closure", lambda edges: pytest.fail("the classified pairs are closed"))
+    assert {(r["child"], r["parent"]) for r in reason._direct(ont).collect()} == want
