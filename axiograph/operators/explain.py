@@ -71,15 +71,18 @@ def supports(ont: Ontology, starts: DataFrame, largest: int | None = None) -> Da
     only what an answer can rest on is worked out. largest: sets of more axioms are left out, all others are found none the less, since
     sets only grow along a derivation; without it all are found, which may be exponentially many.
     """
-    ax = numbered(ont)
+    ax = numbered(ont) if largest != 0 else ont.axioms.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("ax"), "ax_type", "subject", "object", "operands")  # an empty set holds no axiom
     of = lambda kind: ax.where(F.col("ax_type") == kind)
     by, nothing = F.array("ax").alias("by"), F.array().cast("array<bigint>")
     link = lambda rows, a, b: rows.select(F.col(a).alias("y"), F.col(b).alias("z"), by)
     texts = ont.labels.select(F.col("node").alias("part"), "text")
     shapes = ont.expressions.where("label IS NOT NULL").select("expr", "op", "prop", "filler", "label").distinct()
     inner = ont.parts.where("role = 'part'").join(shapes.where("op = 'and'"), "expr").join(texts, "part", "left").select(F.col("label").alias("whole"), F.coalesce("text", "part").alias("y"))
-    ordered = inner.where(F.col("y") != V.THING).groupBy("whole").agg(F.array_sort(F.collect_set("y")).alias("ys"))
-    parts = settle(ordered.select("whole", F.posexplode("ys").alias("i", "y"), F.size("ys").alias("n")), "parts")
+    # intersections are met at their rarest part, as many may share another
+    inner = settle(inner.where(F.col("y") != V.THING).distinct(), "inner")
+    uses = inner.groupBy("y").agg(F.count("*").alias("uses"))
+    ordered = inner.join(uses, "y").groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("uses", "y"))).alias("ys"))
+    parts = settle(ordered.select("whole", F.posexplode("ys.y").alias("i", "y"), F.size("ys").alias("n")), "parts")
     either = _unions(ont).select(F.col("x").alias("y"), F.col("y").alias("z"), nothing.alias("by"))
     self_apart = of("DisjointClasses").where("size(operands) = 0 AND subject = object").select(F.col("subject").alias("y"), F.lit(V.NOTHING).alias("z"), by)
     unions = of("DisjointUnion").select(F.explode("operands").alias("m"), "subject", "ax")

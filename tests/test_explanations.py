@@ -133,3 +133,14 @@ def test_empty_ontologies_have_nothing_to_explain(spark):
     assert explain.justifications(ont, spark.createDataFrame([], GOALS)).count() == 0
     assert explain.unsatisfiable_kinds(ont).count() == 0 and explain.tautologies(ont).count() == 0
     assert reason.classify(ont).count() == 0
+
+
+def test_intersections_with_a_common_part_do_not_meet_each_other(spark, monkeypatch):
+    b, steps, settle = Builder(), {}, explain.settle
+    for i in range(12):
+        b.add(f"D{i}", V.EQUIVALENT, b.node(("and", "Common", f"P{i}")))
+    b.add(b.node(("and", "Common", "P3")), V.SUBCLASS, "P3")
+    monkeypatch.setattr(explain, "settle", lambda df, what: steps.setdefault(what, []).append(out := settle(df, what)) or out)
+    ont = b.ontology(spark, [f"{k}{i}" for k in "PD" for i in range(12)] + ["Common"])
+    assert {r["subject"] for r in ont.axioms.join(explain.tautologies(ont), "ax_id", "left_semi").collect()} == {"and(Common P3)"}
+    assert max(t.count() for t in steps["held"]) <= 24  # 144 pairs share the part
