@@ -7,7 +7,7 @@ from axiograph import pipeline
 from axiograph.functions import vocab as V
 from axiograph.model import Ontology
 from axiograph.operators import export, metrics, patterns, reason, setops
-from axiograph.sources import files
+from axiograph.sources import files, store
 from tests.test_graph import triples_of
 
 C = lambda x: V.EX + x
@@ -90,3 +90,12 @@ def test_macros_json_rows_and_steps(spark):
     assert [r["value"] for r in export.json_rows(export.export(Ontology(rows), ["ID", "LABEL", "SubClass Of [IRI]"], ["classes"])).collect()] == [f'{{"ID":"ex:a","LABEL":["x"],"SubClass Of [IRI]":["{C("b")}"]}}']
     out = pipeline.Chain(rows).then("rename-prefixes", prefixes={V.EX: "urn:y:"}).then("unmerge", others=[rows]).triples
     assert {r["s"] for r in out.collect()} == {"urn:y:a"}
+
+
+def test_a_file_of_the_store_holds_few_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FILE_ROWS", 10, raising=False)
+    none = F.lit(None).cast("string")
+    rows = spark.range(35).select(F.lit("root").alias("graph"), F.concat(F.lit("n"), "id").alias("s"), F.lit("iri").alias("s_kind"), F.lit("p").alias("p"), F.lit("o").alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"))
+    store.write_store(rows, f"{tmp_path}/store")
+    held = store.read_store(spark, f"{tmp_path}/store").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in held) == 35 and max(r["count"] for r in held) <= 10  # a task reads whole files
