@@ -135,3 +135,13 @@ def test_dangling_and_module(spark, ont):
     assert [r["iri"] for r in graph.dangling(ont).collect()] == [V.EX + "gone"]
     found = {(r["subject"].removeprefix(V.EX), r["object"].removeprefix(V.EX)) for r in graph.module(ont, nodes_of(spark, [V.EX + "B"])).where("ax_type <> 'Declaration'").collect()}
     assert found == {("B", "A")} | {f for f in found if f[0] == "A"}
+
+
+def test_cycles_pair_no_nodes_beside_them(spark, monkeypatch):
+    steps, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, what: steps.append((what, out := settle(df, what))) or out)
+    loop = [("a", "b"), ("b", "c"), ("c", "a"), ("s", "s")]
+    edges = spark.createDataFrame([*loop, *[(f"leaf{i}", "n0") for i in range(20)], *[(f"n{i}", f"n{i + 1}") for i in range(4)], ("a", "n1"), ("n4x", "b")], "child string, parent string")
+    assert {r["node"] for r in graph.cycles(edges).collect()} == {"a", "b", "c", "s"}
+    assert sum(t.count() for what, t in steps if what == "pairs") <= 6
+    assert graph.cycles(edges.where("child LIKE 'leaf%'")).count() == 0
