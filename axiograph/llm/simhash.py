@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axiograph.llm import similar
 from axiograph.llm.common import LOWER, NOT_SPACE, attached, chunks, column_bytes, components, grams, mixed, released, settle, signed, span_hashes, without, word_hashes
 
 BITS = 3
@@ -318,12 +319,9 @@ def links(nodes: DataFrame, bits: int, words: int = 1, minimum: int = 1) -> Data
     return direct.unionByName(groups.repartition("k").sortWithinPartitions("k", "node").mapInArrow(verify, "a long, b long"))
 
 
-def _labelled(rows: DataFrame, words: int, bits: int, minimum: int) -> DataFrame:
-    """rows (doc_id, f0, ...) with component_id, the smallest doc_id of what links join."""
-    longs = _longs(words)
-    node = F.col("f0") if words == 1 else F.monotonically_increasing_id()
-    distinct = settle(rows.groupBy(*longs).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("node", node), "distinct")
-    linked = settle(components(links(distinct, bits, words, minimum)), "components")
+def _labelled(rows: DataFrame, distinct: DataFrame, linked: DataFrame, longs: list[str]) -> DataFrame:
+    """rows (doc_id, longs) with component_id, the smallest doc_id of what links (a, b) join; distinct: longs, node, first (the smallest doc_id), n (rows)."""
+    linked = settle(components(linked), "components")
     labels = distinct.join(linked.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(*longs, "n", "first", F.coalesce("root", "node").alias("root"))
     labels = settle(labels, "labels")
     smallest = labels.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -343,18 +341,17 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= BITS:
         raise ValueError(f"bits must be from 0 to {BITS}")
     rows = settle(fingerprints(docs).withColumnRenamed("fp", "f0"), "fingerprints")
-    return _labelled(rows, 1, bits, 8 - bits).select("doc_id", _hex("f0").alias("fingerprint"), "component_id")
+    distinct = settle(rows.groupBy("f0").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).withColumn("node", F.col("f0")), "distinct")
+    return _labelled(rows, distinct, links(distinct, bits, 1, 8 - bits), ["f0"]).select("doc_id", _hex("f0").alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
-    """doc_id, component_id for every row of docs (doc_id, text): texts whose sets of five-word shingles have a similarity of 0.8 or
-    more by their SimHash, at most `bits` of 256 bits apart, are linked. Nulls, empty texts and repeats as in near_duplicates().
-
-    Pairs are found by three equal positional bytes in one of 96 sets. For random edits (own simulation of 2,500 pairs) that finds 79 % of the pairs with
-    a Jaccard similarity of 0.8 to 0.85, 96 % of those to 0.9 and all but 0.2 % above, and 86 %, 99 % and all are near enough by their bits; copies are always found.
-    """
-    rows = settle(wide_fingerprints(docs), "fingerprints")
-    return _labelled(rows, NEAR_WORDS, bits, 1).select("doc_id", "component_id")
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id for every row of docs (doc_id, text): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more are linked, all of them and no others, as the sets themselves are compared. Nulls, empty texts and repeats as in near_duplicates()."""
+    rows = settle(similar.described(docs), "described")
+    sets = settle(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("low").alias("low")), "sets")
+    linked = similar.links(docs, sets)
+    return _labelled(rows.select("doc_id", "node"), sets.select("node", "first", F.col("rows").alias("n")), linked, ["node"]).select("doc_id", "component_id")
 
 
 def _hex(c: str) -> Column:
