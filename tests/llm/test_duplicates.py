@@ -367,3 +367,41 @@ def test_what_a_search_leaves_over_has_met_all_that_it_leaves_out():
         assert rest or most == 20
         left = set(rest[0].tolist()) if rest else set()
         assert joined(first + [(a, b) for a, b in near if a in left and b in left]) == joined(near)
+
+
+def test_inexact_passages_whose_seeds_are_all_frequent(spark):
+    rng = random.Random(17)
+    some = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    base = some(100)
+    other = list(base)
+    for k in range(12, 100, 18):  # no anchor of 25 words is left
+        other[k] = some(1)[0]
+    docs = [(0, some(30) + base + some(20)), (5000, some(12) + other + some(9))]
+    docs += [(1 + n, some(15) + base[k : k + 14] + some(15)) for n, k in enumerate([k for k in range(0, 87, 3) for _ in range(8)])]  # each seed in 8 documents in between and more
+    docs += [(6000 + n, some(20) + base[40:60] + some(20)) for n in range(30)]
+    got = {(r["doc_id"], r["begin_word"], r["end_word"], r["nearest_doc"]) for r in passages.repeated_passages(docs_of(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+    assert got == {(0, 30, 130, 5000), (5000, 12, 112, 0)}
+
+
+def test_bags_of_words_never_tell_too_little():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        size = rng.integers(1, 126, 2)
+        words = rng.integers(0, 60, (2, 125)).astype(np.uint32)
+        bags = passages._bags(words, size)
+        assert bags[0] @ bags[1] >= passages._shared(words[0, : size[0]], words[1, : size[1]])
+        assert (bags.sum(1) == size).all()
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_pairs_of_a_posting_in_tables(spark, block):
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    base = some(60)
+    docs = [(i, some(10) + (base if i in (2, 9) else base[30:45]) + some(10)) for i in range(12)]
+    often = spark.createDataFrame([(8, i, 45 if i in (2, 9) else 15) for i, _ in docs], "h long, doc long, pos int")
+    none = spark.createDataFrame([], "doc long, begin long, end long, other long, obegin long, oend long")
+    frame = docs_of(spark, [(i, " ".join(w)) for i, w in docs])
+    assert {tuple(r)[:6] for r in passages.around(often, none, frame, 50, block).collect()} == {(2, 10, 70, 9, 10, 70), (9, 10, 70, 2, 10, 70)}
+    covered = spark.createDataFrame([(i, 0, 200, i, 0, 200) for i, _ in docs], none.schema)
+    assert passages.around(often, covered, frame, 50, block).count() == 0
